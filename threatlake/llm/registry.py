@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import jaccard_join_queries, licenses_queries, mixing_queries, sharding_queries, warc_queries
+from . import jaccard_join_queries, licenses_queries, mixing_queries, sharding_queries, simhash_queries, warc_queries
 
-_MODULES = [sharding_queries, licenses_queries, jaccard_join_queries, mixing_queries, warc_queries]
+_MODULES = [sharding_queries, licenses_queries, jaccard_join_queries, mixing_queries, warc_queries, simhash_queries]
 
 
 def queries():
