@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import jaccard_join_queries, licenses_queries, mixing_queries, sharding_queries, simhash_queries, warc_queries
+from . import html_extract_queries, jaccard_join_queries, licenses_queries, mixing_queries, sharding_queries, simhash_queries, warc_queries
 
-_MODULES = [sharding_queries, licenses_queries, jaccard_join_queries, mixing_queries, warc_queries, simhash_queries]
+_MODULES = [sharding_queries, licenses_queries, jaccard_join_queries, mixing_queries, html_extract_queries, warc_queries, simhash_queries]
 
 
 def queries():
