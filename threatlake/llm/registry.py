@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
-from . import html_extract_queries, jaccard_join_queries, licenses_queries, mixing_queries, sharding_queries, simhash_queries, warc_queries
+from . import (
+    decontaminate_queries,
+    html_extract_queries,
+    jaccard_join_queries,
+    licenses_queries,
+    mixing_queries,
+    sharding_queries,
+    simhash_queries,
+    warc_queries,
+)
 
-_MODULES = [sharding_queries, licenses_queries, jaccard_join_queries, mixing_queries, html_extract_queries, warc_queries, simhash_queries]
+_MODULES = [sharding_queries, licenses_queries, jaccard_join_queries, mixing_queries, html_extract_queries, warc_queries, simhash_queries, decontaminate_queries]
 
 
 def queries():
