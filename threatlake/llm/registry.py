@@ -6,6 +6,7 @@ from . import (
     decontaminate_queries,
     html_extract_queries,
     jaccard_join_queries,
+    langid_queries,
     licenses_queries,
     mixing_queries,
     sharding_queries,
@@ -13,7 +14,7 @@ from . import (
     warc_queries,
 )
 
-_MODULES = [sharding_queries, licenses_queries, jaccard_join_queries, mixing_queries, html_extract_queries, warc_queries, simhash_queries, decontaminate_queries]
+_MODULES = [sharding_queries, licenses_queries, jaccard_join_queries, langid_queries, mixing_queries, html_extract_queries, warc_queries, simhash_queries, decontaminate_queries]
 
 
 def queries():
