@@ -9,12 +9,13 @@ from . import (
     langid_queries,
     licenses_queries,
     mixing_queries,
+    quality_queries,
     sharding_queries,
     simhash_queries,
     warc_queries,
 )
 
-_MODULES = [sharding_queries, licenses_queries, jaccard_join_queries, langid_queries, mixing_queries, html_extract_queries, warc_queries, simhash_queries, decontaminate_queries]
+_MODULES = [sharding_queries, licenses_queries, jaccard_join_queries, langid_queries, mixing_queries, quality_queries, html_extract_queries, warc_queries, simhash_queries, decontaminate_queries]
 
 
 def queries():
