@@ -16,10 +16,10 @@ an empty result; other columns are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import prefix_sums
+from .shared import prefix_sums, written
 
 WORDS = r"[^\x20\x09-\x0D]+"
 CAP = 3
@@ -42,21 +42,43 @@ def source_targets(sizes: DataFrame, cap: int = CAP) -> DataFrame:
     return filled.select("source", "source_size", target.alias("target"))
 
 
-def mix_sources(docs: DataFrame, cap: int = CAP, seed: int = 0) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken) per row of ``docs``."""
-    rows = docs.select(
-        "doc_id",
-        "source",
-        F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size"),
-        F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.lit(str(seed))).cast("binary")).alias("_key"),
-    )
+def _size() -> Column:
+    return F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long")
+
+
+def _key(seed: int) -> Column:
+    return F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.lit(str(seed))).cast("binary"))
+
+
+def _placed(docs: DataFrame, cap: int, seed: int) -> DataFrame:
+    """Every row with its source's target, whole epochs, and the words of the last, partial epoch."""
+    rows = docs.select("doc_id", "source", _size().alias("size"), _key(seed).alias("_key"))
     placed = prefix_sums(rows, ["source"], ["_key", "doc_id", "size"], ["size"], "mix")
     targets = source_targets(placed.groupBy("source").agg(F.sum("size").alias("source_size")), cap)
     targets = targets.select(F.col("source").alias("_source"), "source_size", "target")
     budget = F.floor("target")
     epochs = F.expr("coalesce(floor(target) div source_size, 0)")
-    rest = budget - epochs * F.col("source_size")
-    last = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("before_size")))
-    return placed.join(targets, F.col("source").eqNullSafe(F.col("_source"))).select(
-        "doc_id", "source", "size", "source_size", "target", (epochs * F.col("size") + last).cast("long").alias("taken")
-    )
+    joined = placed.join(targets, F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumn("epochs", epochs)
+    rest = budget - F.col("epochs") * F.col("source_size")
+    return joined.withColumn("last", F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("before_size"))))
+
+
+def mix_sources(docs: DataFrame, cap: int = CAP, seed: int = 0) -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken) per row of ``docs``."""
+    taken = (F.col("epochs") * F.col("size") + F.col("last")).cast("long")
+    return _placed(docs, cap, seed).select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, cap: int = CAP, seed: int = 0) -> DataFrame:
+    """``docs`` with every row repeated once per epoch that takes it; rows that none takes go.
+
+    The last epoch takes the rows up to the one at which the budget is reached,
+    that one whole.  One cut key per source says so; the texts are not shuffled.
+    """
+    place = lambda: F.struct(_key(seed).alias("k"), F.col("doc_id").alias("d"), _size().alias("s"))
+    at = F.when(F.col("last") > 0, F.struct(F.col("_key").alias("k"), F.col("doc_id").alias("d"), F.col("size").alias("s")))
+    cuts = _placed(docs, cap, seed).groupBy("source").agg(F.max(at).alias("_cut"), F.max("epochs").alias("_epochs"))
+    cuts = written(cuts.withColumnRenamed("source", "_source"), "cuts")
+    copies = F.col("_epochs") + F.coalesce((place() <= F.col("_cut")).cast("int"), F.lit(0))
+    joined = docs.join(cuts, F.col("source").eqNullSafe(F.col("_source"))).withColumn("_copies", copies).where("_copies > 0")
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
