@@ -2,10 +2,9 @@
 
 A text's words (runs of characters other than blank and U+0009-U+000D, lower
 case) vote on 64 signed bits by their hash; a word's weight is its length, up
-to 12, so that short function words count little.  Votes are summed in 32
-packed longs of two 32-bit fields, so one aggregate over the exploded words
-yields all 64 sums, combined before the shuffle.  A bit is set if more than
-half of the weight votes for it.
+to 12, so that short function words count little.  Votes are summed in packed
+longs by an aggregate over the exploded words, combined before the shuffle.  A
+bit is set if more than half of the weight votes for it.
 
 ``near_fingerprints`` finds all pairs of query and stored fingerprints within a
 Hamming radius: the 64 bits are cut into ``radius + extra`` blocks; two
@@ -31,28 +30,27 @@ from pyspark.sql import functions as F
 
 from .shared import written
 
-LONGEST = 12
+LONGEST, CHUNK_BITS = 12, 12
 #: Ids that share a bucket when a row looks for the next one, as a power of two.
 BUCKET_BITS = 10
 
 
 def fingerprints(texts: DataFrame, keys: list[str], texts_col: str) -> DataFrame:
-    """(*keys, fingerprint long) for every row of ``texts``; ``keys`` identify a row."""
-    word = F.explode_outer(F.split(F.lower(texts_col), r"[ \t-\r]+"))
-    votes = texts.select(*keys, word.alias("w")).select(
-        *keys, F.xxhash64("w").alias("h"), F.least(F.length("w"), F.lit(LONGEST)).cast("long").alias("c")
-    )
-    field = 0x0000000100000001
-    sums = [F.sum(F.col("c") * F.shiftrightunsigned("h", j).bitwiseAND(F.lit(field))).alias(f"s{j}") for j in range(32)]
-    summed = votes.groupBy(*keys).agg(F.sum("c").alias("total"), *sums)
-    bits = F.lit(0).cast("long")
-    for j in range(32):
-        low = F.col(f"s{j}").bitwiseAND(F.lit(0xFFFFFFFF))
-        high = F.shiftrightunsigned(f"s{j}", 32)
-        bits = bits.bitwiseOR(F.when(2 * low > F.col("total"), F.lit(1 << j)).otherwise(F.lit(0)).cast("long"))
-        top = (1 << (j + 32)) if j < 31 else -(1 << 63)
-        bits = bits.bitwiseOR(F.when(2 * high > F.col("total"), F.lit(top)).otherwise(F.lit(0)).cast("long"))
-    return summed.select(*keys, bits.alias("fingerprint"))
+    """(*keys, fingerprint long) for every row of ``texts``; ``keys`` identify a row.
+
+    The first aggregate sums chunks of 4,096 words in 16 longs of four 16-bit
+    fields, which their weight cannot overflow; the second, over few rows, adds
+    up the chunks in 64 sums.
+    """
+    words = texts.select(*keys, F.posexplode(F.split(F.lower(texts_col), r"[ \t-\r]+")).alias("_at", "_w"))
+    votes = words.select(*keys, F.shiftright("_at", CHUNK_BITS).alias("_chunk"), F.xxhash64("_w").alias("_h"), F.least(F.length("_w"), F.lit(LONGEST)).cast("long").alias("_c"))
+    field = F.lit(0x0001000100010001)
+    packed = [F.sum(F.col("_c") * F.shiftrightunsigned("_h", j).bitwiseAND(field)).alias(f"_s{j}") for j in range(16)]
+    chunks = votes.groupBy(*keys, "_chunk").agg(F.sum("_c").alias("_total"), *packed)
+    single = [F.sum(F.shiftrightunsigned(f"_s{j % 16}", 16 * (j // 16)).bitwiseAND(F.lit(0xFFFF))).alias(f"_b{j}") for j in range(64)]
+    summed = chunks.groupBy(*keys).agg(F.sum("_total").alias("_total"), *single)
+    bits = F.array(*(F.when(2 * F.col(f"_b{j}") > F.col("_total"), F.lit(1 << j if j < 63 else -(1 << 63))).otherwise(F.lit(0)).cast("long") for j in range(64)))
+    return summed.select(*keys, F.aggregate(bits, F.lit(0).cast("long"), lambda x, y: x.bitwiseOR(y)).alias("fingerprint"))
 
 
 def likeness(a: Column, b: Column) -> Column:
