@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import unicode_queries
+from . import pattern_queries, unicode_queries
 
-_MODULES = [unicode_queries]
+_MODULES = [unicode_queries, pattern_queries]
 
 
 def queries():
