@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .shared import written
 
 Q, WINDOW, SHORT, RATE, BLOCK = 8, 96, 32, 10, 10_000
-PIECE = 1 << 20
+PIECE, SLICE = 1 << 20, 500
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 
@@ -64,36 +64,30 @@ def grams(text: bytes) -> np.ndarray:
     return x
 
 
-def banded_distance(pattern: bytes, text: bytes, low: int, high: int) -> int:
-    """The least edits that turn ``pattern`` into a stretch of ``text`` starting on a diagonal in [low, high].
+def banded_distances(patterns: list[bytes], texts: list[bytes], lows: list[int], span: int) -> np.ndarray:
+    """The least edits that turn each pattern into a stretch of its text starting on a diagonal in [low, low + span).
 
-    Cells off the diagonals [low - m, high + m], m the pattern's budget, count as
-    unreachable, so an alignment within the budget is found exactly.
+    All patterns have one length.  The band reaches the pattern's budget beyond
+    the diagonals at either side, so an alignment within the budget is found
+    exactly; all pairs advance together, one pattern character at a time.
     """
-    m = budget(len(pattern))
-    first, last = low - m, high + m
-    width = last - first + 1
-    far = np.int64(len(pattern) + len(text) + 1)
-    steps = np.arange(width, dtype=np.int64)
-    ends = first + steps
-    row = np.where((ends >= max(low, 0)) & (ends <= min(high, len(text))), 0, far)
-    padded = np.full(width + len(pattern) + 1, 256, dtype=np.int64)
-    data = np.frombuffer(text, dtype=np.uint8)
-    a, b = max(first, 0), min(first + len(padded), len(text))
-    if a < b:
-        padded[a - first : b - first] = data[a:b]
-    row = np.minimum.accumulate(row - steps) + steps
-    row[ends < 0] = far
-    for i, c in enumerate(pattern):
-        here = padded[i : i + width]
-        new = row + (here != c)
-        new[:-1] = np.minimum(new[:-1], row[1:] + 1)
-        place = ends + i + 1
-        new[(place < 0) | (place > len(text))] = far
-        new = np.minimum.accumulate(new - steps) + steps
-        new[(place < 0) | (place > len(text))] = far
-        row = np.minimum(new, far)
-    return int(row.min())
+    size = len(patterns[0])
+    margin = budget(size)
+    width = span + 2 * margin
+    first = np.array(lows, dtype=np.int64) - margin
+    cut = [(b"\0" * -f + t[: max(0, width + size + f)] if f < 0 else t[f : f + width + size]).ljust(width + size, b"\0")[: width + size] for t, f in zip(texts, first.tolist())]
+    data = np.frombuffer(b"".join(cut), dtype=np.uint8).reshape(len(texts), width + size)
+    pattern = np.frombuffer(b"".join(patterns), dtype=np.uint8).reshape(len(texts), size)
+    steps = np.arange(width, dtype=np.int16)
+    begins = first[:, None] + steps
+    ends = np.array([len(t) for t in texts], dtype=np.int64)[:, None]
+    inside = (begins >= 0) & (begins <= ends) & (steps >= margin) & (steps < margin + span)
+    row = np.where(inside, 0, 20_000).astype(np.int16)
+    for i in range(size):
+        new = row + (data[:, i : i + width] != pattern[:, i : i + 1])
+        np.minimum(new[:, :-1], row[:, 1:] + 1, out=new[:, :-1])
+        row = np.minimum.accumulate(new - steps, axis=1) + steps
+    return row.min(axis=1)
 
 
 class Index:
@@ -134,39 +128,70 @@ class Index:
         if not total:
             return []
         posting = np.repeat(self.start[found] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(total)
-        window, diagonal = self.window[posting], np.repeat(at, times) - self.offset[posting] + WINDOW
-        width = self.edits[window] + 1
-        band = diagonal // width
+        window, offset = self.window[posting], self.offset[posting]
+        diagonal = np.repeat(at, times) - offset + WINDOW
+        band = diagonal // (self.edits[window] + 1)
         span = np.int64(len(text) + 2 * WINDOW + 2)
-        key = np.concatenate([window * span + band, window[band > 0] * span + band[band > 0] - 1])
-        cell, hits = np.unique(key, return_counts=True)
+        cell = window * span + band
+        # bands overlap: a band's hits are those of two neighbouring half bands
+        half, hits = np.unique(cell, return_counts=True)
+        beside = np.zeros_like(hits)
+        beside[:-1] = np.where(half[1:] == half[:-1] + 1, hits[1:], 0)
+        bound = self.bound[half // span]
+        busy = hits + beside >= bound
+        lone = (np.concatenate([[-1], half[:-1]]) != half - 1) & (hits >= bound) & (half % span > 0)
+        wide = np.concatenate([half[busy], half[lone] - 1])
+        if not len(wide):
+            return []
+        kept = np.zeros(len(half), dtype=bool)
+        kept[np.isin(half, np.concatenate([wide, wide + 1]))] = True
+        at_half = kept[np.searchsorted(half, cell)]
+        cell, offset, band = cell[at_half], offset[at_half], band[at_half]
+        # each of the window's grams counts once in a band, however often the text repeats it there
+        key = np.unique(np.concatenate([cell, cell[band > 0] - 1]) * WINDOW + np.concatenate([offset, offset[band > 0]]))
+        cell, hits = np.unique(key // WINDOW, return_counts=True)
         which, band = cell // span, cell % span
         full = hits >= self.bound[which]
         which, band = which[full], band[full]
         low = band * (self.edits[which] + 1) - WINDOW
         return list(zip(which.tolist(), low.tolist(), (low + 2 * (self.edits[which] + 1) - 1).tolist()))
 
-    def matches(self, text: bytes) -> dict[int, int]:
-        """{window: least edits} of the windows that occur in the normalised text."""
-        found: dict[int, int] = {}
-        if self.short:
-            padded = b" " + text + b" "
-            found.update((k, 0) for k, w in self.short.items() if w in padded)
-        at = 0
-        while True:
-            piece = text[at : at + PIECE]
-            for k, low, high in self.candidates(piece):
-                if found.get(k) == 0:
+    def search(self, texts: list[bytes]) -> list[dict[int, int]]:
+        """Per normalised text {window: least edits} of the windows that occur in it."""
+        found: list[dict[int, int]] = [{} for _ in texts]
+        asked: dict[int, list[tuple[int, int, bytes, int]]] = {}
+        for number, text in enumerate(texts):
+            here = found[number]
+            if self.short:
+                padded = b" " + text + b" "
+                here.update((k, 0) for k, w in self.short.items() if w in padded)
+            at = 0
+            while True:
+                piece = text[at : at + PIECE]
+                for k, low, high in self.candidates(piece):
+                    if here.get(k) == 0:
+                        continue
+                    window, edits = self.windows[k], int(self.edits[k])
+                    begin = max(0, low - edits)
+                    stretch = piece[begin : max(0, high + len(window) + edits)]
+                    if window in stretch:
+                        here[k] = 0
+                    else:
+                        asked.setdefault(len(window), []).append((number, k, stretch, low - begin))
+                if at + PIECE >= len(text):
+                    break
+                at += PIECE - 4 * WINDOW
+        for size, rows in asked.items():
+            edits = budget(size)
+            for at in range(0, len(rows), 4096):
+                part = [r for r in rows[at : at + 4096] if found[r[0]].get(r[1]) != 0]
+                if not part:
                     continue
-                window, edits = self.windows[k], int(self.edits[k])
-                begin = max(0, low - edits)
-                stretch = piece[begin : max(0, high + len(window) + edits)]
-                distance = 0 if window in stretch else banded_distance(window, stretch, low - begin, high - begin)
-                if distance <= edits:
-                    found[k] = min(distance, found.get(k, distance))
-            if at + PIECE >= len(text):
-                return found
-            at += PIECE - 4 * WINDOW
+                distances = banded_distances([self.windows[r[1]] for r in part], [r[2] for r in part], [r[3] for r in part], 2 * (edits + 1))
+                for (number, k, _, _), distance in zip(part, distances.tolist()):
+                    if distance <= edits:
+                        found[number][k] = min(distance, found[number].get(k, distance))
+        return found
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
@@ -200,10 +225,11 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, share: float = 0.5) ->
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = Index(shared.value)
             for batch in batches:
-                out = []
-                for doc_id, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                    found = index.matches(normalised(text.as_py()))
-                    out += [(doc_id, key, index.windows[k], n) for k, n in found.items()]
+                out, ids, keys = [], batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                for at in range(0, batch.num_rows, SLICE):
+                    texts = [normalised(t.as_py()) for t in batch.column(2).slice(at, SLICE)]
+                    for k, found in enumerate(index.search(texts)):
+                        out += [(ids[at + k], keys[at + k], index.windows[w], n) for w, n in found.items()]
                 columns = list(zip(*out)) if out else [[], [], [], []]
                 kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "text_key", "found", "edits"])
