@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import keeping_columns, written
 
 Q, WINDOW, SHORT, RATE, BLOCK = 8, 96, 32, 10, 10_000
 PIECE, SLICE = 1 << 20, 500
@@ -246,6 +246,10 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, share: float = 0.5) ->
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents in which no item is found, with their columns unchanged."""
-    found = contaminations(docs, benchmark).select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key")).distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_key"))
-    return docs.join(written(found, "contaminated"), same, "left_anti")
+
+    def kept(rows: DataFrame) -> DataFrame:
+        found = contaminations(rows, benchmark).select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key")).distinct()
+        same = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_key"))
+        return rows.join(written(found, "contaminated"), same, "left_anti")
+
+    return keeping_columns(docs, ("doc_id", "text"), kept)

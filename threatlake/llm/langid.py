@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import crc_fold
+from .shared import crc_fold, keeping_columns
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLE = 20_000
@@ -265,10 +265,12 @@ def identify(docs: DataFrame, vocabulary: str = VOCABULARY, sample: int = SAMPLE
 
 def keep_identified(docs: DataFrame, least: float = 0.5, vocabulary: str = VOCABULARY, sample: int = SAMPLE) -> DataFrame:
     """The documents whose language is told with a score of at least ``least``, columns unchanged."""
-    model = train(docs.where(crc_fold("doc_id", 4) != 2), vocabulary, sample)
-    columns = docs.columns
-    ordered = [c for c in columns if c != "text"]
-    texts = docs.select(*ordered, F.col("text").alias("_kept_text"), "text")
-    told = predict(texts, model, (*ordered, "_kept_text"))
-    kept = told.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least))
-    return kept.withColumnRenamed("_kept_text", "text").select(*columns)
+
+    def kept(rows: DataFrame) -> DataFrame:
+        model = train(rows.where(crc_fold("doc_id", 4) != 2), vocabulary, sample)
+        others = tuple(c for c in rows.columns if c != "text")
+        told = predict(rows.select(*others, F.col("text").alias("_kept_text"), "text"), model, (*others, "_kept_text"))
+        told = told.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least))
+        return told.withColumnRenamed("_kept_text", "text")
+
+    return keeping_columns(docs, ("doc_id", "text", "lang"), kept)

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import prefix_sums, written
+from .shared import keeping_columns, prefix_sums, written
 
 WORDS = r"[^\x20\x09-\x0D]+"
 CAP = 3
@@ -77,8 +77,12 @@ def mixed_documents(docs: DataFrame, cap: int = CAP, seed: int = 0) -> DataFrame
     """
     place = lambda: F.struct(_key(seed).alias("k"), F.col("doc_id").alias("d"), _size().alias("s"))
     at = F.when(F.col("last") > 0, F.struct(F.col("_key").alias("k"), F.col("doc_id").alias("d"), F.col("size").alias("s")))
-    cuts = _placed(docs, cap, seed).groupBy("source").agg(F.max(at).alias("_cut"), F.max("epochs").alias("_epochs"))
-    cuts = written(cuts.withColumnRenamed("source", "_source"), "cuts")
-    copies = F.col("_epochs") + F.coalesce((place() <= F.col("_cut")).cast("int"), F.lit(0))
-    joined = docs.join(cuts, F.col("source").eqNullSafe(F.col("_source"))).withColumn("_copies", copies).where("_copies > 0")
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+
+    def mixed(rows: DataFrame) -> DataFrame:
+        cuts = _placed(rows, cap, seed).groupBy("source").agg(F.max(at).alias("_cut"), F.max("epochs").alias("_epochs"))
+        cuts = written(cuts.withColumnRenamed("source", "_source"), "cuts")
+        copies = F.col("_epochs") + F.coalesce((place() <= F.col("_cut")).cast("int"), F.lit(0))
+        joined = rows.join(cuts, F.col("source").eqNullSafe(F.col("_source"))).withColumn("_copies", copies).where("_copies > 0")
+        return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+
+    return keeping_columns(docs, ("doc_id", "source", "text"), mixed)

@@ -46,6 +46,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keeping_columns(docs: DataFrame, used: tuple[str, ...], step) -> DataFrame:
+    """``step`` applied to ``docs`` while columns that it does not use bear other names, so that no name of theirs clashes."""
+    names = {c: c if c in used else f"__own_{k}" for k, c in enumerate(docs.columns)}
+    out = step(docs.toDF(*names.values()))
+    return out.select(*(F.col(new).alias(old) for old, new in names.items()))
+
+
+#: Rows of a few longs that may be broadcast; a larger table is joined by shuffling.
+BROADCAST_ROWS = 1 << 20
+
+
+def bounded_broadcast(df: DataFrame) -> DataFrame:
+    """``df``, marked for broadcast if it was counted to have at most BROADCAST_ROWS rows."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def removed(spark: SparkSession, path: str) -> None:
     """Deletes a scratch table that nothing will read again."""
     jvm = spark.sparkContext._jvm
