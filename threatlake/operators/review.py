@@ -42,7 +42,7 @@ def prompts(files: DataFrame, findings: DataFrame) -> DataFrame:
 def unfenced(text: Column) -> Column:
     """The text inside a Markdown code fence, if there is one."""
     body = F.regexp_extract(text, r"(?s)^\s*```(?:json)?\s*\n?(.*)```", 1)
-    return F.trim(F.when(text.rlike(r"(?s)^\s*```.*```"), body).otherwise(text))
+    return F.regexp_replace(F.when(text.rlike(r"(?s)^\s*```.*```"), body).otherwise(text), r"^\s+|\s+$", "")
 
 
 def parsed_verdict(response: Column) -> Column:
