@@ -138,6 +138,13 @@ def test_engine(spark):
     assert all_rows.where("category = 'bidirectional_override'").select(display(all_rows)).first()[0].startswith("[CRITICAL] f1.js:1:16 - U+202E (bidirectional_override)")
 
 
+def test_cached_scan(spark):
+    engine = ThreatEngine.default(("l1",), cache=True)
+    assert engine.scan(files(spark, "a\u200b")).count() == 1 and len(engine.cached) == 1
+    engine.release()
+    assert not engine.cached and U.confusables_of("i") == [0x3B9]
+
+
 def test_custom_detector(spark):
     engine = ThreatEngine().register("mine", lambda f: U.tag_characters(f).withColumn("detector", F.lit("mine")))
     assert engine.scan(files(spark, "a\U000e0041")).first().detector == "mine"

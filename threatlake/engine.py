@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from .operators import patterns, taint, unicode_chars
@@ -41,16 +42,22 @@ def scan_text(spark: SparkSession, content: str, name: str) -> DataFrame:
 
 
 class ThreatEngine:
-    """Starts empty; ``default`` has all detectors.  ``scan`` is lazy."""
+    """Starts empty; ``default`` has all detectors.  ``scan`` is lazy.
 
-    def __init__(self, layers: tuple[str, ...] = ("l1", "l2"), fixes: bool = False):
-        self.layers, self.fixes, self.model = layers, fixes, None
+    Every detector reads the files by itself.  With ``cache`` the files are kept
+    on disk by the first that reads them, so that a slow source is read once;
+    ``release`` lets go of them.
+    """
+
+    def __init__(self, layers: tuple[str, ...] = ("l1", "l2"), fixes: bool = False, cache: bool = False):
+        self.layers, self.fixes, self.model, self.cache = layers, fixes, None, cache
+        self.cached: list[DataFrame] = []
         self.detectors: dict[str, Detector] = {}
         self.semantic: dict[str, SemanticDetector] = {}
 
     @classmethod
-    def default(cls, layers: tuple[str, ...] = ("l1", "l2"), fixes: bool = False) -> "ThreatEngine":
-        engine = cls(layers, fixes)
+    def default(cls, layers: tuple[str, ...] = ("l1", "l2"), fixes: bool = False, cache: bool = False) -> "ThreatEngine":
+        engine = cls(layers, fixes, cache)
         for name, detector in {**FAMILIES, **WHOLE_FILE}.items():
             engine.register(name, detector)
         return engine.register_semantic("flows", functools.partial(taint.semantic_findings, fixes=fixes))
@@ -73,6 +80,9 @@ class ThreatEngine:
 
     def scan(self, files: DataFrame) -> DataFrame:
         """Findings of all layers that are on, unsorted."""
+        if self.cache:
+            files = files.persist(StorageLevel.DISK_ONLY)
+            self.cached.append(files)
         parts = [d(files) for d in self.detectors.values()] if "l1" in self.layers else []
         if "l2" in self.layers and self.semantic:
             facts = fact_tables(file_facts(files))
@@ -81,6 +91,10 @@ class ThreatEngine:
             return files.sparkSession.createDataFrame([], FINDINGS)
         return functools.reduce(DataFrame.unionByName, parts)
 
+    def release(self) -> None:
+        while self.cached:
+            self.cached.pop().unpersist()
+
     def scan_with_review(self, files: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         found = self.scan(files)
         return found, verdicts(files, found, self.model) if self.model else None

@@ -167,6 +167,11 @@ def homoglyphs(files: DataFrame) -> DataFrame:
     )
 
 
+def confusables_of(base: str) -> list[int]:
+    """The look-alike code points of a base character."""
+    return [c for c, b, _, _ in CONFUSABLES if b == base]
+
+
 def quick_flags(files: DataFrame) -> DataFrame:
     """(path, has_invisible, has_confusables) by one look at the whole content."""
     return files.select("path", F.col("content").rlike(QUICK_CLASS).alias("has_invisible"), F.col("content").rlike(CONFUSABLE_CLASS).alias("has_confusables"))
