@@ -11,8 +11,9 @@ only the committed try's index rows are kept, so lost executors do no harm.
 Reading: the selected index rows are dealt by file and sorted by offset; ranges
 that touch or lie close together are read in one request of bounded size.
 
-Results in edge cases: a null html is an empty payload; a null URL or id is
-written as an empty header and read back as null; rows with the same id and
+Results in edge cases: a null html is an empty payload; a null or empty URL and
+a null id are written as an empty header and read back as null; line ends in a
+URL are percent-encoded; rows with the same id and
 payload are all responses; an empty table gives no archive and an empty result.
 """
 
@@ -45,7 +46,7 @@ def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: s
         "WARC/1.0",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
         f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
-        f"WARC-Target-URI: {'' if url is None else url}",
+        f"WARC-Target-URI: {'' if url is None else url.replace(chr(13), '%0D').replace(chr(10), '%0A')}",
         "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Payload-Digest: sha1:{digest}",
         f"X-Payload-Length: {len(payload)}",
