@@ -38,7 +38,7 @@ LONGEST_PIECE = 12
 #: Probability of a character that no piece holds, and the weight of the prior in piece counts.
 UNKNOWN, PRIOR_WEIGHT = 1e-7, 50.0
 #: Longest word that trains; documents handled at once; words remembered per task.
-TRAIN_LETTERS, SLICE, REMEMBERED = 48, 2000, 200_000
+TRAIN_LETTERS, SLICE, REMEMBERED = 48, 400, 100_000
 MARK, UNDETERMINED = "▁", "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
 
