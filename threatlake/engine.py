@@ -45,8 +45,8 @@ class ThreatEngine:
     """Starts empty; ``default`` has all detectors.  ``scan`` is lazy.
 
     Every detector reads the files by itself.  With ``cache`` the files are kept
-    on disk by the first that reads them, so that a slow source is read once;
-    ``release`` lets go of them.
+    on disk by the first that reads them, so that a slow source is read once.
+    Extracted facts are always kept.  ``release`` lets go of what is kept.
     """
 
     def __init__(self, layers: tuple[str, ...] = ("l1", "l2"), fixes: bool = False, cache: bool = False):
@@ -85,7 +85,9 @@ class ThreatEngine:
             self.cached.append(files)
         parts = [d(files) for d in self.detectors.values()] if "l1" in self.layers else []
         if "l2" in self.layers and self.semantic:
-            facts = fact_tables(file_facts(files))
+            extracted = file_facts(files).persist(StorageLevel.DISK_ONLY)  # many joins read the facts; they are extracted once
+            self.cached.append(extracted)
+            facts = fact_tables(extracted)
             parts += [d(files, facts) for d in self.semantic.values()]
         if not parts:
             return files.sparkSession.createDataFrame([], FINDINGS)

@@ -17,12 +17,12 @@ def lookup(pairs: dict, key: Column) -> Column:
     return F.try_element_at(literal_map(pairs), key)
 
 
-def finding(rows: DataFrame, detector: str, order: int, **fields) -> DataFrame:
+def finding(rows: DataFrame, name: str, order: int, /, **fields) -> DataFrame:
     """``rows`` as findings: ``fields`` are columns or constants, the rest is null."""
     defaults = {
         "code_point": F.lit(0).cast("bigint"), "character": F.lit(""), "remediation": F.lit(None).cast("string"), "cwe_id": F.lit(None).cast("string"),
         "references": F.array().cast("array<string>"), "context": F.lit(None).cast("string"), "decoded_payload": F.lit(None).cast(PAYLOAD), "confidence": F.lit(None).cast("double"),
-        "detector": F.lit(detector), "emit_seq": F.lit(order).cast("bigint"),
+        "detector": F.lit(name), "emit_seq": F.lit(order).cast("bigint"),
     }
     given = {k: v if isinstance(v, Column) else F.lit(v) for k, v in fields.items()}
     columns = {**{c: F.col(c) for c in FINDING_COLUMNS if c not in defaults}, **defaults, **given}

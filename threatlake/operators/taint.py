@@ -12,7 +12,7 @@ it; with ``fixes`` also to one of an enclosing scope.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fixed import ENTROPY_LIMIT, LITERAL_BYTES
@@ -149,38 +149,42 @@ def source_in_scope(facts: dict[str, DataFrame], sources: DataFrame, scopes: Dat
     return _scoped(scopes, facts, "scope_path").join(own, (F.col("path") == F.col("_p")) & F.array_contains("scope_path", F.col("_s")), "left_semi").select("path", "scope_id")
 
 
-def _strong(high: str, weak: str) -> Column:
-    return F.when(F.col("flow") == "same_scope", weak).otherwise(high)
-
-
-def _flow_findings(flows: DataFrame, files: DataFrame, detector: str, order: int, category: str, severity: Column, text: Column, fixes: bool) -> DataFrame:
-    """Findings at the flows' sources; "line" is the source's character number, with ``fixes`` its line."""
+def _placed(rows: DataFrame, files: DataFrame, fixes: bool) -> DataFrame:
+    """``rows`` with their file's content and the place of their source; "line" is the source's character number, with ``fixes`` its line."""
     content = files.select(F.col("path").alias("_f"), "content")
-    rows = flows.join(content, F.col("path") == F.col("_f"))
     prefix = F.expr("cast(substring(cast(content AS binary), 1, source_start) AS string)")
     line = F.regexp_count(prefix, F.lit("\n")) + 1 if fixes else F.length(prefix) + 1
-    placed = rows.withColumn("line", line.cast("bigint")).withColumn("column", F.lit(1).cast("bigint"))
-    return finding(placed, detector, order, category=category, severity=severity, description=text, remediation="Review what is decoded and run.", character=F.lit(None).cast("string"))
+    return rows.join(content, F.col("path") == F.col("_f")).withColumn("line", line.cast("bigint")).withColumn("column", F.lit(1).cast("bigint"))
 
 
 def semantic_findings(files: DataFrame, facts: dict[str, DataFrame], fixes: bool = False) -> DataFrame:
-    """The four flow detectors over files with facts."""
-    flows = taint_flows(facts, fixes)
-    dense, crypto = flows.where("kind = 'high_entropy'"), flows.where("kind = 'crypto'")
-    sink = F.col("sink")
-    gw005 = _flow_findings(dense, files, "GW005", 7, "encrypted_payload", _strong("high", "medium"), F.concat(F.lit("Literal of high entropy flows to "), sink, F.lit(" (flow: "), F.col("flow"), F.lit(")")), fixes)
+    """The four flow detectors over files with facts.
+
+    Flows are computed once; every flow makes a finding for each detector whose condition it meets.
+    """
+    header = facts["calls"].where(F.array_contains("callee_chain", "headers")).select(F.col("path").alias("_h")).distinct()
+    flows = taint_flows(facts, fixes).where("kind <> 'http_header'").join(header, F.col("path") == F.col("_h"), "left")
+    sink, weak = F.col("sink"), F.col("flow") == "same_scope"
     key = F.when(F.octet_length("key_value") > 32, F.concat(F.left("key_value", F.lit(32)), F.lit("..."))).otherwise(F.col("key_value"))
-    gw006 = _flow_findings(
-        crypto.where("key_value IS NOT NULL"), files, "GW006", 8, "hardcoded_key_decryption", _strong("high", "medium"), F.concat(F.lit("Decryption by "), F.col("method"), F.lit(" with key '"), key, F.lit("' flows to "), sink), fixes
+    grade = lambda high, low: F.when(weak, low).otherwise(high)
+    hit = lambda when, detector, order, category, severity, text: F.when(
+        when, F.struct(F.lit(detector).alias("rule"), F.lit(order).cast("bigint").alias("seq"), F.lit(category).alias("category"), severity.alias("severity"), text.alias("text"))
     )
-    header = facts["calls"].where(F.array_contains("callee_chain", "headers")).select("path").distinct()
-    gw008 = _flow_findings(
-        crypto.join(header, "path", "left_semi"), files, "GW008", 10, "header_c2", _strong("critical", "high"), F.concat(F.lit("Header access and "), F.col("method"), F.lit(" flow to "), sink), fixes
+    crypto = F.col("kind") == "crypto"
+    hits = F.array(
+        hit(F.col("kind") == "high_entropy", "GW005", 7, "encrypted_payload", grade("high", "medium"), F.concat(F.lit("Literal of high entropy flows to "), sink, F.lit(" (flow: "), F.col("flow"), F.lit(")"))),
+        hit(crypto & F.col("key_value").isNotNull(), "GW006", 8, "hardcoded_key_decryption", grade("high", "medium"), F.concat(F.lit("Decryption by "), F.col("method"), F.lit(" with key '"), key, F.lit("' flows to "), sink)),
+        hit(crypto & F.col("_h").isNotNull(), "GW008", 10, "header_c2", grade("critical", "high"), F.concat(F.lit("Header access and "), F.col("method"), F.lit(" flow to "), sink)),
     )
-    first = taint_sinks(facts).groupBy("path").agg(F.min_by(F.struct("span_start", "sink"), "call_seq").alias("first")).select("path", F.col("first.span_start").alias("source_start"), F.col("first.sink").alias("sink"))
+    found = flows.select("path", "source_start", F.explode(F.array_compact(hits)).alias("h")).select("path", "source_start", "h.*").withColumn("sure", F.lit(None).cast("double"))
+    first = taint_sinks(facts).groupBy("path").agg(F.min_by(F.struct("span_start", "sink"), "call_seq").alias("first"))
     kinds = files.select(F.col("path").alias("_k"), rc4_indicators(F.col("content")).alias("kinds")).where("size(kinds) >= 3")
-    rc4 = first.join(kinds, F.col("path") == F.col("_k")).drop("_k")
-    gw007 = _flow_findings(rc4, files, "GW007", 9, "rc4_pattern", F.lit("info"), F.concat(F.lit("Hand-made stream cipher near "), sink, F.lit(": "), F.array_join("kinds", ", ")), fixes)
-    certain = files.select(F.col("path").alias("_c"), rc4_confidence(F.size(rc4_indicators(F.col("content")))).alias("_sure"))
-    gw007 = gw007.join(certain, F.col("path") == F.col("_c")).withColumn("confidence", F.col("_sure")).drop("_c", "_sure")
-    return gw005.unionByName(gw006).unionByName(gw007).unionByName(gw008)
+    rc4 = first.join(kinds, F.col("path") == F.col("_k")).select(
+        "path", F.col("first.span_start").alias("source_start"), F.lit("GW007").alias("rule"), F.lit(9).cast("bigint").alias("seq"), F.lit("rc4_pattern").alias("category"), F.lit("info").alias("severity"),
+        F.concat(F.lit("Hand-made stream cipher near "), F.col("first.sink"), F.lit(": "), F.array_join("kinds", ", ")).alias("text"), rc4_confidence(F.size("kinds")).alias("sure"),
+    )
+    rows = _placed(found.unionByName(rc4), files, fixes)
+    return finding(
+        rows, "flows", 0, category=F.col("category"), severity=F.col("severity"), description=F.col("text"), remediation="Review what is decoded and run.", character=F.lit(None).cast("string"), confidence=F.col("sure"),
+        detector=F.col("rule"), emit_seq=F.col("seq"),
+    )

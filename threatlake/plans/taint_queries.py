@@ -6,6 +6,7 @@ per order; the detectors run end to end on one program per document.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from ..operators import taint as T
@@ -90,7 +91,7 @@ def _programs(spark, d):
 
 def semantic_detectors(spark, d):
     files = _programs(spark, d)
-    found = T.semantic_findings(files, fact_tables(file_facts(files)))
+    found = T.semantic_findings(files, fact_tables(file_facts(files).persist(StorageLevel.DISK_ONLY)))
     return found.groupBy("path", "category", "severity").agg(F.count(F.lit(1)).alias("n"), F.max("confidence").alias("confidence"))
 
 
