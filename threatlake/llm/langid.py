@@ -104,7 +104,7 @@ class Pieces:
         return found
 
 
-def by_length(words: list[str], chunk: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def by_length(words: list[str], chunk: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(positions, character codes) of words of one length with the mark before them, at most ``chunk`` characters at once."""
     sizes = np.array([len(w) for w in words])
     for size in np.unique(sizes):
