@@ -1,4 +1,5 @@
 import random
+import unicodedata
 
 from threatlake.llm.decontaminate import Index, budget, contaminations, decontaminated, normalised, windows_of
 
@@ -55,6 +56,20 @@ def test_documents_with_items_go(spark, corpus):
     assert clean.columns == docs.columns and clean.count() == corpus.count()
 
 
+def test_case_and_composition_of_accented_text(spark):
+    words = "überprüfung größe schöner äpfel straße élève façade garçon àéîõü żółć čeština ñandú".split()
+    text = text_of(words, 30, 4)
+    forms = [text, text.upper(), text.title(), unicodedata.normalize("NFD", text), unicodedata.normalize("NFD", text.upper())]
+    assert len({normalised(f.encode()) for f in forms}) == 1
+    assert normalised("É".encode() + b"\xff A") == "é".encode() + b"\xff a"
+    docs = spark.createDataFrame([(k, f"{text_of(EN, 20, k)} {f} tail") for k, f in enumerate(forms)], "doc_id long, text string")
+    for item in (text, text.upper()):
+        benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+        found = contaminations(docs, benchmark).collect()
+        assert sorted(r.doc_id for r in found) == list(range(5)) and all(r.n_found == r.n_windows and r.edits == 0 for r in found)
+        assert decontaminated(docs, benchmark).count() == 0
+
+
 def test_empty(spark, corpus, nothing):
     empty = spark.createDataFrame([], "item_id long, text string")
     assert contaminations(corpus, empty).count() == 0
