@@ -1,7 +1,9 @@
 import hashlib
 import random
 
-from threatlake.llm.simhash import fingerprint_edits, following, near_fingerprints
+from pyspark.sql import functions as F
+
+from threatlake.llm.simhash import fingerprint_edits, fingerprints, following, near_fingerprints
 
 
 def test_edits_and_likeness(corpus):
@@ -26,6 +28,14 @@ def test_edits_and_likeness(corpus):
     assert sum(r.near_edited for r in plain) > sum(r.near_next for r in plain)
 
 
+def test_long_words_repeated_without_end(spark):
+    words = ["abcdefghijkl", "longestwordofall", "eightlet"]
+    texts = spark.createDataFrame([(k, " ".join([w] * 10_000)) for k, w in enumerate(words)], "k long, text string")
+    found = {r.k: r.fingerprint for r in fingerprints(texts, ["k"], "text").collect()}
+    hashes = spark.createDataFrame(list(enumerate(words)), "k long, w string").select("k", F.xxhash64("w").alias("h"))
+    assert found == {r.k: r.h for r in hashes.collect()}
+
+
 def test_plan_has_no_python(corpus):
     plan = fingerprint_edits(corpus)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .shared import written
 
-LONGEST, CHUNK_BITS = 12, 12
+LONGEST, CHUNK_BITS = 12, 11
 #: Ids that share a bucket when a row looks for the next one, as a power of two.
 BUCKET_BITS = 10
 
@@ -38,9 +38,10 @@ BUCKET_BITS = 10
 def fingerprints(texts: DataFrame, keys: list[str], texts_col: str) -> DataFrame:
     """(*keys, fingerprint long) for every row of ``texts``; ``keys`` identify a row.
 
-    The first aggregate sums chunks of 4,096 words in 16 longs of four 16-bit
-    fields, which their weight cannot overflow; the second, over few rows, adds
-    up the chunks in 64 sums.
+    The first aggregate sums chunks of 2,048 words in 16 longs of four 16-bit
+    fields.  A field gets at most 2,048 * 12 = 24,576, below 2^15, so that the top
+    one does not reach the sign either.  The second, over few rows, adds up the
+    chunks in 64 sums.
     """
     words = texts.select(*keys, F.posexplode(F.split(F.lower(texts_col), r"[ \t-\r]+")).alias("_at", "_w"))
     votes = words.select(*keys, F.shiftright("_at", CHUNK_BITS).alias("_chunk"), F.xxhash64("_w").alias("_h"), F.least(F.length("_w"), F.lit(LONGEST)).cast("long").alias("_c"))
