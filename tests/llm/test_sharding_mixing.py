@@ -65,6 +65,17 @@ def test_mixed_documents_repeat_by_epoch(corpus):
     assert mixed_documents(corpus).columns == corpus.columns
 
 
+def test_source_without_words(spark):
+    rows = [(1, "a b c", "full"), (2, "d e", "full"), (3, None, "none"), (4, "", "none"), (5, " \n\t ", "none"), (6, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = {r.doc_id: (r["size"], r.source_size, r.target, r.taken) for r in mix_sources(docs).collect()}
+    assert all(found[k] == (0, 0, 0.0, 0) for k in (3, 4, 5, 6))
+    assert found[1] == (3, 5, 5.0, 3) and found[2] == (2, 5, 5.0, 2)
+    assert sorted(r.doc_id for r in mixed_documents(docs).collect()) == [1, 2]
+    only = docs.where("doc_id > 2")
+    assert all((r.target, r.taken) == (0.0, 0) for r in mix_sources(only).collect()) and mixed_documents(only).count() == 0
+
+
 def test_empty_tables(nothing):
     assert assign_shards(nothing).count() == 0
     assert mix_sources(nothing).count() == 0

@@ -57,7 +57,7 @@ def _placed(docs: DataFrame, cap: int, seed: int) -> DataFrame:
     targets = source_targets(placed.groupBy("source").agg(F.sum("size").alias("source_size")), cap)
     targets = targets.select(F.col("source").alias("_source"), "source_size", "target")
     budget = F.floor("target")
-    epochs = F.expr("coalesce(floor(target) div source_size, 0)")
+    epochs = F.expr("coalesce(floor(target) div nullif(source_size, 0), 0)")
     joined = placed.join(targets, F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumn("epochs", epochs)
     rest = budget - F.col("epochs") * F.col("source_size")
     return joined.withColumn("last", F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("before_size"))))
