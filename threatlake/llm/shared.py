@@ -46,6 +46,38 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables of one job in the shared folder; those not ``kept`` are deleted when the job ends."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *failed) -> None:
+        for path in self.paths:
+            removed(self.spark, path)
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        path = scratch_path(self.spark, name)
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def kept(self, df: DataFrame, name: str) -> DataFrame:
+        return written(df, name)
+
+
+#: Bytes of a batch that a Python worker gets at once.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the bytes of Arrow batches, which else hold 10,000 rows however long their texts are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def keeping_columns(docs: DataFrame, used: tuple[str, ...], step) -> DataFrame:
     """``step`` applied to ``docs`` while columns that it does not use bear other names, so that no name of theirs clashes."""
     names = {c: c if c in used else f"__own_{k}" for k, c in enumerate(docs.columns)}
