@@ -1,8 +1,11 @@
 import hashlib
 import random
+import re
 
+import xxhash
 from pyspark.sql import functions as F
 
+from threatlake.llm import simhash
 from threatlake.llm.simhash import fingerprint_edits, fingerprints, following, near_fingerprints
 
 
@@ -41,6 +44,47 @@ def test_plan_has_no_python(corpus):
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
 
 
+def plain_fingerprint(text):
+    votes, total = [0] * 64, 0
+    for w in re.split(r"[ \t-\r]+", text.lower()):
+        h, weight = xxhash.xxh64_intdigest(w.encode(), seed=42), min(len(w), 12)
+        total += weight
+        for k in range(64):
+            votes[k] += weight * (h >> k & 1)
+    return f"{sum(1 << k for k in range(64) if 2 * votes[k] > total):016x}"
+
+
+def test_bits_and_search_against_brute_force(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 15)))
+    texts = []
+    for _ in range(12):
+        base = [word() for _ in range(300)]
+        for _ in range(10):
+            w = list(base)
+            for _ in range(rng.randrange(0, 6)):
+                w[rng.randrange(300)] = word()
+            texts.append(" ".join(w))
+    texts += [texts[0], "", "Ünïcode   Wörds\tAND more", "a" * 30]
+    sparse = [rng.randrange(1 << 60) // 2 * 2 for _ in texts]  # ids far apart: no two share a bucket
+    ids = [i - i % 50 if k % 5 == 0 else i for k, i in enumerate(sparse)]
+    rows = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").repartition(3)
+    found = sorted(fingerprint_edits(rows).collect(), key=lambda r: r.doc_id)
+    order = sorted(zip(ids, texts))
+    prints = [plain_fingerprint(t) for _, t in order]
+    assert [r.fingerprint for r in found] == prints
+    differ = lambda a, b: bin(int(a, 16) ^ int(b, 16)).count("1")
+    for k, r in enumerate(found):
+        assert r.near_next == 1 - differ(prints[k], prints[(k + 1) % len(prints)]) / 64
+        if r.doc_id % 50:
+            assert r.near_fingerprints is None and r.near_documents is None and r.nearest is None
+        else:
+            near = [p for p in prints if p != prints[k] and differ(p, prints[k]) <= 3]
+            assert (r.near_fingerprints, r.near_documents) == (len(set(near)), len(near))
+            assert r.nearest == min((differ(p, prints[k]) for p in near), default=None)
+    assert any(r.near_documents for r in found)
+
+
 def test_following_wraps_round(spark):
     ids = sorted(random.Random(1).sample(range(10**7), 300))
     found = {r.bucket: r.next_bucket for r in following(spark.createDataFrame([(i,) for i in ids], "bucket long")).collect()}
@@ -58,5 +102,13 @@ def test_block_tables_find_all(spark):
     assert found == want
 
 
+def test_crowded_keys_are_dealt_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CROWD", 3)
+    stored = [1 << k for k in range(40)] + [0]
+    one = spark.createDataFrame([(7, 0)], "query long, fingerprint long")
+    found = near_fingerprints(one, spark.createDataFrame([(x,) for x in stored], "fingerprint long"), 3).collect()
+    assert sorted((r.fingerprint, r.distance) for r in found) == sorted((x, bin(x).count("1")) for x in stored)
+
+
 def test_empty(nothing):
     assert fingerprint_edits(nothing).count() == 0

@@ -6,10 +6,10 @@ to 12, so that short function words count little.  Votes are summed in packed
 longs by an aggregate over the exploded words, combined before the shuffle.  A
 bit is set if more than half of the weight votes for it.
 
-``near_fingerprints`` finds all pairs of query and stored fingerprints within a
-Hamming radius: the 64 bits are cut into ``radius + extra`` blocks; two
-fingerprints within the radius agree on at least ``extra`` blocks, so a table
-per choice of ``extra`` blocks, keyed by those blocks' bits, meets every pair.
+Then fingerprints are searched: the 64 bits are cut into ``radius + extra``
+blocks; two fingerprints within the radius agree on at least ``extra`` blocks, so
+a table per choice of ``extra`` blocks, keyed by those blocks' bits, meets every
+pair.  Equal fingerprints are one entry of the tables, whatever bears them.
 
 The next document is found in windows over buckets of 1,024 neighbouring ids;
 ids must not repeat without bound, since rows of one id share a bucket.
@@ -28,11 +28,13 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import bounded_broadcast, shuffle_width, written
 
 LONGEST, CHUNK_BITS = 12, 11
 #: Ids that share a bucket when a row looks for the next one, as a power of two.
 BUCKET_BITS = 10
+#: Differing bits of fingerprints that are near, and stored fingerprints of a block key that go to one part.
+RADIUS, CROWD = 3, 4096
 
 
 def fingerprints(texts: DataFrame, keys: list[str], texts_col: str) -> DataFrame:
@@ -59,18 +61,19 @@ def likeness(a: Column, b: Column) -> Column:
     return 1 - F.bit_count(a.bitwiseXOR(b)) / 64
 
 
-def following(buckets: DataFrame, bits: int = BUCKET_BITS) -> DataFrame:
-    """(bucket, next_bucket) in ascending order of ``buckets(bucket)``; the last one's next is the first.
+def following(buckets: DataFrame) -> DataFrame:
+    """(bucket, next_bucket) in ascending order of the distinct ``buckets(bucket)``; the last one's next is the first.
 
-    Buckets look for the next one among those with the same leading bits; only
-    the firsts of these groups, fewer by up to 2^bits, meet in one window.
+    Buckets are dealt by ranges and look for the next one within their range;
+    only the firsts of the ranges, one row for each, meet in one window.
     """
-    grouped = buckets.withColumn("lead_bits", F.shiftright("bucket", bits))
-    near = grouped.withColumn("next_bucket", F.lead("bucket").over(Window.partitionBy("lead_bits").orderBy("bucket")))
-    firsts = grouped.groupBy("lead_bits").agg(F.min("bucket").alias("first"))
-    chain = firsts.select(F.col("lead_bits").alias("_lead"), F.lead("first").over(Window.orderBy("lead_bits")).alias("_next"))
-    lowest = buckets.agg(F.min("bucket").alias("_lowest"))
-    joined = near.join(chain, F.col("lead_bits") == F.col("_lead")).crossJoin(F.broadcast(lowest))
+    spark = buckets.sparkSession
+    dealt = written(buckets.repartitionByRange(shuffle_width(spark), "bucket").select("bucket", F.spark_partition_id().alias("range")), "ranges")
+    near = dealt.withColumn("next_bucket", F.lead("bucket").over(Window.partitionBy("range").orderBy("bucket")))
+    firsts = dealt.groupBy("range").agg(F.min("bucket").alias("first"))
+    chain = firsts.select(F.col("range").alias("_range"), F.lead("first").over(Window.orderBy("range")).alias("_next"))
+    lowest = dealt.agg(F.min("bucket").alias("_lowest"))
+    joined = near.join(F.broadcast(chain), F.col("range") == F.col("_range")).crossJoin(F.broadcast(lowest))
     return joined.select("bucket", F.coalesce("next_bucket", "_next", "_lowest").alias("next_bucket"))
 
 
@@ -89,11 +92,12 @@ def with_next(rows: DataFrame, order: list[str], col: str) -> DataFrame:
     return joined.withColumn(f"next_{col}", F.when(F.col("_more"), F.col("_ahead")).otherwise(F.col("_value"))).drop("_ahead", "_more", "_from", "_value")
 
 
-def fingerprint_edits(docs: DataFrame) -> DataFrame:
-    """Per row: its fingerprint, that of its edited text, and their likeness.
+def fingerprint_edits(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Per row: its fingerprint, that of its edited text, their likeness, and for query rows what is near it.
 
     The edited text has the last floor(n_chars / 4) characters replaced by the
-    first as many of the next document's text.
+    first as many of the next document's text.  Rows whose id is divisible by 50
+    are searched among all rows; the columns of the search are null elsewhere.
     """
     base = docs.select(
         F.col("doc_id").cast("long"),
@@ -112,7 +116,10 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     paired = made.groupBy(*keys[:-1]).agg(
         F.max(F.when(F.col("version") == 0, F.col("fingerprint"))).alias("fp"), F.max(F.when(F.col("version") == 1, F.col("fingerprint"))).alias("edited_fp")
     )
-    rows = with_next(written(paired, "fingerprints").withColumnRenamed("place", "rank"), ["rank"], "fp")
+    paired = written(paired, "fingerprints")
+    rows = with_next(paired.withColumnRenamed("place", "rank"), ["rank"], "fp")
+    near = near_counts(paired.select("doc_id", "fp"), radius)
+    rows = rows.join(bounded_broadcast(near), (F.col("fp") == F.col("_fp")) & F.expr(IS_QUERY), "left")
     as_hex = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
     return rows.select(
         "doc_id",
@@ -122,15 +129,40 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
         as_hex("edited_fp").alias("edited_fingerprint"),
         likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
         likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+        "near_fingerprints",
+        "near_documents",
+        "nearest",
     )
 
 
-def near_fingerprints(queries: DataFrame, stored: DataFrame, radius: int = 3, extra: int = 3) -> DataFrame:
+#: The rows whose fingerprints are searched among all others.
+IS_QUERY = "doc_id % 50 = 0"
+
+
+def near_counts(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(_fp, near_fingerprints, near_documents, nearest) for the fingerprints of the query rows among ``rows(doc_id, fp)``.
+
+    How many other fingerprints are within the radius, how many rows bear them,
+    and the distance of the nearest (null if there is none).
+    """
+    stored = written(rows.groupBy(F.col("fp").alias("fingerprint")).agg(F.count(F.lit(1)).alias("bearers"), F.max(F.coalesce(F.expr(IS_QUERY), F.lit(False))).alias("asked")), "stored")
+    queries = stored.where("asked").select(F.col("fingerprint").alias("query"), "fingerprint")
+    found = near_fingerprints(queries, stored.select("fingerprint"), radius).where("query <> fingerprint")
+    counted = found.join(stored.select(F.col("fingerprint").alias("_s"), "bearers"), F.col("fingerprint") == F.col("_s"))
+    counted = counted.groupBy("query").agg(F.count(F.lit(1)).alias("n"), F.sum("bearers").alias("rows"), F.min("distance").alias("nearest"))
+    named = queries.select(F.col("query").alias("_fp")).join(counted, F.col("_fp") == F.col("query"), "left")
+    count = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return named.select("_fp", count("n").alias("near_fingerprints"), count("rows").alias("near_documents"), F.col("nearest").cast("int").alias("nearest"))
+
+
+def near_fingerprints(queries: DataFrame, stored: DataFrame, radius: int = RADIUS, extra: int = 3) -> DataFrame:
     """(query, fingerprint, distance): every stored fingerprint within ``radius`` of a query's.
 
     ``queries(query, fingerprint)`` and ``stored(fingerprint)``; equal stored
     fingerprints count once.  Block tables are keyed by table number and the
-    chosen blocks, so no table is searched whole.
+    chosen blocks, so no table is searched whole; a pair is named in the first
+    table in which it meets.  A key of more than CROWD stored fingerprints is
+    dealt in as many parts as that takes, and its queries go to each part.
     """
     blocks = radius + extra
     edges = [64 * k // blocks for k in range(blocks + 1)]
@@ -143,6 +175,12 @@ def near_fingerprints(queries: DataFrame, stored: DataFrame, radius: int = 3, ex
     keyed = lambda col: F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.col(col).bitwiseAND(F.lit(m)).alias("k")) for t, m in enumerate(masks))))
     left = queries.select("query", F.col("fingerprint").alias("q"), keyed("fingerprint").alias("at"))
     right = stored.select("fingerprint").distinct().select("fingerprint", keyed("fingerprint").alias("at2"))
-    distance = F.bit_count(F.col("q").bitwiseXOR(F.col("fingerprint")))
-    met = left.join(right, F.col("at") == F.col("at2")).withColumn("distance", distance).where(F.col("distance") <= radius)
-    return met.groupBy("query", "fingerprint").agg(F.min("distance").alias("distance"))
+    crowds = written(right.groupBy("at2").count().where(F.col("count") > CROWD), "crowds").select(F.col("at2").alias("crowd"), F.ceil(F.col("count") / CROWD).cast("int").alias("parts"))
+    crowds = bounded_broadcast(crowds)
+    one = F.coalesce("parts", F.lit(1))
+    left = left.join(crowds, F.col("at") == F.col("crowd"), "left").select("query", "q", "at", F.explode(F.sequence(F.lit(0), one - 1)).alias("part"))
+    right = right.join(crowds, F.col("at2") == F.col("crowd"), "left").select("fingerprint", "at2", F.pmod(F.xxhash64("fingerprint"), one).cast("int").alias("part2"))
+    differing = F.col("q").bitwiseXOR(F.col("fingerprint"))
+    first = F.array_position(F.array(*(differing.bitwiseAND(F.lit(m)) == 0 for m in masks)), F.lit(True)) - 1
+    met = left.join(right, (F.col("at") == F.col("at2")) & (F.col("part") == F.col("part2")) & (F.bit_count(differing) <= radius) & (first == F.col("at.t")))
+    return met.select("query", "fingerprint", F.bit_count(differing).alias("distance")).distinct()
