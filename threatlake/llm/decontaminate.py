@@ -6,11 +6,11 @@ within ``e`` edits, a tenth of the window's length.  Such an occurrence shares
 at least L + 1 - q (e + 1) q-grams with the window, all within e + 1 neighbouring
 diagonals; so hits are counted in overlapping bands of 2 (e + 1) diagonals, the
 bands that reach the bound are kept, and a banded alignment verifies each.  An
-item is found in a document if at least half of its windows are.
+item is found in a document if any of its windows is, and reported with the
+share of its windows found.
 
 Text is normalised to case-folded words (Unicode's full folding, composed by
-NFC) of letters, digits and non-ASCII characters parted by single blanks.  Items below SHORT bytes are found only
-word for word.
+NFC) of letters, digits and non-ASCII characters parted by single blanks.
 
 The benchmark is read in blocks of at most BLOCK windows, each small enough to
 broadcast, and every block is held against all documents, whole texts, in one
@@ -32,9 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import keeping_columns, written
+from .shared import keeping_columns, small_batches, written
 
-Q, WINDOW, SHORT, RATE, BLOCK = 8, 96, 32, 10, 10_000
+WINDOW, RATE, BLOCK = 96, 10, 20_000
+#: The length from which windows are cut into 8-grams; below it the lemma's bound would be empty, so shorter ones use 4-grams.
+LONG = 32
 PIECE, SLICE = 1 << 20, 500
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
@@ -61,13 +63,13 @@ def windows_of(item: bytes) -> list[bytes]:
 
 def budget(length: int) -> int:
     """Edits that an occurrence may have."""
-    return length // RATE if length >= SHORT else 0
+    return length // RATE
 
 
-def grams(text: bytes) -> np.ndarray:
-    """The text's q-grams (q = 8) as 64-bit numbers."""
+def grams(text: bytes, q: int) -> np.ndarray:
+    """The text's q-grams (q a power of 2 up to 8) as 64-bit numbers."""
     x = np.frombuffer(text, dtype=np.uint8).astype(np.uint64)
-    for width in (1, 2, 4):
+    for width in (w for w in (1, 2, 4) if w < q):
         x = x[:-width] | (x[width:] << np.uint64(8 * width)) if len(x) > width else x[:0]
     return x
 
@@ -98,33 +100,32 @@ def banded_distances(patterns: list[bytes], texts: list[bytes], lows: list[int],
     return row.min(axis=1)
 
 
-class Index:
-    """Q-grams of a block of windows: sorted grams with postings, and a table that rules most grams out."""
+class Grams:
+    """Q-grams of some windows of a block: sorted grams with postings, and a table that rules most grams out."""
 
     BITS = 20
     SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
-    def __init__(self, windows: list[bytes]):
-        self.windows = windows
-        self.short = {k: b" " + w + b" " for k, w in enumerate(windows) if len(w) < SHORT}
-        listed = [(k, grams(w)) for k, w in enumerate(windows) if len(w) >= SHORT]
-        gram = np.concatenate([g for _, g in listed]) if listed else np.zeros(0, dtype=np.uint64)
+    def __init__(self, windows: list[bytes], numbers: list[int], q: int):
+        self.q = q
+        listed = [(k, grams(windows[k], q)) for k in numbers]
+        gram = np.concatenate([g for _, g in listed])
         order = np.argsort(gram, kind="stable")
-        self.window = np.concatenate([np.full(len(g), k, dtype=np.int64) for k, g in listed])[order] if listed else np.zeros(0, dtype=np.int64)
-        self.offset = np.concatenate([np.arange(len(g), dtype=np.int64) for _, g in listed])[order] if listed else np.zeros(0, dtype=np.int64)
+        self.window = np.concatenate([np.full(len(g), k, dtype=np.int64) for k, g in listed])[order]
+        self.offset = np.concatenate([np.arange(len(g), dtype=np.int64) for _, g in listed])[order]
         self.gram, self.start, self.count = np.unique(gram[order], return_index=True, return_counts=True)
         self.table = np.zeros(1 << self.BITS, dtype=bool)
         self.table[self._slot(self.gram)] = True
         lengths = np.array([len(w) for w in windows], dtype=np.int64)
-        self.edits = np.array([budget(len(w)) for w in windows], dtype=np.int64)
-        self.bound = lengths + 1 - Q * (self.edits + 1)
+        self.edits = lengths // RATE
+        self.bound = lengths + 1 - q * (self.edits + 1)
 
     def _slot(self, gram: np.ndarray) -> np.ndarray:
         return ((gram * self.SPREAD) >> np.uint64(64 - self.BITS)).astype(np.int64)
 
     def candidates(self, text: bytes) -> list[tuple[int, int, int]]:
         """(window, lowest, highest diagonal) of the bands that reach the lemma's bound."""
-        gram = grams(text)
+        gram = grams(text, self.q)
         at = np.flatnonzero(self.table[self._slot(gram)])
         if not len(at) or not len(self.gram):
             return []
@@ -164,22 +165,34 @@ class Index:
         low = band * (self.edits[which] + 1) - WINDOW
         return list(zip(which.tolist(), low.tolist(), (low + 2 * (self.edits[which] + 1) - 1).tolist()))
 
+
+
+class Index:
+    """A block of windows, each looked up by the q-grams that its length allows; below RATE bytes no edit is allowed, so those are found as whole words."""
+
+    def __init__(self, windows: list[bytes]):
+        self.windows = windows
+        self.edits = [budget(len(w)) for w in windows]
+        self.words = {k: b" " + w + b" " for k, w in enumerate(windows) if not self.edits[k]}
+        split = [(q, [k for k, w in enumerate(windows) if self.edits[k] and (len(w) >= LONG) == (q == 8)]) for q in (8, 4)]
+        self.parts = [Grams(windows, numbers, q) for q, numbers in split if numbers]
+
     def search(self, texts: list[bytes]) -> list[dict[int, int]]:
         """Per normalised text {window: least edits} of the windows that occur in it."""
         found: list[dict[int, int]] = [{} for _ in texts]
         asked: dict[int, list[tuple[int, int, bytes, int]]] = {}
         for number, text in enumerate(texts):
             here = found[number]
-            if self.short:
+            if self.words:
                 padded = b" " + text + b" "
-                here.update((k, 0) for k, w in self.short.items() if w in padded)
+                here.update((k, 0) for k, w in self.words.items() if w in padded)
             at = 0
             while True:
                 piece = text[at : at + PIECE]
-                for k, low, high in self.candidates(piece):
+                for k, low, high in (c for part in self.parts for c in part.candidates(piece)):
                     if here.get(k) == 0:
                         continue
-                    window, edits = self.windows[k], int(self.edits[k])
+                    window, edits = self.windows[k], self.edits[k]
                     begin = max(0, low - edits)
                     stretch = piece[begin : max(0, high + len(window) + edits)]
                     if window in stretch:
@@ -214,21 +227,24 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     return benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("binary")).mapInArrow(cut, "item_id long, n_windows long, window binary")
 
 
-def contaminations(docs: DataFrame, benchmark: DataFrame, share: float = 0.5) -> DataFrame:
-    """(doc_id, text_key, item_id, n_windows, n_found, edits): the items found in each document.
+def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, text_key, item_id, n_windows, n_found, edits): every item of which a window occurs in a document.
 
-    ``text_key`` is xxhash64 of the text, ``edits`` the fewest edits of a found window.
+    ``text_key`` is xxhash64 of the text, ``edits`` the fewest edits of a found
+    window; the caller may ask for a larger share n_found / n_windows.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     table = written(benchmark_windows(benchmark), "benchmark")
     distinct = written(table.groupBy("window").agg(F.count(F.lit(1)).alias("n")), "windows")
     blocks = max(1, -(-distinct.count() // (BLOCK // 2)))
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), F.col("text").cast("binary"))
     schema = "doc_id long, text_key long, found binary, edits int"
-    hits = None
+    hits, held = None, []
     for block in range(blocks):
         part = distinct.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == block).select("window")
         shared = spark.sparkContext.broadcast([bytes(r[0]) for r in part.collect()])
+        held.append(shared)
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = Index(shared.value)
@@ -244,11 +260,14 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, share: float = 0.5) ->
 
         one = rows.mapInArrow(search, schema)
         hits = one if hits is None else hits.unionByName(one)
-    met = written(hits, "window-hits").join(table, F.col("found") == F.col("window"))
-    items = met.groupBy("doc_id", "text_key", "item_id", "n_windows").agg(F.countDistinct("window").alias("n_found"), F.min("edits").alias("edits"))
+    found = written(hits, "window-hits")
+    for shared in held:
+        shared.destroy()
+    met = found.join(table, F.col("found") == F.col("window"))
     # an item may hold the same window twice
     own = table.groupBy("item_id").agg(F.countDistinct("window").alias("n_own")).select(F.col("item_id").alias("_item"), "n_own")
-    joined = items.join(own, F.col("item_id").eqNullSafe(F.col("_item"))).where(F.col("n_found") >= F.col("n_own") * share)
+    items = met.groupBy("doc_id", "text_key", "item_id").agg(F.countDistinct("window").alias("n_found"), F.min("edits").alias("edits"))
+    joined = items.join(own, F.col("item_id").eqNullSafe(F.col("_item")))
     return joined.select("doc_id", "text_key", "item_id", F.col("n_own").alias("n_windows"), "n_found", "edits")
 
 
