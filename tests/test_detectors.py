@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from threatlake.engine import FAMILIES, ThreatEngine, scan_characters, scan_text
-from threatlake.functions.stego import decoded_payload, encode_text, hex_entropy, payload_class, text_entropy
+from threatlake.functions.stego import byte_entropy, decoded_payload, encode_text, payload_class, text_entropy
 from threatlake.functions.text import lines
 from threatlake.operators import patterns as P
 from threatlake.operators import unicode_chars as U
@@ -78,7 +78,7 @@ def test_round_trip(spark, data):
 
 
 def test_entropy(spark):
-    rows = spark.createDataFrame([("41414141",), ("0001020304050607",), ("",)], "h string").select(F.round(hex_entropy(F.col("h")), 9)).collect()
+    rows = spark.createDataFrame([("41414141",), ("0001020304050607",), ("",)], "h string").select(F.round(byte_entropy(F.unhex("h")), 9)).collect()
     assert [r[0] for r in rows] == [0.0, 3.0, 0.0]
     assert spark.range(1).select(payload_class(F.lit(100), F.lit(6.5), F.lit(True))).first()[0] == "suspicious_data"
     assert abs(spark.range(1).select(text_entropy(F.lit("ab"))).first()[0] - 1) < 1e-12

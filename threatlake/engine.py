@@ -20,21 +20,36 @@ Detector = Callable[[DataFrame], DataFrame]
 SemanticDetector = Callable[[DataFrame, dict], DataFrame]
 
 
-def _glassware(files: DataFrame) -> DataFrame:
-    parts = (patterns.stego_runs, patterns.pipe_stego, patterns.decoder_functions, patterns.indicator_findings)
-    return functools.reduce(DataFrame.unionByName, (p(files) for p in parts))
+_STEGO = ("stego_runs", "pipe_stego", "decoder_functions", "indicators")
+
+
+def stego_family(files: DataFrame) -> DataFrame:
+    """Hidden payloads, their decoders and loader patterns."""
+    return patterns.content_findings(files, _STEGO)
 
 
 #: The five families of the character scanner, in order, and the two whole-file detectors.
 FAMILIES: dict[str, Detector] = {
-    "invisible": unicode_chars.invisible_characters, "homoglyph": unicode_chars.homoglyphs, "bidi": unicode_chars.bidi_controls, "stego": _glassware, "tags": unicode_chars.tag_characters,
+    "invisible": unicode_chars.invisible_characters, "homoglyph": unicode_chars.homoglyphs, "bidi": unicode_chars.bidi_controls, "stego": stego_family, "tags": unicode_chars.tag_characters,
 }
 WHOLE_FILE: dict[str, Detector] = {"encrypted_payload": patterns.encrypted_payloads, "header_c2": patterns.header_channels}
+#: The parts of ``content_findings`` that these detectors are.
+_PARTS = {"stego": _STEGO, "encrypted_payload": ("encrypted",), "header_c2": ("channels",)}
+
+
+def fused(files: DataFrame, detectors: dict[str, Detector], fixes: bool = False) -> list[DataFrame]:
+    """What the detectors find: the library's own ones in two passes over the files, each other one in a pass of its own."""
+    own = {n for n, d in detectors.items() if d is {**FAMILIES, **WHOLE_FILE}.get(n)}
+    families = tuple(n for n in unicode_chars.CHARACTER_CLASSES if n in own)
+    parts = tuple(p for n in _PARTS if n in own for p in _PARTS[n])
+    found = [unicode_chars.character_findings(files, families, fixes)] if families else []
+    found += [patterns.content_findings(files, parts, fixes)] if parts else []
+    return found + [d(files) for n, d in detectors.items() if n not in own]
 
 
-def scan_characters(files: DataFrame, families: tuple[str, ...] = tuple(FAMILIES)) -> DataFrame:
+def scan_characters(files: DataFrame, families: tuple[str, ...] = tuple(FAMILIES), fixes: bool = False) -> DataFrame:
     """Findings of the chosen families of the character scanner."""
-    return functools.reduce(DataFrame.unionByName, (FAMILIES[f](files) for f in families))
+    return functools.reduce(DataFrame.unionByName, fused(files, {f: FAMILIES[f] for f in families}, fixes))
 
 
 def scan_text(spark: SparkSession, content: str, name: str) -> DataFrame:
@@ -44,8 +59,9 @@ def scan_text(spark: SparkSession, content: str, name: str) -> DataFrame:
 class ThreatEngine:
     """Starts empty; ``default`` has all detectors.  ``scan`` is lazy.
 
-    Every detector reads the files by itself.  With ``cache`` the files are kept
-    on disk by the first that reads them, so that a slow source is read once.
+    The library's first-layer detectors read the files twice, others once each.
+    With ``cache`` the files are kept on disk by the first that reads them, so
+    that a slow source is read once.
     Extracted facts are always kept.  ``release`` lets go of what is kept.
     """
 
@@ -83,7 +99,7 @@ class ThreatEngine:
         if self.cache:
             files = files.persist(StorageLevel.DISK_ONLY)
             self.cached.append(files)
-        parts = [d(files) for d in self.detectors.values()] if "l1" in self.layers else []
+        parts = fused(files, self.detectors, self.fixes) if "l1" in self.layers else []
         if "l2" in self.layers and self.semantic:
             extracted = file_facts(files).persist(StorageLevel.DISK_ONLY)  # many joins read the facts; they are extracted once
             self.cached.append(extracted)

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 #: Character class of carriers.
 CARRIER = r"\x{FE00}-\x{FE0F}\x{E0100}-\x{E01EF}"
 
@@ -28,26 +30,26 @@ def decoded_hex(run: Column) -> Column:
     return F.array_join(F.transform(carriers, byte), "")
 
 
-def hex_entropy(digits: Column) -> Column:
-    """Shannon entropy in bits of the bytes given as hex digits; 0 for none.
+def byte_entropy(data: Column) -> Column:
+    """Shannon entropy in bits of the bytes; 0 for none.
 
-    One pass over the sorted bytes adds c * log2(c) for every run of equal ones.
+    Bytes become characters; the count of each distinct one is what the text
+    loses when that character is taken out.
     """
-    pairs = F.array_sort(F.regexp_extract_all(digits, F.lit("(..)"), F.lit(1)))
-    start = F.struct(F.lit("").alias("last"), F.lit(0.0).alias("run"), F.lit(0.0).alias("total"))
-    add = lambda run: F.when(run > 1, run * F.log2(run)).otherwise(F.lit(0.0))
-    step = lambda s, b: F.struct(
-        b.alias("last"),
-        F.when(s["last"] == b, s["run"] + 1).otherwise(F.lit(1.0)).alias("run"),
-        F.when(s["last"] == b, s["total"]).otherwise(s["total"] + add(s["run"])).alias("total"),
-    )
-    n = F.octet_length(digits) / 2
-    return F.when(n > 0, F.aggregate(pairs, start, step, lambda s: F.log2(n) - (s["total"] + add(s["run"])) / n)).otherwise(F.lit(0.0))
+
+    def entropy(text: Column) -> Column:
+        n = F.length(text)
+        count = lambda c: (n - F.length(F.replace(text, c, F.lit("")))).cast("double")
+        weigh = lambda k: F.when(k > 1, k * F.log2(k)).otherwise(F.lit(0.0))
+        total = F.aggregate(F.transform(F.array_distinct(F.split(text, "")), count), F.lit(0.0), lambda s, k: s + weigh(k))
+        return F.when(n > 0, F.log2(n) - total / n).otherwise(F.lit(0.0))
+
+    return let(F.decode(data, "ISO-8859-1"), entropy)
 
 
 def text_entropy(text: Column) -> Column:
     """Shannon entropy of the text's UTF-8 bytes."""
-    return hex_entropy(F.hex(text.cast("binary")))
+    return byte_entropy(text.cast("binary"))
 
 
 def payload_class(n_bytes: Column, entropy: Column, utf8: Column) -> Column:
@@ -71,20 +73,23 @@ CLASS_DESCRIPTIONS = {
 
 def decoded_payload(run: Column) -> Column:
     """struct(bytes, entropy, is_valid_utf8, decoded_text, payload_class, codepoint_count); null below four carriers."""
-    digits = decoded_hex(run)
-    data = F.unhex(digits)
-    as_text = data.cast("string")
-    utf8 = F.is_valid_utf8(as_text)
-    entropy = hex_entropy(digits)
-    made = F.struct(
-        data.alias("bytes"),
-        entropy.alias("entropy"),
-        utf8.alias("is_valid_utf8"),
-        F.when(utf8, as_text).alias("decoded_text"),
-        payload_class(F.octet_length(data), entropy, utf8).alias("payload_class"),
-        carrier_count(run).cast("long").alias("codepoint_count"),
-    )
-    return F.when(carrier_count(run) >= 4, made)
+
+    def described(data: Column) -> Column:
+        as_text = data.cast("string")
+        utf8 = F.is_valid_utf8(as_text)
+        return let(
+            byte_entropy(data),
+            lambda entropy: F.struct(
+                data.alias("bytes"),
+                entropy.alias("entropy"),
+                utf8.alias("is_valid_utf8"),
+                F.when(utf8, as_text).alias("decoded_text"),
+                payload_class(F.octet_length(data), entropy, utf8).alias("payload_class"),
+                carrier_count(run).cast("long").alias("codepoint_count"),
+            ),
+        )
+
+    return F.when(carrier_count(run) >= 4, let(F.unhex(decoded_hex(run)), described))
 
 
 def hex_preview(data: Column, most: int = 32) -> Column:

@@ -31,8 +31,13 @@ def matches(text: Column, patterns) -> Column:
     return text.rlike("(?U)" + "|".join(f"(?:{p})" for p in patterns))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, though a lambda of the body names it many times."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def byte_column(text: Column, pattern: str) -> Column:
-    """1-based byte offset of the pattern's first match; null without one."""
+    """1-based byte offset of the pattern's first match; null without one.  What stands before is only looked for where there is a match."""
     before = F.regexp_extract(text, f"(?Us)^(.*?)(?:{pattern})", 1)
     return F.when(text.rlike(f"(?U){pattern}"), F.octet_length(before) + 1).cast("long")
 
@@ -45,15 +50,51 @@ def lines(files: DataFrame, keep: tuple[str, ...] = ("path",)) -> DataFrame:
     return parts.where(ended | (F.col("_raw") != "")).select(*keep, (F.col("_pos") + 1).cast("long").alias("line"), text.alias("text"))
 
 
-def chars(line_rows: DataFrame, wanted: str, keep: tuple[str, ...] = ("path", "line", "text")) -> DataFrame:
-    """(*keep, column, cp, character, before, after) of the characters in the class ``wanted``.
+def line_array(content: Column) -> Column:
+    """The lines as ``lines`` gives them, as an array; an empty last line stays, it matches nothing."""
+    last = F.size(F.split(content, "\n", -1)) - 1
+    return F.transform(F.split(content, "\n", -1), lambda x, i: F.when((i < last) & x.endswith("\r"), F.left(x, F.length(x) - 1)).otherwise(x))
+
+
+#: Word characters of identifiers, and how many of them are looked at to each side before the whole rest of the line is.
+WORD = r"[\p{IsAlphabetic}\p{N}_]"
+_NEAR = 64
+
+
+def _word_around(cells: Column, at: Column) -> Column:
+    """The run of word characters that holds the character number ``at`` (from 0)."""
+    part = lambda first, n: F.array_join(F.slice(cells, first, n), "")
+    head = lambda text: F.regexp_extract(text, f"^({WORD}*)", 1)
+    grown = lambda near, far: F.when(F.length(near) < _NEAR, near).otherwise(far)
+    begin = F.greatest(at - _NEAR, F.lit(0))
+    left = grown(head(F.reverse(part(begin + 1, at - begin))), head(F.reverse(part(F.lit(1), at))))
+    right = grown(head(part(at + 2, F.lit(_NEAR))), head(part(at + 2, F.size(cells))))
+    return F.concat(F.reverse(left), F.get(cells, at), right)
 
-    Lines without such a character are dropped before anything is exploded.
+
+def chars(line_rows: DataFrame, wanted: str, keep: tuple[str, ...] = ("path", "line"), words: str | None = None) -> DataFrame:
+    """(*keep, column, cp, character, before, after, context, word) of the characters in the class ``wanted``, all of them beyond ASCII.
+
+    Lines without such a character are dropped first; in the others only the
+    wanted characters become rows, with the few neighbours they need, so that a
+    long line is never copied.  ``context`` has 20 characters to each side, with
+    ellipses where it is cut; ``word`` is the identifier around a character in the
+    class ``words``, else null.
     """
-    split = line_rows.where(F.col("text").rlike(wanted)).withColumn("_chars", F.split("text", ""))
-    rows = split.select(*keep, "_chars", F.posexplode("_chars").alias("_at", "character")).where(F.col("character").rlike(wanted))
-    beside = lambda step: F.ascii(F.get("_chars", F.col("_at") + step))
-    return rows.select(*keep, (F.col("_at") + 1).cast("long").alias("column"), F.ascii("character").cast("long").alias("cp"), "character", beside(-1).alias("before"), beside(1).alias("after"))
+    n = F.size("_chars")
+
+    def hit(c: Column, i: Column) -> Column:
+        beside = lambda step: F.ascii(F.get("_chars", i + step))
+        first, last = F.greatest(i - 20, F.lit(0)), F.least(i + 20, n)
+        context = F.concat(F.when(i > 20, "...").otherwise(""), F.array_join(F.slice("_chars", first + 1, last - first), ""), F.when(i + 20 < n, "...").otherwise(""))
+        word = F.when(c.rlike(words), _word_around(F.col("_chars"), i)) if words else F.lit(None).cast("string")
+        row = F.struct(
+            (i + 1).cast("long").alias("column"), F.ascii(c).cast("long").alias("cp"), c.alias("character"), beside(-1).alias("before"), beside(1).alias("after"), context.alias("context"), word.alias("word")
+        )
+        return F.when((F.ascii(c) > 127) & c.rlike(wanted), row)
+
+    split = line_rows.where(F.col("text").rlike(wanted)).select(*keep, F.split("text", "").alias("_chars"))
+    return split.select(*keep, F.explode(F.array_compact(F.transform("_chars", hit))).alias("_c")).select(*keep, "_c.*")
 
 
 def beside_emoji() -> Column:
@@ -61,14 +102,6 @@ def beside_emoji() -> Column:
     return F.coalesce(in_ranges(F.col("before"), EMOJI_RANGES), F.lit(False)) | F.coalesce(in_ranges(F.col("after"), EMOJI_RANGES), F.lit(False))
 
 
-def line_context(width: int = 20) -> Column:
-    """The text around ``column``, ``width`` characters to each side, with ellipses where it is cut."""
-    return F.expr(
-        f"concat(if(column - 1 > {width}, '...', ''), substring(text, cast(greatest(column - 1 - {width}, 0) + 1 as int), "
-        f"cast(least(column - 1 + {width}, length(text)) - greatest(column - 1 - {width}, 0) as int)), if(column - 1 + {width} < length(text), '...', ''))"
-    )
-
-
 def place_of(prefix: Column) -> tuple[Column, Column]:
     """1-based (line, column) that follows ``prefix``; only U+000A ends lines."""
     line = F.regexp_count(prefix, F.lit("\n")) + 1

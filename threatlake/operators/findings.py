@@ -17,8 +17,8 @@ def lookup(pairs: dict, key: Column) -> Column:
     return F.try_element_at(literal_map(pairs), key)
 
 
-def finding(rows: DataFrame, name: str, order: int, /, **fields) -> DataFrame:
-    """``rows`` as findings: ``fields`` are columns or constants, the rest is null."""
+def finding_columns(name: str, order: int, /, **fields) -> list[Column]:
+    """The columns of a finding: ``fields`` are columns or constants, the rest is null or of that name."""
     defaults = {
         "code_point": F.lit(0).cast("bigint"), "character": F.lit(""), "remediation": F.lit(None).cast("string"), "cwe_id": F.lit(None).cast("string"),
         "references": F.array().cast("array<string>"), "context": F.lit(None).cast("string"), "decoded_payload": F.lit(None).cast(PAYLOAD), "confidence": F.lit(None).cast("double"),
@@ -26,7 +26,18 @@ def finding(rows: DataFrame, name: str, order: int, /, **fields) -> DataFrame:
     }
     given = {k: v if isinstance(v, Column) else F.lit(v) for k, v in fields.items()}
     columns = {**{c: F.col(c) for c in FINDING_COLUMNS if c not in defaults}, **defaults, **given}
-    return rows.select(*(columns[c].alias(c) for c in FINDING_COLUMNS))
+    return [columns[c].alias(c) for c in FINDING_COLUMNS]
+
+
+def finding(rows: DataFrame, name: str, order: int, /, **fields) -> DataFrame:
+    """``rows`` as findings."""
+    return rows.select(*finding_columns(name, order, **fields))
+
+
+def exploded(rows: DataFrame, made: list[tuple[Column, list[Column]]]) -> DataFrame:
+    """The findings that ``rows`` make: each of ``made`` (condition, columns) makes one where its condition holds."""
+    found = F.array_compact(F.array(*(F.when(condition, F.struct(*columns)) for condition, columns in made)))
+    return rows.select(F.explode(found).alias("_f")).select("_f.*")
 
 
 def severity_rank(severity: Column, fixes: bool = False) -> Column:

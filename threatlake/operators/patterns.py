@@ -1,96 +1,126 @@
 """Detectors of hidden payloads and of code patterns.
 
 Each takes files(path, content) and returns findings.  Payload places count code
-points; pattern columns count bytes, as the reproduced behaviour does.
+points; pattern columns count bytes, as the reproduced behaviour does.  What a
+file holds is found within its row, by functions of arrays of runs and lines; so
+no detector shuffles, and ``content_findings`` runs any of them in one pass.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed as X
-from ..functions.stego import CARRIER, decoded_payload, text_entropy
-from ..functions.text import byte_column, lines, matches, place_of, short_line
-from .findings import finding, lookup
+from ..functions.stego import CARRIER, carrier_count, decoded_payload, text_entropy
+from ..functions.text import byte_column, let, line_array, matches, place_of, short_line
+from .findings import finding_columns, lookup
 
 
-def carrier_runs(files: DataFrame, least: int = X.RUN_LENGTH, lead: str = "") -> DataFrame:
-    """(path, content, run_no, start, run, n): runs of at least ``least`` carriers after ``lead``; ``start`` counts code points from 0.
+def run_array(content: Column, least: int = X.RUN_LENGTH, lead: str = "") -> Column:
+    """array<struct<start, run>>: runs of at least ``least`` carriers after ``lead``; ``start`` counts code points from 0.
 
     Places come from the lengths of what stands between matches, in one pass over the parts.
     """
     pattern = f"{lead}[{CARRIER}]{{{least},}}"
-    hit = files.where(F.col("content").rlike(pattern))
-    runs, gaps = F.regexp_extract_all("content", F.lit(f"({pattern})"), F.lit(1)), F.split("content", pattern, -1)
-    both = hit.select("path", "content", runs.alias("_runs"), gaps.alias("_gaps"))
-    lengths = F.transform(F.sequence(F.lit(0), F.size("_runs") - 1), lambda k: F.length(F.get("_gaps", k)) + F.when(k > 0, F.length(F.get("_runs", k - 1))).otherwise(F.lit(0)))
+    parts = F.struct(F.regexp_extract_all(content, F.lit(f"({pattern})"), F.lit(1)).alias("runs"), F.split(content, pattern, -1).alias("gaps"))
+    before = lambda p, k: F.length(F.get(p["gaps"], k)) + F.when(k > 0, F.length(F.get(p["runs"], k - 1))).otherwise(F.lit(0))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
-    starts = F.aggregate(lengths, start, lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["all"], F.array(s["at"] + n)).alias("all")))["all"]
-    rows = both.select("path", "content", F.posexplode(F.arrays_zip(F.col("_runs").alias("run"), starts.alias("start"))).alias("run_no", "_r"))
-    return rows.select("path", "content", "run_no", F.col("_r.start").alias("start"), F.col("_r.run").alias("run"), F.regexp_count("_r.run", F.lit(f"[{CARRIER}]")).cast("long").alias("n"))
+    add = lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["all"], F.array(s["at"] + n)).alias("all"))
+    starts = lambda p: F.aggregate(F.transform(p["runs"], lambda _, k: before(p, k)), start, add)["all"]
+    made = let(parts, lambda p: F.zip_with(starts(p), p["runs"], lambda at, run: F.struct(at.alias("start"), run.alias("run"))))
+    return F.when(content.rlike(pattern), made).otherwise(F.array().cast("array<struct<start: int, run: string>>"))
 
 
-def _around(width: int = 100) -> Column:
-    end = "(start + length(run))"
-    return F.expr(
-        f"concat(if(start > {width}, '...', ''), substring(content, greatest(start - {width}, 0) + 1, least(start, {width})), "
-        f"substring(content, {end} + 1, {width}), if({end} + {width} < length(content), '...', ''))"
-    )
+def carrier_runs(files: DataFrame, least: int = X.RUN_LENGTH, lead: str = "") -> DataFrame:
+    """(path, content, run_no, start, run, n) of every run."""
+    rows = files.select("path", "content", F.posexplode(run_array(F.col("content"), least, lead)).alias("run_no", "_r"))
+    return rows.select("path", "content", "run_no", F.col("_r.start").alias("start"), F.col("_r.run").alias("run"), carrier_count(F.col("_r.run")).cast("long").alias("n"))
 
 
-def _payload_findings(rows: DataFrame, detector: str, order: int, category: str, text: Column) -> DataFrame:
-    line, column = place_of(F.expr("left(content, start)"))
-    placed = rows.withColumn("line", line).withColumn("column", column)
-    return finding(
-        placed, detector, order, category=category, severity="critical", description=text, remediation="Look at the decoded payload and remove the hidden characters.", cwe_id="CWE-506",
-        context=_around(), decoded_payload=decoded_payload(F.col("run")),
+def _around(content: Column, start: Column, end: Column, width: int = 100) -> Column:
+    dots = lambda when: F.when(when, "...").otherwise("")
+    first = F.greatest(start - width, F.lit(0))
+    return F.concat(
+        dots(start > width), F.substring(content, first + 1, start - first), F.substring(content, end + 1, F.lit(width)), dots(end + width < F.length(content))
     )
 
 
-def stego_runs(files: DataFrame, least: int = X.RUN_LENGTH) -> DataFrame:
-    """Long runs of variation selectors, decoded."""
-    rows = carrier_runs(files, least)
-    return _payload_findings(rows, "stego", 3, "stegano_payload", F.concat(F.lit("Hidden payload in a run of "), F.col("n").cast("string"), F.lit(" variation selectors")))
+def _payloads(content: Column, least: int, lead: str, category: str, text) -> Column:
+    """Findings of the runs; ``text`` makes the description of a run's length."""
 
+    def one(r: Column) -> Column:
+        line, column = place_of(F.left(content, r["start"]))
+        end = r["start"] + F.length(r["run"])
+        return F.struct(*finding_columns(
+            "stego", 3, line=line, column=column, category=category, severity="critical", description=text(carrier_count(r["run"]).cast("string")),
+            remediation="Look at the decoded payload and remove the hidden characters.", cwe_id="CWE-506", context=_around(content, r["start"], end), decoded_payload=decoded_payload(r["run"]),
+        ))
 
-def pipe_stego(files: DataFrame) -> DataFrame:
-    """Variation selectors right after a pipe, decoded; the place is the pipe's."""
-    rows = carrier_runs(files, X.PIPE_RUN, r"\|")
-    return _payload_findings(rows, "stego", 3, "pipe_delimiter_stego", F.concat(F.lit("Hidden payload of "), F.col("n").cast("string"), F.lit(" variation selectors after a pipe")))
+    return F.transform(run_array(content, least, lead), one)
 
 
-def decoder_functions(files: DataFrame) -> DataFrame:
-    """Lines that name a selector constant and codePointAt; the column is that of the first pattern, in order, that matches."""
-    rows = lines(files.where(F.col("content").contains("codePointAt"))).where(F.col("text").contains("codePointAt"))
-    column = F.coalesce(*(byte_column(F.col("text"), p) for p in X.SELECTOR_CONSTANTS))
-    rows = rows.withColumn("column", column).where("column IS NOT NULL")
-    return finding(
-        rows, "stego", 3, category="decoder_function", severity="high", description="Decoder of variation selectors: codePointAt with their constants",
-        remediation="Find the file that carries the payload this code decodes.", cwe_id="CWE-506", context=short_line(F.col("text")),
-    )
+def _stego(content: Column) -> Column:
+    return _payloads(content, X.RUN_LENGTH, "", "stegano_payload", lambda n: F.concat(F.lit("Hidden payload in a run of "), n, F.lit(" variation selectors")))
+
+
+def _pipe(content: Column) -> Column:
+    return _payloads(content, X.PIPE_RUN, r"\|", "pipe_delimiter_stego", lambda n: F.concat(F.lit("Hidden payload of "), n, F.lit(" variation selectors after a pipe")))
+
+
+def _decoders(content: Column) -> Column:
+    def one(x: Column, i: Column) -> Column:
+        column = F.coalesce(*(byte_column(x, p) for p in X.SELECTOR_CONSTANTS))
+        made = finding_columns(
+            "stego", 3, line=(i + 1).cast("long"), column=column, category="decoder_function", severity="high", description="Decoder of variation selectors: codePointAt with their constants",
+            remediation="Find the file that carries the payload this code decodes.", cwe_id="CWE-506", context=short_line(x),
+        )
+        return F.when(x.contains("codePointAt") & matches(x, X.SELECTOR_CONSTANTS), F.struct(*made))
+
+    return F.when(content.contains("codePointAt"), F.array_compact(F.transform(line_array(content), one)))
 
 
 def indicator_confidence(n: Column) -> Column:
     return F.when(n == 2, 0.45).when(n == 3, 0.65).when(n.between(4, 5), 0.9).when(n > 5, 0.95)
 
 
+_INDICATORS = [(kind, p) for kind, patterns in (("decoder_pattern", X.DECODER_PATTERNS), ("eval_pattern", X.EVAL_PATTERNS), ("encoding_pattern", X.ENCODING_PATTERNS)) for p in patterns]
+
+
+def indicator_array(content: Column) -> Column:
+    """array<struct<line, text, kind, pattern_no, column>>: the first match of every pattern per line."""
+    every = [p for _, p in _INDICATORS]
+
+    def one(x: Column, i: Column) -> Column:
+        hits = (
+            F.when(x.rlike(f"(?U){p}"), F.struct((i + 1).cast("long").alias("line"), x.alias("text"), F.lit(kind).alias("kind"), F.lit(k).alias("pattern_no"), byte_column(x, p).alias("column")))
+            for k, (kind, p) in enumerate(_INDICATORS)
+        )
+        return F.when(matches(x, every), F.array_compact(F.array(*hits)))
+
+    return F.when(matches(content, every), F.flatten(F.array_compact(F.transform(line_array(content), one))))
+
+
 def indicators(files: DataFrame) -> DataFrame:
-    """(path, line, text, column, kind, pattern_no, n): the first match of every pattern per line; ``n`` counts those of the file."""
-    families = [("decoder_pattern", X.DECODER_PATTERNS), ("eval_pattern", X.EVAL_PATTERNS), ("encoding_pattern", X.ENCODING_PATTERNS)]
-    listed = [(kind, p) for kind, patterns in families for p in patterns]
-    rows = lines(files.where(matches(F.col("content"), [p for _, p in listed]))).where(matches(F.col("text"), [p for _, p in listed]))
-    hits = F.array(*(F.struct(F.lit(kind).alias("kind"), F.lit(k).alias("pattern_no"), byte_column(F.col("text"), p).alias("column")) for k, (kind, p) in enumerate(listed)))
-    found = rows.select("path", "line", "text", F.explode(F.filter(hits, lambda h: h["column"].isNotNull())).alias("h")).select("path", "line", "text", "h.*")
-    return found.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("path")))
+    """(path, line, text, column, kind, pattern_no, n); ``n`` counts the indicators of the file."""
+    rows = files.select("path", indicator_array(F.col("content")).alias("_all")).where("size(_all) > 0")
+    return rows.select("path", F.explode("_all").alias("_h"), F.size("_all").cast("long").alias("n")).select("path", "_h.*", "n")
 
 
-def indicator_findings(files: DataFrame) -> DataFrame:
+def _indicator_findings(content: Column) -> Column:
     """One finding per indicator in files that have at least two."""
-    rows = indicators(files).where("n >= 2").withColumn("sure", indicator_confidence(F.col("n")))
-    severity = F.when(F.col("sure") >= 0.8, "critical").when(F.col("sure") >= 0.6, "high").otherwise("medium")
-    text = F.format_string("Loader pattern: %s (confidence: %d%%)", F.col("kind"), F.round(F.col("sure") * 100).cast("int"))
-    return finding(rows, "stego", 3, category="glassware_pattern", severity=severity, description=text, remediation="Review what the file decodes and runs.", cwe_id="CWE-956", context=F.col("text"))
+
+    def made(listed: Column) -> Column:
+        sure = indicator_confidence(F.size(listed))
+        severity = F.when(sure >= 0.8, "critical").when(sure >= 0.6, "high").otherwise("medium")
+        text = lambda kind: F.format_string("Loader pattern: %s (confidence: %d%%)", kind, F.round(sure * 100).cast("int"))
+        one = lambda h: F.struct(*finding_columns(
+            "stego", 3, line=h["line"], column=h["column"], category="glassware_pattern", severity=severity, description=text(h["kind"]), remediation="Review what the file decodes and runs.",
+            cwe_id="CWE-956", context=h["text"],
+        ))
+        return F.when(F.size(listed) >= 2, F.transform(listed, one))
+
+    return let(indicator_array(content), made)
 
 
 def line_literal(text: Column) -> Column:
@@ -100,7 +130,7 @@ def line_literal(text: Column) -> Column:
     return F.when(quoted != "", quoted).when(template != "", template)
 
 
-def encrypted_payloads(files: DataFrame, fixes: bool = False) -> DataFrame:
+def _encrypted(content: Column, fixes: bool = False) -> Column:
     """Files with a blob of high entropy and a line that runs code.
 
     Hex runs can never pass 4.5 bits, so they only give the place: the first line
@@ -108,21 +138,22 @@ def encrypted_payloads(files: DataFrame, fixes: bool = False) -> DataFrame:
     ``fixes`` takes the first line with a blob of high entropy.
     """
     blob = f"{X.BASE64_RUN}|{X.QUOTED_LITERAL}|{X.TEMPLATE_LITERAL}"
-    rows = lines(files.where(matches(F.col("content"), X.EXEC_PATTERNS) & F.col("content").rlike(blob)))
-    rows = rows.where(F.col("text").rlike(blob) | matches(F.col("text"), X.EXEC_PATTERNS))
-    base64 = F.exists(F.regexp_extract_all("text", F.lit(f"({X.BASE64_RUN})"), F.lit(1)), lambda x: text_entropy(x) > X.ENTROPY_LIMIT)
-    literal = F.coalesce(text_entropy(line_literal(F.col("text"))) > X.ENTROPY_LIMIT, F.lit(False))
-    facts = rows.select(
-        "path", "line", base64.alias("base64"), literal.alias("literal"), matches(F.col("text"), X.EXEC_PATTERNS).alias("runs"),
-        F.col("text").rlike(X.HEX_RUN).alias("hex_run"), F.col("text").rlike(X.BASE64_RUN).alias("base64_run"),
-    )
-    first = lambda c: F.min(F.when(c, F.col("line")))
-    place = first(F.col("base64") | F.col("literal")) if fixes else F.coalesce(first(F.col("hex_run")), first(F.col("base64_run")), first(F.col("literal")), F.lit(1))
-    joined = facts.groupBy("path").agg(F.max(F.col("base64") | F.col("literal")).alias("blob"), F.max("runs").alias("runs"), place.alias("line")).where("blob AND runs")
-    return finding(
-        joined, "encrypted_payload", 5, column=F.lit(1).cast("bigint"), category="encrypted_payload", severity="high", description="Blob of high entropy in a file that runs code dynamically",
-        remediation="Decode the blob and review what is run.", cwe_id="CWE-506", character=F.lit(None).cast("string"),
-    )
+    dense = lambda x: F.exists(F.regexp_extract_all(x, F.lit(f"({X.BASE64_RUN})"), F.lit(1)), lambda run: text_entropy(run) > X.ENTROPY_LIMIT)
+    literal = lambda x: F.coalesce(text_entropy(line_literal(x)) > X.ENTROPY_LIMIT, F.lit(False))
+    told = lambda x, i: F.when(x.rlike(blob), F.struct((i + 1).alias("line"), dense(x).alias("base64"), literal(x).alias("literal"), x.rlike(X.HEX_RUN).alias("hex_run"), x.rlike(X.BASE64_RUN).alias("base64_run")))
+
+    def made(facts: Column) -> Column:
+        first = lambda test: F.array_min(F.transform(F.filter(facts, test), lambda f: f["line"]))
+        full = lambda f: f["base64"] | f["literal"]
+        place = first(full) if fixes else F.coalesce(first(lambda f: f["hex_run"]), first(lambda f: f["base64_run"]), first(lambda f: f["literal"]), F.lit(1))
+        one = finding_columns(
+            "encrypted_payload", 5, line=place.cast("long"), column=F.lit(1).cast("bigint"), category="encrypted_payload", severity="high", description="Blob of high entropy in a file that runs code dynamically",
+            remediation="Decode the blob and review what is run.", cwe_id="CWE-506", character=F.lit(None).cast("string"),
+        )
+        return F.when(F.exists(facts, full), F.array(F.struct(*one)))
+
+    runs = F.exists(line_array(content), lambda x: matches(x, X.EXEC_PATTERNS))
+    return F.when(matches(content, X.EXEC_PATTERNS) & content.rlike(blob) & runs, let(F.array_compact(F.transform(line_array(content), told)), made))
 
 
 def xor_proximity(content: Column) -> Column:
@@ -134,17 +165,57 @@ def xor_proximity(content: Column) -> Column:
     return near("charCodeAt", "String.fromCharCode", 0, 4) | near("String.fromCharCode", "charCodeAt", 5, 0)
 
 
-def header_channels(files: DataFrame) -> DataFrame:
+def _channels(content: Column) -> Column:
     """Files that read response headers of a client, decrypt, and run code."""
-    content = F.col("content")
-    hit = files.where(matches(content, X.CLIENT_PATTERNS) & matches(content, X.HEADER_PATTERNS) & matches(content, X.C2_EXEC_PATTERNS))
-    hit = hit.where(matches(content, X.DECRYPT_PATTERNS) | F.coalesce(F.when(content.contains("charCodeAt"), xor_proximity(content)), F.lit(False)))
-    places = F.transform(F.split("content", "\n", -1), lambda x, i: F.when(matches(x, X.HEADER_PATTERNS), i + 1))
-    rows = hit.select("path", F.coalesce(F.array_min(places), F.lit(1)).cast("bigint").alias("line"), F.lit(1).cast("bigint").alias("column"))
-    return finding(
-        rows, "header_c2", 6, category="header_c2", severity="critical", description="Response headers are read, decrypted and run", remediation="Review the network calls and the decryption.",
-        cwe_id="CWE-506", character=F.lit(None).cast("string"),
+    hit = matches(content, X.CLIENT_PATTERNS) & matches(content, X.HEADER_PATTERNS) & matches(content, X.C2_EXEC_PATTERNS)
+    hit &= matches(content, X.DECRYPT_PATTERNS) | F.coalesce(F.when(content.contains("charCodeAt"), xor_proximity(content)), F.lit(False))
+    places = F.transform(F.split(content, "\n", -1), lambda x, i: F.when(matches(x, X.HEADER_PATTERNS), i + 1))
+    one = finding_columns(
+        "header_c2", 6, line=F.coalesce(F.array_min(places), F.lit(1)).cast("bigint"), column=F.lit(1).cast("bigint"), category="header_c2", severity="critical",
+        description="Response headers are read, decrypted and run", remediation="Review the network calls and the decryption.", cwe_id="CWE-506", character=F.lit(None).cast("string"),
     )
+    return F.when(hit, F.array(F.struct(*one)))
+
+
+#: What is looked for in whole contents, by name; each gives an array of findings, or null.
+CONTENT_PARTS = {"stego_runs": _stego, "pipe_stego": _pipe, "decoder_functions": _decoders, "indicators": _indicator_findings, "encrypted": _encrypted, "channels": _channels}
+
+
+def content_findings(files: DataFrame, parts: tuple[str, ...] = tuple(CONTENT_PARTS), fixes: bool = False) -> DataFrame:
+    """Findings of the chosen parts in one pass over the files."""
+    content = F.col("content")
+    made = [_encrypted(content, fixes) if p == "encrypted" else CONTENT_PARTS[p](content) for p in parts]
+    return files.select("path", "content").select(F.explode(F.flatten(F.array_compact(F.array(*made)))).alias("_f")).select("_f.*")
+
+
+def stego_runs(files: DataFrame) -> DataFrame:
+    """Long runs of variation selectors, decoded."""
+    return content_findings(files, ("stego_runs",))
+
+
+def pipe_stego(files: DataFrame) -> DataFrame:
+    """Variation selectors right after a pipe, decoded; the place is the pipe's."""
+    return content_findings(files, ("pipe_stego",))
+
+
+def decoder_functions(files: DataFrame) -> DataFrame:
+    """Lines that name a selector constant and codePointAt; the column is that of the first pattern, in order, that matches."""
+    return content_findings(files, ("decoder_functions",))
+
+
+def indicator_findings(files: DataFrame) -> DataFrame:
+    """One finding per indicator in files that have at least two."""
+    return content_findings(files, ("indicators",))
+
+
+def encrypted_payloads(files: DataFrame, fixes: bool = False) -> DataFrame:
+    """Files with a blob of high entropy and a line that runs code."""
+    return content_findings(files, ("encrypted",), fixes)
+
+
+def header_channels(files: DataFrame) -> DataFrame:
+    """Files that read response headers of a client, decrypt, and run code."""
+    return content_findings(files, ("channels",))
 
 
 def rc4_indicators(content: Column) -> Column:

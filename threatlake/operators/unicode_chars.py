@@ -2,7 +2,7 @@
 
 Each takes files(path, content) and returns findings.  Columns count code
 points.  Files and lines without a wanted character are dropped by a regular
-expression before their characters are exploded.
+expression; ``character_findings`` runs any of the detectors in one pass.
 """
 
 from __future__ import annotations
@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fixed import BIDI_NAMES, BIDI_SEVERITY, CONFUSABLES, INVISIBLE_RANGES, ZERO_WIDTH_NAMES
-from ..functions.text import beside_emoji, char_class, chars, in_ranges, line_context, lines
-from .findings import finding, lookup
+from ..functions.text import WORD, beside_emoji, char_class, chars, in_ranges, lines
+from .findings import exploded, finding_columns, lookup
 
 _INVISIBLE = [(a, b) for _, a, b, _ in INVISIBLE_RANGES]
 _CRITICAL = [(a, b) for _, a, b, critical in INVISIBLE_RANGES if critical]
@@ -23,7 +23,6 @@ BIDI_CLASS = char_class([(c, c) for c in BIDI_NAMES])
 CONFUSABLE_CLASS = char_class([(c, c) for c, *_ in CONFUSABLES])
 #: What the quick check looks for: it knows fewer characters than the detector.
 QUICK_CLASS = char_class([(0xFE00, 0xFE0F), (0x200B, 0x200F), (0x202A, 0x202E), (0xE0000, 0xE007F)])
-WORD = r"[\p{IsAlphabetic}\p{N}_]"
 FOREIGN = r"[^\p{IsLatin}\p{IsCommon}\p{IsInherited}]"
 
 
@@ -60,13 +59,7 @@ def invisible_severity(cp: Column) -> Column:
     return F.when(is_critical(cp) | is_selector(cp), "critical").when(bidi_name(cp).isNotNull() | zero_width_name(cp).isNotNull(), "high").otherwise("medium")
 
 
-def invisible_characters(files: DataFrame, fixes: bool = False) -> DataFrame:
-    """Invisible characters that do not stand beside an emoji.
-
-    U+FFFD counts as invisible, being in the last range; ``fixes`` exempts it.
-    """
-    rows = chars(lines(files.where(F.col("content").rlike(INVISIBLE_CLASS))), INVISIBLE_CLASS).where(~beside_emoji())
-    rows = rows.where(F.col("cp") != 0xFFFD) if fixes else rows
+def _invisible(fixes: bool) -> tuple[Column, list[Column]]:
     cp = F.col("cp")
     kind = (
         F.when(bidi_name(cp).isNotNull(), F.concat(F.lit("Bidirectional control "), bidi_name(cp)))
@@ -74,20 +67,26 @@ def invisible_characters(files: DataFrame, fixes: bool = False) -> DataFrame:
         .when(is_selector(cp), F.lit("Variation selector"))
         .otherwise(F.lit("Invisible character"))
     )
-    return finding(
-        rows, "invisible", 0, code_point=cp, category="invisible_character", severity=invisible_severity(cp), description=F.concat(kind, F.lit(" ("), _named(cp), F.lit(")")),
-        remediation="Remove the character, or check that it is meant (emoji, right-to-left text).", cwe_id="CWE-172", context=line_context(), character=F.col("character"),
+    shown = is_invisible(cp) & ~beside_emoji() & ((cp != 0xFFFD) if fixes else F.lit(True))
+    return shown, finding_columns(
+        "invisible", 0, code_point=cp, category="invisible_character", severity=invisible_severity(cp), description=F.concat(kind, F.lit(" ("), _named(cp), F.lit(")")),
+        remediation="Remove the character, or check that it is meant (emoji, right-to-left text).", cwe_id="CWE-172", context=F.col("context"), character=F.col("character"),
     )
 
 
-def bidi_controls(files: DataFrame) -> DataFrame:
-    """Bidirectional controls; emoji exempt nothing."""
-    rows = chars(lines(files.where(F.col("content").rlike(BIDI_CLASS))), BIDI_CLASS)
+#: What a direction override can do, by name; others have no remark.
+BIDI_DANGER = {"RLO": "reverses the text that follows", "RLE": "embeds text of the other direction", "LRO": "forces the text that follows left to right"}
+
+
+def _bidi() -> tuple[Column, list[Column]]:
     cp = F.col("cp")
-    severity = F.coalesce(lookup(BIDI_SEVERITY, bidi_name(cp)), F.lit("medium"))
-    return finding(
-        rows, "bidi", 2, code_point=cp, category="bidirectional_override", severity=severity, description=F.concat(F.lit("Bidirectional control "), bidi_name(cp), F.lit(" ("), _named(cp), F.lit(")")),
-        remediation="Remove the control and read the file's bytes in their stored order.", cwe_id="CWE-172", context=line_context(), character=F.col("character"),
+    name = bidi_name(cp)
+    danger = lookup({k: f": {v}" for k, v in BIDI_DANGER.items()}, name)
+    severity = F.coalesce(lookup(BIDI_SEVERITY, name), F.lit("medium"))
+    return name.isNotNull(), finding_columns(
+        "bidi", 2, code_point=cp, category="bidirectional_override", severity=severity,
+        description=F.concat(F.lit("Bidirectional control "), name, F.lit(" ("), _named(cp), F.lit(")"), F.coalesce(danger, F.lit(""))),
+        remediation="Remove the control and read the file's bytes in their stored order.", cwe_id="CWE-172", context=F.col("context"), character=F.col("character"),
         references=F.array(F.lit("https://unicode.org/reports/tr36/")),
     )
 
@@ -99,11 +98,10 @@ def tag_name(cp: Column) -> Column:
     )
 
 
-def tag_characters(files: DataFrame) -> DataFrame:
-    rows = chars(lines(files.where(F.col("content").rlike(TAG_CLASS))), TAG_CLASS)
-    return finding(
-        rows, "tags", 4, code_point=F.col("cp"), category="unicode_tag", severity="medium", description=F.concat(F.lit("Unicode tag character: "), tag_name(F.col("cp"))),
-        remediation="Remove the tag character.", cwe_id="CWE-172", context=line_context(), character=F.col("character"),
+def _tags() -> tuple[Column, list[Column]]:
+    return in_ranges(F.col("cp"), _TAGS), finding_columns(
+        "tags", 4, code_point=F.col("cp"), category="unicode_tag", severity="medium", description=F.concat(F.lit("Unicode tag character: "), tag_name(F.col("cp"))),
+        remediation="Remove the tag character.", cwe_id="CWE-172", context=F.col("context"), character=F.col("character"),
     )
 
 
@@ -149,24 +147,53 @@ def identifiers(line_rows: DataFrame, keep: tuple[str, ...] = ("path", "line"))
     return line_rows.select(*keep, F.explode(words).alias("identifier"))
 
 
-def homoglyphs(files: DataFrame) -> DataFrame:
-    """Look-alike characters within identifiers of mixed scripts, outside comment lines."""
-    rows = lines(files.where(F.col("content").rlike(CONFUSABLE_CLASS))).where(~F.col("text").rlike(r"(?U)^\s*(//|#|/\*|\*|<!--)"))
-    rows = chars(rows, CONFUSABLE_CLASS)
-    left = F.regexp_extract(F.expr("left(text, cast(column - 1 as int))"), rf"({WORD}*)\z", 1)
-    right = F.regexp_extract(F.expr("substring(text, cast(column + 1 as int))"), f"^({WORD}*)", 1)
-    rows = rows.withColumn("identifier", F.concat(left, "character", right)).where((F.length("identifier") > 1) & has_mixed_scripts(F.col("identifier")))
+def _homoglyph() -> tuple[Column, list[Column]]:
     cp = F.col("cp").cast("int")
     similarity = lookup({c: s for c, _, _, s in CONFUSABLES}, cp)
     severity = F.when(similarity >= 0.99, "critical").when(similarity >= 0.95, "high").when(similarity >= 0.9, "medium").otherwise("low")
     base, script = lookup({c: b for c, b, _, _ in CONFUSABLES}, cp), lookup({c: s for c, _, s, _ in CONFUSABLES}, cp)
-    text = F.concat(F.lit("Identifier '"), F.col("identifier"), F.lit("' mixes scripts: "), _named(F.col("cp")), F.lit(" ("), script, F.lit(") looks like '"), base, F.lit("'"))
-    return finding(
-        rows, "homoglyph", 1, code_point=F.col("cp"), category="homoglyph", severity=severity, description=text, remediation="Write the identifier in one script.", cwe_id="CWE-172",
-        context=F.col("identifier"), character=F.col("character"), references=F.array(F.lit("https://docs.github.com/en/security")),
+    text = F.concat(F.lit("Identifier '"), F.col("word"), F.lit("' mixes scripts: "), _named(F.col("cp")), F.lit(" ("), script, F.lit(") looks like '"), base, F.lit("'"))
+    return ~F.col("comment") & (F.length("word") > 1) & has_mixed_scripts(F.col("word")), finding_columns(
+        "homoglyph", 1, code_point=F.col("cp"), category="homoglyph", severity=severity, description=text, remediation="Write the identifier in one script.", cwe_id="CWE-172",
+        context=F.col("word"), character=F.col("character"), references=F.array(F.lit("https://docs.github.com/en/security")),
     )
 
 
+#: Families of characters, with their class and what they make of a hit.
+CHARACTER_CLASSES = {"invisible": INVISIBLE_CLASS, "homoglyph": CONFUSABLE_CLASS, "bidi": BIDI_CLASS, "tags": TAG_CLASS}
+
+
+def character_findings(files: DataFrame, families: tuple[str, ...] = tuple(CHARACTER_CLASSES), fixes: bool = False) -> DataFrame:
+    """Findings of the chosen families in one pass over the files; lines are cut into characters once."""
+    wanted = "|".join(CHARACTER_CLASSES[f] for f in families)
+    rows = lines(files.where(F.col("content").rlike(wanted))).withColumn("comment", F.col("text").rlike(r"(?U)^\s*(//|#|/\*|\*|<!--)"))
+    rows = chars(rows, wanted, ("path", "line", "comment"), words=CONFUSABLE_CLASS if "homoglyph" in families else None)
+    made = {"invisible": lambda: _invisible(fixes), "homoglyph": _homoglyph, "bidi": _bidi, "tags": _tags}
+    return exploded(rows, [made[f]() for f in families])
+
+
+def invisible_characters(files: DataFrame, fixes: bool = False) -> DataFrame:
+    """Invisible characters that do not stand beside an emoji.
+
+    U+FFFD counts as invisible, being in the last range; ``fixes`` exempts it.
+    """
+    return character_findings(files, ("invisible",), fixes)
+
+
+def homoglyphs(files: DataFrame) -> DataFrame:
+    """Look-alike characters within identifiers of mixed scripts, outside comment lines."""
+    return character_findings(files, ("homoglyph",))
+
+
+def bidi_controls(files: DataFrame) -> DataFrame:
+    """Bidirectional controls; emoji exempt nothing."""
+    return character_findings(files, ("bidi",))
+
+
+def tag_characters(files: DataFrame) -> DataFrame:
+    return character_findings(files, ("tags",))
+
+
 def confusables_of(base: str) -> list[int]:
     """The look-alike code points of a base character."""
     return [c for c, b, _, _ in CONFUSABLES if b == base]

@@ -2,7 +2,8 @@
 
 A small tokenizer and one pass over the tokens with a stack of brackets; no
 syntax tree is built.  Spans are byte offsets.  A file whose brackets or tokens
-do not fit gets ``ok`` false and no facts.  Everything that relates facts is
+do not fit gets ``ok`` false and no facts, and is listed by ``rejects``.  Markup
+within code (JSX) is read as operators and words.  Everything that relates facts is
 done with DataFrame joins in ``threatlake.operators.taint``.
 """
 
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 JS_EXTENSIONS = ["js", "mjs", "cjs", "jsx", "ts", "mts", "cts", "tsx"]
 
 _TOKEN = re.compile(
-    r"""(?P<skip>\s+|//[^\n]*|/\*.*?\*/)|(?P<str>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')|(?P<num>\d(?:[\w.]|(?<=[eE])[+-])*)|(?P<id>[#$_A-Za-z\u0080-\uffff\U00010000-\U0010ffff][$\w\u0080-\uffff\U00010000-\U0010ffff]*)"""
+    r"""(?P<skip>\s+|//[^\n]*|/\*.*?\*/)|(?P<str>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')|(?P<num>\d(?:[\w.]|(?<=[eE])[+-])*)|(?P<id>(?:[#$_A-Za-z\u0080-\uffff\U00010000-\U0010ffff]|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})(?:[$\w\u0080-\uffff\U00010000-\U0010ffff]|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})*)"""
     r"""|(?P<punct>=>|\.\.\.|\?\.(?!\d)|[=!]==?|\*\*=?|&&=?|\|\|=?|\?\?=?|<<=?|>>>?=?|[-+*/%&|^<>]=|\+\+|--|[-{}()\[\];,<>+*/%&|^!~?:=.@])""",
     re.S,
 )
@@ -28,7 +29,12 @@ KEYWORDS = set(
     "typeof undefined var void while with yield async await get set interface type".split()
 )
 CONTROL = {"if", "for", "while", "switch", "catch", "with"}
+_OPERANDS = {"this", "super", "null", "true", "false", "undefined", "of", "async", "get", "set", "type", "static", "let"}
 _CONTEXTUAL = {"of", "async", "await", "get", "set", "type", "static", "let", "undefined"}
+#: Words after which an expression goes on in the next line, and words whose parentheses hold a condition.
+_PREFIXES = {"typeof", "void", "delete", "new", "await", "in", "of", "instanceof", "extends"}
+_CONDITIONS = {"if", "while", "for", "with", "switch", "catch"}
+_MODIFIERS = {"static", "get", "set", "async", "readonly", "public", "private", "protected", "declare", "abstract", "override", "accessor"}
 _OPENERS = {"(": ")", "[": "]", "{": "}"}
 _ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f", "v": "\v", "0": "\0"}
 
@@ -47,6 +53,11 @@ def tokens_of(text: str) -> list[tuple[str, str, int, int]] | None:
     """(kind, text, start, end) of the tokens; template parts become brackets around their expressions; None on doubt."""
     out: list[tuple[str, str, int, int]] = []
     at, depth, templates = 0, 0, []
+    # of every open parenthesis or brace: whether an operand has ended when it closes
+    ends: list[bool] = []
+    closed = False
+    if text.startswith("#!"):
+        at = text.find("\n") if "\n" in text else len(text)
 
     def template(at: int) -> int:
         """Reads template text up to its end or its next expression; -1 if it does not end."""
@@ -68,12 +79,14 @@ def tokens_of(text: str) -> list[tuple[str, str, int, int]] | None:
         c = text[at]
         if c == "`":
             out.append(("tpl", "(", at, at + 1))
+            closed = True
             at = template(at + 1)
             if at < 0:
                 return None
             continue
         if c == "}" and templates and templates[-1] == depth:
             templates.pop()
+            closed = True
             out.append(("punct", ",", at, at + 1))
             at = template(at + 1)
             if at < 0:
@@ -81,7 +94,7 @@ def tokens_of(text: str) -> list[tuple[str, str, int, int]] | None:
             continue
         if c == "/" and not text.startswith(("//", "/*"), at):
             last = out[-1] if out else ("punct", ";", 0, 0)
-            operand = last[0] in ("str", "num") or last[1] in (")", "]", "}") or last[0] == "id" and (last[1] not in KEYWORDS or last[1] in ("this", "super", "null", "true", "false"))
+            operand = last[0] in ("str", "num") or last[1] == "]" or last[1] in (")", "}") and closed or last[1] in ("++", "--") or last[0] == "id" and (last[1] not in KEYWORDS or last[1] in _OPERANDS)
             found = None if operand else _REGEX.match(text, at)
             if found:
                 out.append(("num", "/", at, found.end()))
@@ -91,7 +104,16 @@ def tokens_of(text: str) -> list[tuple[str, str, int, int]] | None:
         if m is None:
             return None
         if m.lastgroup != "skip":
-            out.append((m.lastgroup, m.group(), at, m.end()))
+            t, before = m.group(), out[-1] if out else ("punct", ";", 0, 0)
+            if t == "(":
+                # what follows a condition begins a statement
+                ends.append(not (before[0] == "id" and before[1] in _CONDITIONS and (len(out) < 2 or out[-2][1] not in (".", "?."))))
+            elif t == "{":
+                # an object ends an operand, a block does not
+                ends.append(before[0] == "punct" and before[1] not in (";", "{", "}", ")", "=>") or before[1] in ("return", "typeof", "default", "in", "of"))
+            elif t in (")", "}"):
+                closed = ends.pop() if ends else True
+            out.append((m.lastgroup, _unescaped(t) if m.lastgroup == "id" else t, at, m.end()))
             depth += (m.group() == "{") - (m.group() == "}")
         at = m.end()
     return None if templates else out
@@ -145,13 +167,25 @@ def facts_of(text: str) -> dict | None:
             t = word(k)
             if tokens[k][0] in ("punct", "tpl") and t in _OPENERS:
                 k = match[k]
+                t = word(k)
             elif tokens[k][0] == "punct" and t in (",", ";", ")", "]", "}") or k > first and t in ("of", "in") and is_name(k) and "for" in (word(k - 4), word(k - 3)):
                 return k - 1
-            if k + 1 < len(tokens) and line_between(k + 1) and tokens[k + 1][0] != "punct" and (tokens[k][0] != "punct" or t in (")", "]", "}")) and word(k + 1) not in ("in", "instanceof", "of"):
-                return k
+            if k + 1 < len(tokens) and line_between(k + 1) and (tokens[k + 1][0] not in ("punct", "tpl") or word(k + 1) in ("++", "--")) and word(k + 1) not in ("in", "instanceof", "of"):
+                if (tokens[k][0] != "punct" or t in (")", "]", "}", "++", "--")) and t not in _PREFIXES:
+                    return k
             k += 1
         return len(tokens) - 1
 
+    def names_something(k: int) -> bool:
+        """Whether an identifier is no reference: a key, a label, a method, a class field or what a catch names."""
+        before, after, within = word(k - 1), word(k + 1), context[-1] if context else "block"
+        if after == ":" and (within in ("object", "class") and before in ("{", ",") or within in ("block", "function", "arrow") and before in ("", ";", "{", "}", ")") and word(k + 2) != ":"):
+            return True
+        if within in ("object", "class") and after == "(" and word(match[k + 1] + 1) == "{" and before not in ("=", ":", "new", "=>"):
+            return True
+        fresh = before in ("{", ";", "}") or before in _MODIFIERS or line_between(k) and (tokens[k - 1][0] != "punct" or before in (")", "]"))
+        return within == "class" and fresh and (after in ("=", ";", "}", ":", "?", "!", "(") or k + 1 < len(tokens) and line_between(k + 1))
+
     for k, (kind, t, begin, end) in enumerate(tokens):
         while arrow_ends and k > arrow_ends[-1][0]:
             current.remove(arrow_ends.pop()[1])
@@ -170,7 +204,9 @@ def facts_of(text: str) -> dict | None:
                     named = is_name(j)
                     after = j + 1 if named else match[j] + 1
                     if word(after) == ":":  # a type
-                        while after < len(tokens) and word(after) not in ("=", ";", ",", ")", "of", "in"):
+                        angles = 0
+                        while after < len(tokens) and (angles > 0 or word(after) not in ("=", ";", ",", ")", "of", "in")):
+                            angles += {"<": 1, ">": -1, ">>": -2, ">>>": -3}.get(word(after), 0)
                             after = match[after] + 1 if word(after) in _OPENERS else after + 1
                     last = after - 1
                     init = (None, None)
@@ -183,7 +219,7 @@ def facts_of(text: str) -> dict | None:
                     if word(last + 1) != "," or not (is_name(last + 2) or word(last + 2) in ("{", "[")):
                         break
                     j = last + 2
-            elif plain(k) and not member and k not in params and not (word(k + 1) == ":" and context and context[-1] in ("object", "class") and word(k - 1) in ("{", ",")):
+            elif plain(k) and not member and k not in params and not names_something(k):
                 if not (word(k - 1) in ("function", "class") or word(k - 1) == "*" and word(k - 2) == "function" or word(k + 1) == "=>" or t in ("async", "of", "get", "set", "static", "let") and is_name(k + 1)):
                     references.append((t, *span, current[-1], k))
         elif t in _OPENERS:
@@ -248,6 +284,8 @@ def _open_paren(k, close, tokens, word, is_name, context, match, params, enter,
     following = word(close + 1)
     head = word(k - 1) == "function" or word(k - 2) == "function" or word(k - 2) == "*" and word(k - 3) == "function"
     method = following == "{" and is_name(k - 1) and word(k - 1) not in CONTROL and len(context) > 1 and context[-2] in ("class", "object")
+    if word(k - 1) == "catch" and following == "{":
+        params.update(j for j in range(k + 1, close) if is_name(j) and word(j + 1) != ":")
     if following != "=>" and not head and not method:
         return
     body = close + 2 if following == "=>" else close + 1
@@ -328,6 +366,11 @@ def file_facts(files: DataFrame) -> DataFrame:
     return wanted.mapInPandas(extract, _SCHEMA)
 
 
+def rejects(facts: DataFrame) -> DataFrame:
+    """(path, reason) of the files from which no facts could be read; their flows are unknown, not absent."""
+    return facts.where("NOT ok").select("path", F.lit("tokens or brackets do not fit JavaScript").alias("reason"))
+
+
 def fact_tables(facts: DataFrame) -> dict[str, DataFrame]:
     """The fact relations, one row per fact, of the files that could be read."""
     ok = facts.where("ok")
