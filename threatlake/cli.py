@@ -1,32 +1,90 @@
-"""Command line: python -m threatlake.cli PATH..."""
+"""Command lines: python -m threatlake.cli PATH..., and python -m threatlake.cli corpus run|rescan|report|stats."""
 
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from .engine import ThreatEngine
+from .operators.review import chat_client, config_from_env
+
+
+def _model(wanted: bool):
+    """The review client that the environment configures; None, with a warning, if it does not."""
+    found = config_from_env() if wanted else None
+    if wanted and not found:
+        print("review is not configured, going on without", file=sys.stderr)
+    return chat_client(**found) if found else None
+
+
+def corpus_main(argv: list[str]) -> int:
+    """Batch runs over package archives: run, rescan, report, stats."""
+    from .runs import Corpus
+    from .sources.files import archive_members
+
+    parser = argparse.ArgumentParser(prog="threatlake corpus")
+    parser.add_argument("action", choices=["run", "rescan", "report", "stats"])
+    parser.add_argument("root")
+    parser.add_argument("--archives", help="folder of gzipped tar archives named package-version.tgz")
+    parser.add_argument("--run", help="id of the run to scan again or to report on")
+    parser.add_argument("--max-packages", type=int)
+    parser.add_argument("--resume", action="store_true", help="leave out packages that were scanned before")
+    parser.add_argument("--llm", action="store_true")
+    parser.add_argument("--save", action="store_true")
+    args = parser.parse_args(argv)
+    spark = SparkSession.builder.appName("threatlake").getOrCreate()
+    corpus = Corpus(spark, args.root)
+    if args.action == "stats":
+        for r in corpus.statistics().orderBy("metric", F.col("n").desc(), "key").collect():
+            print(r["metric"], r["key"], r["n"])
+        return 0
+    if args.action == "report":
+        print(corpus.report(args.run, args.save))
+        return 0
+    archives = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.tgz").load(args.archives)
+    name = F.regexp_extract("archive", r"([^/]+)\.tgz$", 1)
+    files = archive_members(archives).select(F.regexp_extract(name, r"^(.*?)(?:-(\d[^/]*))?$", 1).alias("package"), F.regexp_extract(name, r"-(\d[^/]*)$", 1).alias("version"), "path", "content")
+    if args.resume:
+        files = corpus.unscanned(files)
+    if args.max_packages:
+        files = files.join(files.select("package", "version").distinct().orderBy("package", "version").limit(args.max_packages), ["package", "version"], "left_semi")
+    model = _model(args.llm)
+    run_id = corpus.rescan(args.run, files, model=model) if args.action == "rescan" else corpus.run(files, model=model)
+    print("\n".join(corpus.summary(run_id)))
+    return 0
 
 
 def main(argv: list[str] | None = None) -> int:
+    argv = sys.argv[1:] if argv is None else argv
+    if argv[:1] == ["corpus"]:
+        return corpus_main(argv[1:])
     parser = argparse.ArgumentParser(prog="threatlake")
     parser.add_argument("paths", nargs="+")
     parser.add_argument("-f", "--format", choices=["pretty", "json", "sarif"], default="pretty")
     parser.add_argument("-s", "--severity", choices=["info", "low", "medium", "high", "critical"], default="low")
     parser.add_argument("-q", "--quiet", action="store_true")
+    parser.add_argument("--no-color", action="store_true")
     parser.add_argument("--extensions")
     parser.add_argument("--exclude")
     parser.add_argument("--layers", default="l1,l2")
+    parser.add_argument("--llm", action="store_true", help="review files with findings by the configured chat service")
     args = parser.parse_args(argv)
     listed = lambda text: text.split(",") if text else None
     spark = SparkSession.builder.appName("threatlake").getOrCreate()
     engine = ThreatEngine.default(tuple(args.layers.split(",")))
-    text, code = engine.scan_paths(spark, args.paths, args.format, args.severity, listed(args.extensions), listed(args.exclude))
-    if not args.quiet:
-        print(text)
-    return code
+    if model := _model(args.llm):
+        engine.with_review(model)
+    color = sys.stdout.isatty() and not args.no_color and "NO_COLOR" not in os.environ
+    for line in engine.report_paths(spark, args.paths, args.format, args.severity, listed(args.extensions), listed(args.exclude), color):
+        if isinstance(line, int):
+            return line
+        if not args.quiet:
+            print(line)
+    return 2
 
 
 if __name__ == "__main__":

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from .operators import patterns, taint, unicode_chars
-from .operators.export import exit_code, json_report, pretty, sarif_report
+from .operators.export import exit_code, json_lines, pretty, sarif_lines
 from .operators.findings import at_least, engine_order
 from .operators.review import verdicts
 from .schemas import FILES, FINDINGS
@@ -71,6 +71,15 @@ class ThreatEngine:
         self.detectors: dict[str, Detector] = {}
         self.semantic: dict[str, SemanticDetector] = {}
 
+    @classmethod
+    def with_config(cls, families: dict[str, bool] | None = None, layers: tuple[str, ...] = ("l1", "l2"), fixes: bool = False, cache: bool = False) -> "ThreatEngine":
+        """An engine with the character scanner's families that are not switched off, and nothing else."""
+        engine = cls(layers, fixes, cache)
+        for name in FAMILIES:
+            if (families or {}).get(name, True):
+                engine.register(name, FAMILIES[name])
+        return engine
+
     @classmethod
     def default(cls, layers: tuple[str, ...] = ("l1", "l2"), fixes: bool = False, cache: bool = False) -> "ThreatEngine":
         engine = cls(layers, fixes, cache)
@@ -117,14 +126,23 @@ class ThreatEngine:
         found = self.scan(files)
         return found, verdicts(files, found, self.model) if self.model else None
 
-    def scan_paths(self, spark: SparkSession, paths: list[str], output: str = "pretty", severity: str = "low", extensions: list[str] | None = None, excludes: list[str] | None = None) -> tuple[str, int]:
-        """(text, exit code) of a command-line scan."""
+    def report_paths(self, spark: SparkSession, paths: list[str], output: str = "pretty", severity: str = "low", extensions: list[str] | None = None, excludes: list[str] | None = None, color: bool = False) -> Iterator[str | int]:
+        """The report's lines, and last the exit code; findings are kept on disk meanwhile, so that the scan runs once."""
         files = files_from_paths(spark, paths, extensions, excludes)
-        found = engine_order(at_least(self.scan(files), severity))
-        if output == "json":
-            text = json_report(found, files.count(), 0).first()["json"]
-        elif output == "sarif":
-            text = sarif_report(found, self.fixes).first()["json"]
-        else:
-            text = pretty(found)
-        return text, exit_code(found, files)
+        found = at_least(self.scan(files), severity).persist(StorageLevel.DISK_ONLY)
+        self.cached.append(found)
+        try:
+            if output == "json":
+                yield from json_lines(engine_order(found), files.count(), 0)
+            elif output == "sarif":
+                yield from sarif_lines(engine_order(found), self.fixes)
+            else:
+                yield from pretty(found, verdicts(files, found, self.model) if self.model else None, color)
+            yield exit_code(found, files)
+        finally:
+            self.release()
+
+    def scan_paths(self, spark: SparkSession, paths: list[str], output: str = "pretty", severity: str = "low", extensions: list[str] | None = None, excludes: list[str] | None = None) -> tuple[str, int]:
+        """(text, exit code) of a scan small enough for its report to be held."""
+        *lines, code = self.report_paths(spark, paths, output, severity, extensions, excludes)
+        return "\n".join(lines), code

@@ -6,7 +6,7 @@ newest row of each key.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixed import SEVERITY_RANK
@@ -66,6 +66,36 @@ def top_flagged(rollup: DataFrame, n: int = 10) -> DataFrame:
     return flagged(rollup).orderBy(F.col("finding_count").desc(), "package", "version").limit(n)
 
 
+def top_install_scripts(rollup: DataFrame, n: int = 5) -> DataFrame:
+    """Flagged packages that run scripts when they are installed, most findings first."""
+    return flagged(rollup).where("has_install_scripts").orderBy(F.col("finding_count").desc(), "package", "version").limit(n)
+
+
+#: The report's list of severities.
+REPORT_ORDER = ["critical", "high", "medium", "low", "info"]
+
+
+def report_severity(severity: Column, fixes: bool = False) -> Column:
+    """The severity that a report names for a package, an aggregate.
+
+    The reproduced report takes the greatest place in its list, which begins with
+    critical, and so the least severe; ``fixes`` takes the most severe.
+    """
+    place = F.coalesce(lookup({s: k for k, s in enumerate(REPORT_ORDER)}, severity), F.lit(-1))
+    return F.min_by(severity, place) if fixes else F.max_by(severity, place)
+
+
+def category_order(findings: DataFrame) -> DataFrame:
+    """(category, n), most first."""
+    return findings.groupBy("category").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "category")
+
+
+def severity_display(findings: DataFrame) -> DataFrame:
+    """(severity, n) in the report's order; severities without findings are left out."""
+    counted = findings.where(F.col("severity").isin(REPORT_ORDER)).groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
+    return counted.orderBy(lookup({s: k for k, s in enumerate(REPORT_ORDER)}, F.col("severity")))
+
+
 def first_findings(findings: DataFrame, n: int = 10, key: tuple[str, ...] = ("package", "version"), order: tuple[str, ...] = ("path", "line", "column", "emit_seq", "code_point")) -> DataFrame:
     """The first ``n`` findings of each package, with how many it has in all."""
     within = Window.partitionBy(*key)
@@ -88,6 +118,11 @@ def rescan_files(files: DataFrame, rollup: DataFrame, key: tuple[str, ...] = ("p
     return files.join(flagged(rollup).select(*key), list(key), "left_semi")
 
 
+def verdicts_on(files: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """The verdicts on files that were scanned."""
+    return verdicts.join(files.select("path"), "path", "left_semi")
+
+
 def with_verdicts(findings: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Findings with the verdict on their file; reviewed ones leave the untriaged queue."""
     joined = findings.join(verdicts.select("path", F.to_json("verdict").alias("llm_verdict"), F.col("verdict.confidence").alias("llm_confidence")), "path", "left")

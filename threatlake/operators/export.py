@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import json
+import re
 import textwrap
+from collections import Counter
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import __version__
 from ..functions.fixed import RULE_IDS
 from ..functions.stego import hex_preview, text_preview
-from .findings import rule_id, sarif_level
+from .findings import lookup, rule_id, sarif_level
 
 
 def json_rows(findings: DataFrame) -> DataFrame:
@@ -22,12 +26,32 @@ def json_rows(findings: DataFrame) -> DataFrame:
     return findings.select("path", F.to_json(F.struct(F.col("path").alias("file"), "line", "column", "severity", "category", F.col("description").alias("message"), decoded.alias("decoded"))).alias("json"))
 
 
-def json_report(findings: DataFrame, files_scanned: int, duration_ms: int) -> DataFrame:
-    """One row with the whole document; for results a driver may hold.  ``json_rows`` is the form for large ones."""
-    rows = json_rows(findings).agg(F.count(F.lit(1)).alias("n"), F.concat_ws(",", F.collect_list("json")).alias("all"))
-    head = f'{{"version":"{__version__}","findings":['
-    tail = F.concat(F.lit(f'],"summary":{{"files_scanned":{files_scanned},"findings_count":'), F.col("n").cast("string"), F.lit(f',"duration_ms":{duration_ms}}}}}'))
-    return rows.select(F.concat(F.lit(head), F.col("all"), tail).alias("json"))
+def json_lines(findings: DataFrame, files_scanned: int, duration_ms: int) -> Iterator[str]:
+    """The lines of one JSON document: a head, a line per finding, the summary; findings pass through one partition at a time."""
+    yield f'{{"version":"{__version__}","findings":['
+    n = 0
+    for row in json_rows(findings).toLocalIterator():
+        yield ("," if n else "") + row["json"]
+        n += 1
+    yield f'],"summary":{{"files_scanned":{files_scanned},"findings_count":{n},"duration_ms":{duration_ms}}}}}'
+
+
+def json_summary(findings: DataFrame, files: DataFrame) -> DataFrame:
+    """One row: the summary's counts."""
+    return findings.agg(F.count(F.lit(1)).alias("findings_count")).crossJoin(F.broadcast(files.agg(F.count(F.lit(1)).alias("files_scanned"))))
+
+
+REPORTED = "file string, line bigint, column bigint, severity string, category string, message string, decoded struct<byte_count: bigint, entropy: double, payload_class: string, preview_hex: string, preview_text: string>"
+
+
+def findings_from_json(lines: DataFrame, column: str = "json") -> DataFrame:
+    """Finding records from lines that each hold one finding, or a whole document with ``findings``; rule and confidence are not in them."""
+    one, many = F.from_json(column, REPORTED), F.from_json(F.get_json_object(column, "$.findings"), f"array<struct<{re.sub(r'(^|, )(\w+) ', r'\1\2: ', REPORTED)}>>")
+    rows = lines.select(F.explode(F.coalesce(many, F.array(one))).alias("f"))
+    return rows.select(
+        F.coalesce("f.file", F.lit("")).alias("file_path"), "f.line", "f.column", F.lit(None).cast("string").alias("rule_id"), F.coalesce("f.category", F.lit("")).alias("category"),
+        F.coalesce("f.severity", F.lit("low")).alias("severity"), F.coalesce("f.message", F.lit("")).alias("message"), F.lit(None).cast("double").alias("confidence"), F.to_json("f.decoded").alias("decoded_payload"),
+    )
 
 
 def sarif_rows(findings: DataFrame) -> DataFrame:
@@ -35,37 +59,74 @@ def sarif_rows(findings: DataFrame) -> DataFrame:
     return findings.select("path", rule_id(F.col("category")).alias("rule_id"), sarif_level(F.col("severity")).alias("level"), "line", "column", F.col("description").alias("message"), F.col("context").alias("snippet"))
 
 
-def sarif_report(findings: DataFrame, fixes: bool = False) -> DataFrame:
-    """One row with a SARIF 2.1.0 log; rules GW001 to GW004 are defined, with ``fixes`` all."""
-    r = sarif_rows(findings)
+def sarif_results(findings: DataFrame) -> DataFrame:
+    """(path, json): one SARIF result per finding."""
     region = F.struct(F.col("line").alias("startLine"), F.col("column").alias("startColumn"), F.when(F.col("snippet").isNotNull(), F.struct(F.col("snippet").alias("text"))).alias("snippet"))
     place = F.array(F.struct(F.struct(F.struct(F.col("path").alias("uri")).alias("artifactLocation"), region.alias("region")).alias("physicalLocation")))
     result = F.struct(F.col("rule_id").alias("ruleId"), "level", F.struct(F.col("message").alias("text")).alias("message"), place.alias("locations"))
+    return sarif_rows(findings).select("path", F.to_json(result).alias("json"))
+
+
+def sarif_lines(findings: DataFrame, fixes: bool = False) -> Iterator[str]:
+    """The lines of a SARIF 2.1.0 log; rules GW001 to GW004 are defined, with ``fixes`` all."""
     known = sorted((rule, category) for category, rule in RULE_IDS.items() if fixes or rule <= "GW004")
-    rules = F.array(*(F.struct(F.lit(rule).alias("id"), F.lit(category).alias("name")) for rule, category in known))
-    driver = F.struct(F.struct(F.lit("threatlake").alias("name"), F.lit(__version__).alias("version"), rules.alias("rules")).alias("driver"))
-    run = F.struct(driver.alias("tool"), F.col("results").alias("results"))
-    log = F.struct(F.lit("https://json.schemastore.org/sarif-2.1.0.json").alias("$schema"), F.lit("2.1.0").alias("version"), F.array(run).alias("runs"))
-    return r.agg(F.collect_list(result).alias("results")).select(F.to_json(log).alias("json"))
-
-
-def pretty(findings: DataFrame, limit: int = 1000) -> str:
-    """Console text, most severe first; info prints as low."""
-    out, rule = [], "=" * 60
-    level = F.when(F.col("severity") == "info", "low").otherwise(F.col("severity"))
-    for severity in ("critical", "high", "medium", "low"):
-        rows = findings.where(level == severity).orderBy("path", "line", "column", "emit_seq").limit(limit).collect()
-        if rows:
-            out += [rule, severity.upper(), rule]
-        for r in rows:
-            out.append(f"{r['path']}:{r['line']}:{r['column']} [{r['category']}] {r['description']}")
-            p = r["decoded_payload"]
-            if p:
-                shown = p["decoded_text"][:512] if p["decoded_text"] else bytes(p["bytes"][:32]).hex(" ")
-                out += [f"    | {x}" for line in shown.split("\n")[:15] for x in textwrap.wrap(line, 72) or [""]]
-    counts = {r["severity"]: r["n"] for r in findings.groupBy(level.alias("severity")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    out += [rule, ", ".join(f"{s}: {counts.get(s, 0)}" for s in ("critical", "high", "medium", "low"))]
-    return "\n".join(out)
+    driver = {"name": "threatlake", "version": __version__, "rules": [{"id": rule, "name": category} for rule, category in known]}
+    yield f'{{"$schema":"https://json.schemastore.org/sarif-2.1.0.json","version":"2.1.0","runs":[{{"tool":{json.dumps({"driver": driver})},"results":['
+    first = True
+    for row in sarif_results(findings).toLocalIterator():
+        yield ("" if first else ",") + row["json"]
+        first = False
+    yield "]}]}"
+
+
+#: The order of the console: info prints as low.
+PRINT_RANK = {"critical": 0, "high": 1, "medium": 2, "low": 3, "info": 3}
+
+
+def print_order(findings: DataFrame) -> list[Column]:
+    """The columns that order findings as they are printed."""
+    return [F.coalesce(lookup(PRINT_RANK, F.col("severity")), F.lit(3)), *(F.col(c) for c in ("path", "line", "column", "emit_seq"))]
+
+
+def payload_box(payload: Column) -> Column:
+    """What is shown of a payload: at most 15 lines of 512 bytes of text, or 32 bytes in hex; null without one."""
+    text, data = payload["decoded_text"], payload["bytes"]
+    shown = F.when(F.octet_length(text) > 0, F.when(F.octet_length(text) > 512, F.left(text, F.lit(512))).otherwise(text)).otherwise(hex_preview(data))
+    return F.when(payload.isNotNull(), F.slice(F.split(shown, "\n", -1), 1, 15))
+
+
+def pretty(findings: DataFrame, verdicts: DataFrame | None = None, color: bool = False) -> Iterator[str]:
+    """Console lines, most severe first, then the counts and the verdicts; the findings are read once, a partition at a time."""
+    tint = {"critical": 31, "high": 33, "medium": 36, "low": 2}
+    paint = lambda text, severity: f"\x1b[{tint[severity]}m{text}\x1b[0m" if color else text
+    rule, last, counts = "=" * 60, None, Counter()
+    ordered = findings.orderBy(*print_order(findings)).select("severity", "path", "line", "column", "category", "description", payload_box(F.col("decoded_payload")).alias("box"))
+    for r in ordered.toLocalIterator():
+        severity = "low" if r["severity"] not in ("critical", "high", "medium") else r["severity"]
+        if severity != last:
+            yield from (rule, paint(severity.upper(), severity), rule)
+            last = severity
+        counts[severity] += 1
+        yield f"{r['path']}:{r['line']}:{r['column']} [{r['category']}] {r['description']}"
+        for line in r["box"] or ():
+            yield from (f"    | {x}" for x in textwrap.wrap(line, 72) or [""])
+    yield from (rule, ", ".join(f"{s}: {counts[s]}" for s in ("critical", "high", "medium", "low")))
+    if verdicts is not None:
+        yield from verdict_lines(verdicts)
+
+
+def verdict_lines(verdicts: DataFrame) -> Iterator[str]:
+    """The block of verdicts on files."""
+    rule, first = "=" * 60, True
+    for r in verdicts.orderBy("path").select("path", "verdict.*").toLocalIterator():
+        if first:
+            yield from (rule, "Review", rule)
+            first = False
+        yield f"File: {r['path']}"
+        yield f"  Verdict: {'MALICIOUS' if r['is_malicious'] else 'BENIGN'} (confidence: {r['confidence'] or 0:.2f})"
+        if r["reclassified_severity"]:
+            yield f"  Severity: {r['reclassified_severity']} (reclassified)"
+        yield "  Reasoning: " + "\n    ".join(textwrap.wrap(r["reasoning"] or "", 72))
 
 
 def exit_code(findings: DataFrame, files: DataFrame) -> int:

@@ -50,14 +50,42 @@ def at_least(findings: DataFrame, severity: str) -> DataFrame:
     return findings.where(F.coalesce(lookup(SEVERITY_RANK, F.col("severity")), F.lit(0)) >= SEVERITY_RANK.get(severity, 0))
 
 
+PLACE = ("line", "column", "emit_seq", "description")
+
+
+def scanner_key(fixes: bool = False) -> list[Column]:
+    """The scanner's order within a file: most severe first, then by place."""
+    return [severity_rank(F.col("severity"), fixes).desc(), *(F.col(c) for c in PLACE)]
+
+
+def engine_key() -> list[Column]:
+    """The engine's order within a file: by place, detectors in their order."""
+    return [F.col(c) for c in PLACE]
+
+
 def scanner_order(findings: DataFrame, fixes: bool = False) -> DataFrame:
     """Most severe first, then by place."""
-    return findings.orderBy(severity_rank(F.col("severity"), fixes).desc(), "path", "line", "column", "emit_seq", "description")
+    return findings.orderBy(severity_rank(F.col("severity"), fixes).desc(), "path", *PLACE)
 
 
 def engine_order(findings: DataFrame) -> DataFrame:
     """By file and place; detectors in their order."""
-    return findings.orderBy("path", "line", "column", "emit_seq", "description")
+    return findings.orderBy("path", *engine_key())
+
+
+def numbered(findings: DataFrame, within: tuple[str, ...], order: list[Column]) -> DataFrame:
+    """``findings`` with ``nth``, their place in ``order`` within each group."""
+    return findings.withColumn("nth", F.row_number().over(Window.partitionBy(*within).orderBy(*order)))
+
+
+def severity_key(lexical: bool = True) -> Column:
+    """By severity, greatest first: compared as text, as the reproduced queries do, or by rank."""
+    return (F.col("severity") if lexical else severity_rank(F.col("severity"), True)).desc()
+
+
+def sensitivity(text: Column) -> Column:
+    """The sensitivity level that a text names; unknown ones are low."""
+    return F.when(F.lower(text).isin("critical", "high", "medium"), F.lower(text)).otherwise("low")
 
 
 def deduplicated(findings: DataFrame, fixes: bool = False) -> DataFrame:
@@ -93,3 +121,9 @@ def sarif_level(severity: Column) -> Column:
 def display(findings: DataFrame) -> Column:
     """One line of text per finding."""
     return F.format_string("[%s] %s:%d:%d - U+%04X (%s) - %s", F.upper("severity"), F.col("path"), F.col("line"), F.col("column"), F.col("code_point"), F.col("category"), F.col("description"))
+
+
+def severity_ratio(findings: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """How many findings there are, and the share of critical and high ones in per cent to one place."""
+    total, hit = F.count(F.lit(1)), F.count_if(F.col("severity").isin("critical", "high"))
+    return findings.groupBy(*by).agg(total.alias("n"), F.round(100 * hit / F.nullif(total, F.lit(0)), 1).alias("ratio"))

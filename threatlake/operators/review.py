@@ -24,6 +24,21 @@ def config_from_env(environ=os.environ) -> dict | None:
     return found if all(found.values()) else None
 
 
+def chat_client(base_url: str, api_key: str, model: str, timeout: float = 120) -> Callable[[str], str]:
+    """A callable that posts a prompt to a chat service and returns the response's text; network errors are OSErrors."""
+
+    def ask(prompt: str) -> str:
+        import json
+        from urllib.request import Request, urlopen
+
+        body = {"model": model, "temperature": 0.1, "messages": [{"role": "user", "content": prompt}]}
+        request = Request(f"{base_url.rstrip('/')}/chat/completions", json.dumps(body).encode(), {"Authorization": f"Bearer {api_key}", "Content-Type": "application/json"})
+        with urlopen(request, timeout=timeout) as response:
+            return response.read().decode("utf-8", "replace")
+
+    return ask
+
+
 def cut_content(content: Column, limit: int = CONTENT_LIMIT) -> Column:
     """Contents of more than ``limit`` bytes lose what follows ``limit`` characters, and the last of these."""
     short = F.expr(f"left(content, least({limit}, length(content)) - 1)")

@@ -22,4 +22,8 @@ PACKAGES = (
     "id bigint, name string, version string, published_at timestamp, author string, downloads_weekly bigint, has_install_scripts boolean, tarball_url string, "
     "tarball_sha256 string, scanned_at timestamp, scan_run_id string, finding_count bigint, scan_duration_ms bigint"
 )
+CORPUS_FINDINGS = (
+    "package string, version string, file_path string, line bigint, column bigint, rule_id string, category string, severity string, message string, confidence double, "
+    "decoded_payload string, triage_status string, llm_verdict string, llm_confidence double, scan_run_id string, emit_seq bigint, file string"
+)
 VERDICT = "is_malicious boolean, confidence double, reasoning string, reclassified_severity string"

@@ -18,6 +18,17 @@ def files_from_paths(spark: SparkSession, paths: list[str], extensions: list[str
     The extension glob keeps other files from being read; folders with an
     excluded name below a root are left out; bytes that are not UTF-8 are no text.
     """
+    text = F.col("content").cast("string")
+    rows = _read(spark, paths, extensions, excludes, max_bytes).where(F.is_valid_utf8(text))
+    return rows.select("path", text.alias("content"), F.sha2("content", 256).alias("sha256"))
+
+
+def unreadable_files(spark: SparkSession, paths: list[str], extensions: list[str] | None = None, excludes: list[str] | None = None) -> DataFrame:
+    """(path, length, reason) of the files that ``files_from_paths`` passes over because they are no text."""
+    return _read(spark, paths, extensions, excludes, None).where(~F.is_valid_utf8(F.col("content").cast("string"))).select("path", "length", F.lit("not UTF-8").alias("reason"))
+
+
+def _read(spark: SparkSession, paths: list[str], extensions: list[str] | None, excludes: list[str] | None, max_bytes: int | None) -> DataFrame:
     kept = DEFAULT_EXTENSIONS if extensions is None else extensions
     barred = DEFAULT_EXCLUDES if excludes is None else excludes
     read = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join([*kept, "_"]) + "}").load(paths)
@@ -25,9 +36,7 @@ def files_from_paths(spark: SparkSession, paths: list[str], extensions: list[str
         read = read.where(F.col("length") <= max_bytes)
     roots = "|".join("\\Q" + p.rstrip("/").split("://")[-1] + "\\E" for p in paths)
     below = F.regexp_replace("path", f"^(?:[a-z]+:)?/*?(?:{roots})", "")
-    text = F.col("content").cast("string")
-    rows = read.where(~F.exists(F.split(below, "/"), lambda s: s.isin(barred))).where(F.is_valid_utf8(text))
-    return rows.select("path", text.alias("content"), F.sha2("content", 256).alias("sha256"))
+    return read.where(~F.exists(F.split(below, "/"), lambda s: s.isin(barred)))
 
 
 def files_from_table(table: DataFrame, path: str, content: str) -> DataFrame:
@@ -38,8 +47,21 @@ def files_from_table(table: DataFrame, path: str, content: str) -> DataFrame:
 def archive_members(archives: DataFrame) -> DataFrame:
     """(archive, sha256, path, content) of the text members of gzipped tar archives (path, content).
 
-    Members that would leave the archive's folder, links and undecodable bytes are passed over.
+    Members that would leave the archive's folder, links and undecodable bytes
+    are passed over; ``damaged_archives`` lists what could not be unpacked.
     """
+    out = _unpacked(archives)
+    text = F.col("content").cast("string")
+    return out.where("path IS NOT NULL").where(F.is_valid_utf8(text)).select("archive", "sha256", "path", text.alias("content"))
+
+
+def damaged_archives(archives: DataFrame) -> DataFrame:
+    """(archive, sha256) of the archives that could not be read to their end."""
+    return _unpacked(archives).where("path IS NULL").select("archive", "sha256")
+
+
+def _unpacked(archives: DataFrame) -> DataFrame:
+    """(archive, sha256, path, content) of all members; a null path tells of a damaged archive."""
 
     def unpack(batches: Iterator) -> Iterator:
         import pandas as pd
@@ -54,10 +76,8 @@ def archive_members(archives: DataFrame) -> DataFrame:
                             if member.isfile() and ".." not in parts and not member.name.startswith("/"):
                                 rows.append((archive, sha, "/".join(parts[1:]) or member.name, tar.extractfile(member).read()))
                 except (tarfile.TarError, EOFError, OSError):
-                    continue
+                    rows.append((archive, sha, None, None))
             yield pd.DataFrame(rows, columns=["archive", "sha256", "path", "content"])
 
     listed = archives.select(F.col("path").alias("archive"), F.sha2("content", 256).alias("sha256"), "content")
-    out = listed.mapInPandas(unpack, "archive string, sha256 string, path string, content binary")
-    text = F.col("content").cast("string")
-    return out.where(F.is_valid_utf8(text)).select("archive", "sha256", "path", text.alias("content"))
+    return listed.mapInPandas(unpack, "archive string, sha256 string, path string, content binary")
