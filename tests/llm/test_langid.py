@@ -1,6 +1,6 @@
 import numpy as np
 
-from threatlake.llm.langid import MARK, UNDETERMINED, UNKNOWN, Pieces, identify, keep_identified, marginal_logs, vocabulary_pieces
+from threatlake.llm.langid import MARK, UNDETERMINED, UNKNOWN, Pieces, expected_counts, identify, keep_identified, marginal_logs, rank_prior, vocabulary_pieces
 
 
 def test_forward_sums_all_segmentations():
@@ -27,6 +27,32 @@ def test_forward_sums_all_segmentations():
     assert np.isfinite(long).all()
 
 
+def test_expected_counts_of_all_segmentations():
+    pieces = ["a", "b", "ab", "ba", MARK, MARK + "a"]
+    prior = rank_prior(len(pieces))
+    index = {p: k + 1 for k, p in enumerate(pieces)}
+
+    def splits(s):
+        if not s:
+            yield [], 1.0
+        for n in range(1, len(s) + 1):
+            if s[:n] in index:
+                for rest, weight in splits(s[n:]):
+                    yield [index[s[:n]], *rest], prior[index[s[:n]]] * weight
+
+    words, weights = ["ab", "abba", "baab"], np.array([[1.0, 0], [2, 1], [0, 3]])
+    want = np.zeros((len(prior), 2))
+    for w, weight in zip(words, weights):
+        listed = list(splits(MARK + w))
+        total = sum(x for _, x in listed)
+        for parts, x in listed:
+            for k in parts:
+                want[k] += weight * x / total
+    assert np.allclose(expected_counts(words, weights, Pieces(pieces), prior), want)
+    long = expected_counts(["ab" * 2000 + "é" * 500], np.ones((1, 1)), Pieces(pieces), prior)
+    assert np.isfinite(long).all() and long.sum() > 1000
+
+
 def test_lookup_finds_every_piece():
     pieces = vocabulary_pieces()
     table = Pieces(pieces)

@@ -3,7 +3,9 @@
 Every language has a probability for each piece of a fixed public vocabulary.
 A word's probability is the sum over all its segmentations into pieces, found
 by the forward algorithm; a text's is the product over its words, and the
-posterior over languages is the score.  Words are the text's runs of letters,
+language with the greatest posterior is the prediction.  The score is its
+posterior given EVIDENCE words of the text's mean evidence (or as many as it
+has), since the product over many words would always be sure.  Words are the text's runs of letters,
 lower case, each with the vocabulary's word mark before it.  Characters that no
 piece holds cost the same in every language.
 
@@ -34,22 +36,21 @@ from .shared import crc_fold, keeping_columns
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLE = 20_000
-LONGEST_PIECE = 12
 #: Probability of a character that no piece holds, and the weight of the prior in piece counts.
 UNKNOWN, PRIOR_WEIGHT = 1e-7, 50.0
-#: Longest word that trains; documents handled at once; words remembered per task.
-TRAIN_LETTERS, SLICE, REMEMBERED = 48, 400, 100_000
+#: Words whose mean evidence the score rests on; documents handled at once; words remembered per task.
+EVIDENCE, SLICE, REMEMBERED = 4, 400, 100_000
 MARK, UNDETERMINED = "▁", "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def vocabulary_pieces(path: str = VOCABULARY) -> list[str]:
-    """The vocabulary's lower-case pieces of letters, with or without the word mark, by rank."""
+    """The vocabulary's pieces that lower-case words can hold: letters, with or without the word mark, by rank."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
-    return [p for p in pieces if len(p) <= LONGEST_PIECE and p == p.lower() and (p == MARK or p.removeprefix(MARK).isalpha())]
+    return [p for p in pieces if p == p.lower() and (p == MARK or p.removeprefix(MARK).isalpha())]
 
 
 def words_of(text: str | None) -> list[str]:
@@ -152,18 +153,17 @@ def expected_counts(words: list[str], weights: np.ndarray, pieces: Pieces, prior
     for part, codes in by_length(words):
         found, size = pieces.within(codes), codes.shape[1]
         value = [np.where(ids == 0, UNKNOWN, prior[ids]) if k == 0 else prior[ids] for k, ids in enumerate(found)]
-        alpha = np.zeros((size + 1, len(part)))
-        beta = np.zeros((size + 1, len(part)))
-        alpha[0], beta[size] = 1, 1
+        # logs of the sums, so that words of any length train
+        before, after = np.zeros((size + 1, len(part))), np.zeros((size + 1, len(part)))
         for end in range(1, size + 1):
-            for k in range(min(len(found), end)):
-                alpha[end] += alpha[end - k - 1] * value[k][:, end - k - 1]
+            total = sum(np.exp(before[end - k - 1] - before[end - 1]) * value[k][:, end - k - 1] for k in range(min(len(found), end)))
+            before[end] = before[end - 1] + np.log(total)
         for start in range(size - 1, -1, -1):
-            for k in range(min(len(found), size - start)):
-                beta[start] += beta[start + k + 1] * value[k][:, start]
+            total = sum(np.exp(after[start + k + 1] - after[start + 1]) * value[k][:, start] for k in range(min(len(found), size - start)))
+            after[start] = after[start + 1] + np.log(total)
         for k, ids in enumerate(found):
             rows, starts = np.nonzero(ids)
-            share = alpha[starts, rows] * value[k][rows, starts] * beta[starts + k + 1, rows] / alpha[size, rows]
+            share = value[k][rows, starts] * np.exp(before[starts, rows] + after[starts + k + 1, rows] - before[size, rows])
             for lang in range(weights.shape[1]):
                 counts[:, lang] += np.bincount(ids[rows, starts], share * weights[part[rows], lang], len(prior))
     return counts
@@ -204,7 +204,7 @@ def train(labelled: DataFrame, vocabulary: str = VOCABULARY, sample: int = SAMPL
                 seen = [Counter() for _ in langs]
                 for text, lang in zip(*(c.to_pylist() for c in batch.slice(at, SLICE).columns)):
                     seen[number[lang]].update(words_of(text))
-                words = sorted({w for s in seen for w in s if len(w) <= TRAIN_LETTERS})
+                words = sorted({w for s in seen for w in s})
                 if words:
                     weights = np.array([[s[w] for s in seen] for w in words], dtype=float)
                     total += expected_counts(words, weights, table, prior)
@@ -246,10 +246,11 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFr
                         langs.append(UNDETERMINED)
                         scores.append(0.0)
                         continue
-                    total = model.share + logs[[known[w] for w in words]].sum(axis=0)
-                    best = int(total.argmax())
+                    evidence = logs[[known[w] for w in words]].sum(axis=0)
+                    best = int((model.share + evidence).argmax())
                     langs.append(model.langs[best])
-                    scores.append(float(1 / np.exp(total - total[best]).sum()))
+                    tempered = model.share + evidence * min(1, EVIDENCE / len(words))
+                    scores.append(float(1 / np.exp(tempered - tempered[best]).sum()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=fields)
 
     return docs.select(*keep, "text").mapInArrow(score, schema)
