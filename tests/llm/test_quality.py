@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 
-from threatlake.llm.quality import FEATURES, line_features, marginals, score_quality
+from threatlake.llm.quality import FEATURES, _expectations, fit, fit_lines, line_features, line_labels, marginals, score_quality
 
 from .conftest import DE, EN, text_of
 
@@ -46,6 +46,45 @@ def test_held_out_quality(spark):
     assert len(held) > 40 and sum(r.predicted == int(r.doc_id % 4 != 0) for r in held) >= 0.95 * len(held)
 
 
+def test_lines_of_bad_documents_may_be_good():
+    rng = random.Random(4)
+    good = lambda k: text_of(EN, 12, k).capitalize() + "."
+    bad = lambda k: text_of(EN, 12, k).upper().replace(" ", "!! ")
+    docs, labels = [], []
+    for i in range(240):
+        label = int(i % 3 != 0)
+        lines = [good(rng.random()) if label or i % 2 and j % 4 else bad(rng.random()) for j in range(8)]
+        docs.append("\n".join(lines).encode())
+        labels.append(label)
+    sequences = [line_features(d)[0] for d in docs]
+    first = fit_lines(sequences, [np.full(len(s), y) for s, y in zip(sequences, labels)], chained=False)
+    told = line_labels(sequences, labels, first)
+    assert all(t.min() == 0 for t, y in zip(told, labels) if not y) and all(t.min() == 1 for t, y in zip(told, labels) if y)
+    field = fit(sequences, labels)
+    mixed = field.score("\n".join([good(k) for k in range(5)] + [bad(k) for k in range(5)]).encode())
+    assert field.score(good(1).encode()) > 0.9 and field.score(bad(1).encode()) < 0.1 and 0.2 < mixed < 0.8
+
+
+def test_expectations_against_enumeration():
+    rng = np.random.default_rng(3)
+    lengths = np.array([4, 2, 1])
+    offsets = np.array([0, 4, 6])
+    node, pairs = rng.normal(size=7), rng.normal(size=(2, 2))
+    places = [offsets[: int((lengths > t).sum())] + t for t in range(4)]
+    p, expected = _expectations(node, pairs, places, lengths, offsets, np.logaddexp)
+    good, counts = np.zeros(7), np.zeros(4)
+    for a, n in zip(offsets, lengths):
+        total, g, c = 0.0, np.zeros(n), np.zeros(4)
+        for labels in itertools.product((0, 1), repeat=int(n)):
+            x = np.exp(sum(s for s, y in zip(node[a:], labels) if y) + sum(pairs[i, j] for i, j in zip(labels, labels[1:])))
+            total += x
+            g += x * np.array(labels)
+            for i, j in zip(labels, labels[1:]):
+                c[2 * i + j] += x
+        good[a : a + n], counts = g / total, counts + c / total
+    assert np.allclose(p, good) and np.allclose(expected, counts)
+
+
 def test_without_labels(corpus, nothing, spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert {r.score for r in score_quality(corpus, none).collect()} == {0.5}

@@ -5,10 +5,12 @@ field labels each line good or bad, with weights for features and for pairs of
 neighbouring labels.  Forward-backward sums give each line's marginal of good,
 and a document's score is their mean weighted by line length.
 
-Training maximises the likelihood of line labels taken from the document's
-label, on at most about ``sample`` labelled documents chosen by a hash of the id
-(those above TRAIN_LINES lines excepted), so the fit costs the same at every
-size.  Scoring reads whole texts.
+A document's label does not tell which of its lines are bad.  So training first
+fits a field without pairs on lines that all bear their document's label; lines
+of bad documents that it finds good are then labelled so (the worst line of each
+stays bad), and the field is fitted on these labels, from which pairs learn how
+labels change.  It uses about ``sample`` labelled documents chosen by a hash of
+the id, so the fit costs the same at every size.  Scoring reads whole texts.
 
 Results in edge cases: a null text counts as empty, and an empty text is one
 empty line; without labelled rows of both classes all weights are 0 and the
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from .shared import crc_fold
 from .shingles import mixed, word_hashes
 
-SAMPLE, TRAIN_LINES, STEPS, RIDGE, THRESHOLD = 4000, 256, 150, 1e-3, 0.3
+SAMPLE, STEPS, RIDGE, THRESHOLD = 4000, 150, 1e-3, 0.3
 
 
 def _class(test) -> np.ndarray:
@@ -153,60 +155,84 @@ class Field:
         return float(good @ weight / weight.sum())
 
 
+def line_labels(sequences: list[np.ndarray], labels: list[int], first: Field) -> list[np.ndarray]:
+    """Labels of lines: in bad documents those that ``first`` finds good are good, but for the worst of each."""
+    out = []
+    for lines, label in zip(sequences, labels):
+        found = np.full(len(lines), label)
+        if not label:
+            scores = ((lines - first.centre) / first.scale) @ first.weights
+            found = (scores > 0).astype(int)
+            found[int(scores.argmin())] = 0
+        out.append(found)
+    return out
+
+
 def fit(sequences: list[np.ndarray], labels: list[int], steps: int = STEPS) -> Field:
-    """Maximum likelihood with a ridge, by Adam on all sequences at once."""
+    """Weights from documents' features and labels, in two rounds."""
     if len(set(labels)) < 2:
         return Field()
+    first = fit_lines(sequences, [np.full(len(s), label) for s, label in zip(sequences, labels)], steps, chained=False)
+    return fit_lines(sequences, line_labels(sequences, labels, first), steps)
+
+
+def fit_lines(sequences: list[np.ndarray], labels: list[np.ndarray], steps: int = STEPS, chained: bool = True) -> Field:
+    """Maximum likelihood of line labels with a ridge, by Adam on all sequences at once; pairs stay 0 unless ``chained``."""
     order = sorted(range(len(sequences)), key=lambda k: -len(sequences[k]))
     lengths = np.array([len(sequences[k]) for k in order])
-    label = np.array([labels[k] for k in order])
     flat = np.concatenate([sequences[k] for k in order])
+    label = np.concatenate([labels[k] for k in order])
     centre, scale = flat.mean(axis=0), flat.std(axis=0)
     centre[0], scale[0] = 0, 1
     scale[scale < 1e-6] = 1
     flat = (flat - centre) / scale
-    longest, docs = int(lengths[0]), len(lengths)
+    longest, docs = int(lengths[0]) if chained else 0, len(lengths)
     offsets = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    active = [int((lengths > t).sum()) for t in range(longest)]
-    owner = np.repeat(np.arange(docs), lengths)
+    # the documents that reach line t come first, so line t of all is one slice of places
+    places = [offsets[: int((lengths > t).sum())] + t for t in range(longest)]
+    inner = np.ones(len(flat), dtype=bool)
+    inner[offsets] = False
+    after = np.flatnonzero(inner)
+    seen = np.bincount(2 * label[after - 1] + label[after], minlength=4).astype(float)
     theta = np.zeros(flat.shape[1] + 4)
     mean, square = np.zeros_like(theta), np.zeros_like(theta)
     add = np.logaddexp
     for step in range(1, steps + 1):
         w, pairs = theta[:-4], theta[-4:].reshape(2, 2)
-        s = flat @ w
-        alpha0, alpha1 = np.zeros((longest, docs)), np.zeros((longest, docs))
-        beta0, beta1 = np.zeros((longest, docs)), np.zeros((longest, docs))
-        node = np.zeros((longest, docs))
-        for t in range(longest):
-            k = active[t]
-            node[t, :k] = s[offsets[:k] + t]
-            if t == 0:
-                alpha1[0] = node[0]
-            else:
-                alpha0[t, :k] = add(alpha0[t - 1, :k] + pairs[0, 0], alpha1[t - 1, :k] + pairs[1, 0])
-                alpha1[t, :k] = add(alpha0[t - 1, :k] + pairs[0, 1], alpha1[t - 1, :k] + pairs[1, 1]) + node[t, :k]
-        ending = lengths - 1
-        logz = add(alpha0[ending, np.arange(docs)], alpha1[ending, np.arange(docs)])
-        expected = np.zeros(4)
-        for t in range(longest - 2, -1, -1):
-            k = active[t + 1]
-            n0, n1 = beta0[t + 1, :k], beta1[t + 1, :k] + node[t + 1, :k]
-            beta0[t, :k] = add(pairs[0, 0] + n0, pairs[0, 1] + n1)
-            beta1[t, :k] = add(pairs[1, 0] + n0, pairs[1, 1] + n1)
-            for a, left in ((0, alpha0[t, :k]), (1, alpha1[t, :k])):
-                for b, right in ((0, n0), (1, n1)):
-                    expected[2 * a + b] += np.exp(left + pairs[a, b] + right - logz[:k]).sum()
-        line = np.arange(len(flat)) - offsets[owner]
-        p = np.exp(alpha1[line, owner] + beta1[line, owner] - logz[owner])
-        seen = np.array([((lengths - 1) * (label == 0)).sum(), 0, 0, ((lengths - 1) * (label == 1)).sum()], dtype=float)
-        gradient = np.concatenate([(label[owner] - p) @ flat, seen - expected]) / docs - RIDGE * theta
+        node = flat @ w
+        if chained:
+            p, expected = _expectations(node, pairs, places, lengths, offsets, add)
+        else:
+            p, expected = 1 / (1 + np.exp(-np.clip(node, -60, 60))), seen
+        gradient = np.concatenate([(label - p) @ flat, seen - expected]) / docs - RIDGE * theta
         mean = 0.9 * mean + 0.1 * gradient
         square = 0.999 * square + 0.001 * gradient**2
         theta = theta + 0.1 * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
     return Field(centre, scale, theta[:-4], theta[-4:].reshape(2, 2))
 
 
+def _expectations(node, pairs, places, lengths, offsets, add) -> tuple[np.ndarray, np.ndarray]:
+    """P(good) of every line and the expected number of each pair of neighbouring labels, by forward-backward sums over all sequences."""
+    alpha0, alpha1 = np.zeros(len(node)), np.zeros(len(node))
+    beta0, beta1 = np.zeros(len(node)), np.zeros(len(node))
+    alpha1[places[0]] = node[places[0]]
+    for here in places[1:]:
+        a0, a1 = alpha0[here - 1], alpha1[here - 1]
+        alpha0[here] = add(a0 + pairs[0, 0], a1 + pairs[1, 0])
+        alpha1[here] = add(a0 + pairs[0, 1], a1 + pairs[1, 1]) + node[here]
+    last = offsets + lengths - 1
+    logz = add(alpha0[last], alpha1[last])
+    expected = np.zeros(4)
+    for here in reversed(places[1:]):
+        n0, n1 = beta0[here], beta1[here] + node[here]
+        beta0[here - 1] = add(pairs[0, 0] + n0, pairs[0, 1] + n1)
+        beta1[here - 1] = add(pairs[1, 0] + n0, pairs[1, 1] + n1)
+        for a, left in ((0, alpha0[here - 1]), (1, alpha1[here - 1])):
+            for b, right in ((0, n0), (1, n1)):
+                expected[2 * a + b] += np.exp(left + pairs[a, b] + right - logz[: len(here)]).sum()
+    return np.exp(alpha1 + beta1 - np.repeat(logz, lengths)), expected
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
     """Fits the field on about ``sample`` of the labelled rows: labels(doc_id, quality) of docs(doc_id, text)."""
     rows = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("_id"), (F.col("quality") > 0).cast("int").alias("quality"))
@@ -214,13 +240,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
     chosen = rows.where(F.pmod(F.xxhash64("_id", F.lit("train")), F.lit(parts)) == 0).dropDuplicates(["_id"])
     # about ``sample`` rows: the bound of this broadcast
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    # an id that comes again in documents trains once
+    texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality"))
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            features = [line_features(t.as_py() or b"")[0] for t in batch.column(1)]
-            keep = [k for k, f in enumerate(features) if len(f) <= TRAIN_LINES]
-            packed = pa.array([features[k].astype(np.float32).tobytes() for k in keep], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), packed, batch.column(2).take(pa.array(keep, pa.int64()))], names=["doc_id", "lines", "quality"])
+            packed = pa.array([line_features(t.as_py() or b"")[0].astype(np.float32).tobytes() for t in batch.column(1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), packed, batch.column(2)], names=["doc_id", "lines", "quality"])
 
     found = texts.select("doc_id", "text", "quality").mapInArrow(collect, "doc_id long, lines binary, quality int").collect()
     found.sort(key=lambda r: (r["doc_id"], bytes(r["lines"])))
