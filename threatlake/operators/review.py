@@ -41,7 +41,7 @@ def chat_client(base_url: str, api_key: str, model: str, timeout: float = 120) -
 
 def cut_content(content: Column, limit: int = CONTENT_LIMIT) -> Column:
     """Contents of more than ``limit`` bytes lose what follows ``limit`` characters, and the last of these."""
-    short = F.expr(f"left(content, least({limit}, length(content)) - 1)")
+    short = F.left(content, F.least(F.lit(limit), F.length(content)) - 1)
     return F.when(F.octet_length(content) > limit, F.concat(short, F.lit("\n[truncated]"))).otherwise(content)
 
 

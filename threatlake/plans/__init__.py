@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import corpus_queries, pattern_queries, taint_queries, unicode_queries
+from . import corpus_queries, operator_queries, pattern_queries, taint_queries, unicode_queries
 
-_MODULES = [unicode_queries, pattern_queries, taint_queries, corpus_queries]
+_MODULES = [unicode_queries, pattern_queries, taint_queries, corpus_queries, operator_queries]
 
 
 def queries():
