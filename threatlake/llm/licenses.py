@@ -39,17 +39,21 @@ TEMPLATES = [
     ("reserved-notice", "copyright [[c]] {{holder:1-8}} all rights reserved"),
     (
         "mit-text",
-        "permission is hereby granted free of charge to any person obtaining a copy of {{this:1-2}} [[software]] [[and associated documentation files]] [[the software]] "
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software "
         "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell "
         "copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions "
         "the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software "
-        "[[the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability "
-        "fitness for a particular purpose and noninfringement]]",
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability "
+        "fitness for a particular purpose and noninfringement in no event shall {{holders:1-12}} be liable for any claim damages or other liability "
+        "whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
     ),
     (
         "isc-text",
         "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted "
-        "provided that the above copyright notice and this permission notice appear in all copies",
+        "provided that the above copyright notice and this permission notice appear in all copies "
+        "the software is provided as is and {{holder:1-12}} disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness "
+        "in no event shall {{holder:1-12}} be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits "
+        "whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
     ),
     (
         "bsd-text",
@@ -57,8 +61,38 @@ TEMPLATES = [
         "[[1]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
         "[[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer "
         "in the documentation and or other materials provided with the distribution "
-        "[[3 neither the name of {{holder:1-8}} nor the names of its contributors may be used to endorse or promote products derived from this software "
-        "without specific prior written permission]]",
+        "[[[[3]] neither the name of {{holder:1-12}} nor the names of its contributors may be used to endorse or promote products derived from this software "
+        "without specific prior written permission]] "
+        "this software is provided by {{holders:1-12}} as is and any express or implied warranties including but not limited to the implied warranties of merchantability "
+        "and fitness for a particular purpose are disclaimed in no event shall {{holders:1-12}} be liable for any direct indirect incidental special exemplary or consequential damages "
+        "including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability "
+        "whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
+    ),
+    (
+        "apache-header",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at "
+        "http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis "
+        "without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
+    ),
+    (
+        "gpl-header",
+        "{{this:1-4}} is free software you can redistribute it and or modify it under the terms of the gnu [[lesser]] [[affero]] general public license as published by the free software foundation "
+        "either version {{version:1-2}} of the license or at your option any later version {{this:1-4}} is distributed in the hope that it will be useful but without any warranty "
+        "without even the implied warranty of merchantability or fitness for a particular purpose see the gnu [[lesser]] [[affero]] general public license for more details",
+    ),
+    (
+        "unlicense-text",
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software "
+        "either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+    ),
+    (
+        "zlib-text",
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software "
+        "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions "
+        "[[1]] the origin of this software must not be misrepresented you must not claim that you wrote the original software "
+        "if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required "
+        "[[2]] altered source versions must be plainly marked as such and must not be misrepresented as being the original software "
+        "[[3]] this notice may not be removed or altered from any source distribution",
     ),
 ]
 
@@ -95,14 +129,16 @@ class Automaton:
         self.words: list[str | None] = []
         self.jumps: dict[int, list[int]] = {}
         self._add(markup(template))
+        # the run is tried where the first mandatory words stand, less the replaceable words before them
+        first = next((k for k, w in enumerate(self.words) if w is not None and k not in self.jumps), None)
+        if first is None or any(w is not None for w in self.words[:first]):
+            raise ValueError("a template starts with mandatory wording or a replaceable region")
         lead = []
-        for word in self.words:
-            if word is None or len(lead) in self.jumps:
+        for k in range(first, len(self.words)):
+            if self.words[k] is None or k in self.jumps:
                 break
-            lead.append(word)
-        if len(lead) < 1:
-            raise ValueError("a template starts with mandatory wording")
-        self.lead = (" " + " ".join(lead) + " ").encode()
+            lead.append(self.words[k])
+        self.lead, self.before = (" " + " ".join(lead) + " ").encode(), first
 
     def _add(self, parts: list) -> None:
         for part in parts:
@@ -168,7 +204,8 @@ def scan_text(text: bytes | None, automata: list[Automaton], base: dict[bytes, s
             labels.add(label)
     spans = []
     for automaton in automata:
-        for at in places(stream, automaton.lead):
+        starts = {max(0, at - back) for at in places(stream, automaton.lead) for back in range(automaton.before + 1)}
+        for at in sorted(starts):
             end = automaton.run(words, at)
             if end >= 0:
                 spans.append((automaton.label, at, end))
