@@ -159,3 +159,23 @@ def test_plans_stay_in_the_jvm(spark):
     f = files(spark, "x")
     plan = ThreatEngine.default(("l1",)).scan(f)._jdf.queryExecution().toString()
     assert "Python" not in plan and "CartesianProduct" not in plan
+
+
+def test_every_match_holds_the_pattern_s_literal():
+    from threatlake.functions import fixed as X
+    from threatlake.functions.text import anchor
+
+    assert anchor(r"\bvm\.runIn(NewContext|ThisContext)\s*\(") == "runIn" and anchor("charCodeAt|fromCharCode") is None and anchor(r"\^") is None
+    assert anchor(X.RC4_PATTERNS["INIT_256"]) is None and anchor(r"ab?c") is None
+    for pattern in [*X.EXEC_PATTERNS, *X.CLIENT_PATTERNS, *X.HEADER_PATTERNS, *X.DECRYPT_PATTERNS, *X.EVAL_PATTERNS]:
+        assert anchor(pattern) and anchor(pattern) in pattern
+
+
+def test_long_lines_and_many_lines(spark):
+    """A line of a million characters and a file of a hundred thousand lines take a time that grows with their length only."""
+    line = "a" * 500_000 + "​" + "pаss" + "b" * 500_000
+    rows = scan_text(spark, line, "one.js").collect()
+    assert sorted((r.category, r.column) for r in rows) == [("homoglyph", 500_003), ("invisible_character", 500_001)]
+    many = "eval(x)\r\n" * 100_000 + "‮"
+    found = scan_text(spark, many, "many.js")
+    assert found.where("category = 'glassware_pattern'").count() == 100_000 and found.where("category = 'bidirectional_override'").first().line == 100_001

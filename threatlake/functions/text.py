@@ -7,6 +7,10 @@ scripts.
 
 from __future__ import annotations
 
+import functools
+import os
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,9 +30,18 @@ def char_class(ranges) -> str:
     return "[" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in ranges) + "]"
 
 
+def anchor(pattern: str) -> str | None:
+    """A literal that every match of the pattern holds, the longest one that stands outside classes; of alternatives in a group their common beginning."""
+    plain = re.sub(r"\\[bsdwS][*+]?|\[[^\]]*\][*+]?|\\u\\\{|\\.", " ", pattern)
+    plain = re.sub(r"\((?:\?:)?([^()]*)\)", lambda m: f" {os.path.commonprefix(m[1].split('|'))} ", plain)
+    return None if "|" in plain else max(re.findall(r"\w{2,}", re.sub(r".[?*{]", " ", plain)), key=len, default=None)
+
+
 def matches(text: Column, patterns) -> Column:
-    """Whether any pattern is found, with Unicode classes."""
-    return text.rlike("(?U)" + "|".join(f"(?:{p})" for p in patterns))
+    """Whether any pattern is found, with Unicode classes; texts without any pattern's literal are told by a plain search."""
+    found = text.rlike("(?U)" + "|".join(f"(?:{p})" for p in patterns))
+    literals = [anchor(p) for p in patterns]
+    return found if None in literals else functools.reduce(Column.__or__, (text.contains(x) for x in dict.fromkeys(literals))) & found
 
 
 def let(value: Column, body) -> Column:
@@ -42,18 +55,24 @@ def byte_column(text: Column, pattern: str) -> Column:
     return F.when(text.rlike(f"(?U){pattern}"), F.octet_length(before) + 1).cast("long")
 
 
-def lines(files: DataFrame, keep: tuple[str, ...] = ("path",)) -> DataFrame:
-    """(*keep, line, text): split at U+000A, one U+000D before it removed, no empty last line."""
-    parts = files.select(*keep, F.posexplode(F.split("content", "\n", -1)).alias("_pos", "_raw"), F.regexp_count("content", F.lit("\n")).alias("_last"))
-    ended = F.col("_pos") < F.col("_last")
-    text = F.when(ended & F.col("_raw").endswith("\r"), F.expr("left(_raw, length(_raw) - 1)")).otherwise(F.col("_raw"))
-    return parts.where(ended | (F.col("_raw") != "")).select(*keep, (F.col("_pos") + 1).cast("long").alias("line"), text.alias("text"))
+def line_array(content: Column) -> Column:
+    """array<struct<line, text>>: split at U+000A, one U+000D before it removed, no empty last line."""
 
+    def cut(parts: Column) -> Column:
+        last = F.size(parts) - 1
 
-def line_array(content: Column) -> Column:
-    """The lines as ``lines`` gives them, as an array; an empty last line stays, it matches nothing."""
-    last = F.size(F.split(content, "\n", -1)) - 1
-    return F.transform(F.split(content, "\n", -1), lambda x, i: F.when((i < last) & x.endswith("\r"), F.left(x, F.length(x) - 1)).otherwise(x))
+        def one(x: Column, i: Column) -> Column:
+            text = F.when((i < last) & x.endswith("\r"), F.left(x, F.length(x) - 1)).otherwise(x)
+            return F.when((i < last) | (x != ""), F.struct((i + 1).cast("long").alias("line"), text.alias("text")))
+
+        return F.array_compact(F.transform(parts, one))
+
+    return let(F.split(content, "\n", -1), cut)
+
+
+def lines(files: DataFrame, keep: tuple[str, ...] = ("path",)) -> DataFrame:
+    """(*keep, line, text) of every line; the content itself is not carried along."""
+    return files.select(*keep, F.explode(line_array(F.col("content"))).alias("_l")).select(*keep, "_l.*")
 
 
 #: Word characters of identifiers, and how many of them are looked at to each side before the whole rest of the line is.

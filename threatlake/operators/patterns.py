@@ -69,10 +69,11 @@ def _pipe(content: Column) -> Column:
 
 
 def _decoders(content: Column) -> Column:
-    def one(x: Column, i: Column) -> Column:
+    def one(row: Column) -> Column:
+        x = row["text"]
         column = F.coalesce(*(byte_column(x, p) for p in X.SELECTOR_CONSTANTS))
         made = finding_columns(
-            "stego", 3, line=(i + 1).cast("long"), column=column, category="decoder_function", severity="high", description="Decoder of variation selectors: codePointAt with their constants",
+            "stego", 3, line=row["line"], column=column, category="decoder_function", severity="high", description="Decoder of variation selectors: codePointAt with their constants",
             remediation="Find the file that carries the payload this code decodes.", cwe_id="CWE-506", context=short_line(x),
         )
         return F.when(x.contains("codePointAt") & matches(x, X.SELECTOR_CONSTANTS), F.struct(*made))
@@ -91,9 +92,10 @@ def indicator_array(content: Column) -> Column:
     """array<struct<line, text, kind, pattern_no, column>>: the first match of every pattern per line."""
     every = [p for _, p in _INDICATORS]
 
-    def one(x: Column, i: Column) -> Column:
+    def one(row: Column) -> Column:
+        x = row["text"]
         hits = (
-            F.when(x.rlike(f"(?U){p}"), F.struct((i + 1).cast("long").alias("line"), x.alias("text"), F.lit(kind).alias("kind"), F.lit(k).alias("pattern_no"), byte_column(x, p).alias("column")))
+            F.when(x.rlike(f"(?U){p}"), F.struct(row["line"].alias("line"), x.alias("text"), F.lit(kind).alias("kind"), F.lit(k).alias("pattern_no"), byte_column(x, p).alias("column")))
             for k, (kind, p) in enumerate(_INDICATORS)
         )
         return F.when(matches(x, every), F.array_compact(F.array(*hits)))
@@ -140,29 +142,31 @@ def _encrypted(content: Column, fixes: bool = False) -> Column:
     blob = f"{X.BASE64_RUN}|{X.QUOTED_LITERAL}|{X.TEMPLATE_LITERAL}"
     dense = lambda x: F.exists(F.regexp_extract_all(x, F.lit(f"({X.BASE64_RUN})"), F.lit(1)), lambda run: text_entropy(run) > X.ENTROPY_LIMIT)
     literal = lambda x: F.coalesce(text_entropy(line_literal(x)) > X.ENTROPY_LIMIT, F.lit(False))
-    told = lambda x, i: F.when(x.rlike(blob), F.struct((i + 1).alias("line"), dense(x).alias("base64"), literal(x).alias("literal"), x.rlike(X.HEX_RUN).alias("hex_run"), x.rlike(X.BASE64_RUN).alias("base64_run")))
+    told = lambda row: F.when(row["text"].rlike(blob), facts_of(row["line"], row["text"]))
+    facts_of = lambda line, x: F.struct(line.alias("line"), dense(x).alias("base64"), literal(x).alias("literal"), x.rlike(X.HEX_RUN).alias("hex_run"), x.rlike(X.BASE64_RUN).alias("base64_run"))
 
     def made(facts: Column) -> Column:
         first = lambda test: F.array_min(F.transform(F.filter(facts, test), lambda f: f["line"]))
         full = lambda f: f["base64"] | f["literal"]
-        place = first(full) if fixes else F.coalesce(first(lambda f: f["hex_run"]), first(lambda f: f["base64_run"]), first(lambda f: f["literal"]), F.lit(1))
+        place = first(full) if fixes else F.coalesce(first(lambda f: f["hex_run"]), first(lambda f: f["base64_run"]), first(lambda f: f["literal"]), F.lit(1).cast("long"))
         one = finding_columns(
             "encrypted_payload", 5, line=place.cast("long"), column=F.lit(1).cast("bigint"), category="encrypted_payload", severity="high", description="Blob of high entropy in a file that runs code dynamically",
             remediation="Decode the blob and review what is run.", cwe_id="CWE-506", character=F.lit(None).cast("string"),
         )
         return F.when(F.exists(facts, full), F.array(F.struct(*one)))
 
-    runs = F.exists(line_array(content), lambda x: matches(x, X.EXEC_PATTERNS))
+    runs = F.exists(line_array(content), lambda row: matches(row["text"], X.EXEC_PATTERNS))
     return F.when(matches(content, X.EXEC_PATTERNS) & content.rlike(blob) & runs, let(F.array_compact(F.transform(line_array(content), told)), made))
 
 
 def xor_proximity(content: Column) -> Column:
     """charCodeAt with ^ and fromCharCode up to four lines later, or fromCharCode with ^ and charCodeAt up to five lines earlier."""
-    split = F.split(content, "\n", -1)
-    near = lambda a, b, low, high: F.exists(
-        F.transform(split, lambda x, i: F.when(x.contains(a) & x.contains("^"), F.exists(F.slice(split, F.greatest(i - low + 1, F.lit(1)), F.least(i, F.lit(low)) + high + 1), lambda y: y.contains(b))).otherwise(F.lit(False))), lambda z: z
-    )
-    return near("charCodeAt", "String.fromCharCode", 0, 4) | near("String.fromCharCode", "charCodeAt", 5, 0)
+
+    def near(split: Column, a: str, b: str, low: int, high: int) -> Column:
+        around = lambda i: F.slice(split, F.greatest(i - low + 1, F.lit(1)), F.least(i, F.lit(low)) + high + 1)
+        return F.exists(F.transform(split, lambda x, i: F.when(x.contains(a) & x.contains("^"), F.exists(around(i), lambda y: y.contains(b))).otherwise(F.lit(False))), lambda z: z)
+
+    return let(F.split(content, "\n", -1), lambda split: near(split, "charCodeAt", "String.fromCharCode", 0, 4) | near(split, "String.fromCharCode", "charCodeAt", 5, 0))
 
 
 def _channels(content: Column) -> Column:
