@@ -1,7 +1,5 @@
 """Fact extraction and flows over whole programs."""
 
-from pyspark.sql import functions as F
-
 from threatlake.operators.taint import scope_closure, semantic_findings, source_in_scope, taint_flows, taint_sources, resolved
 from threatlake.sources.jsfacts import fact_tables, facts_of, file_facts
 
@@ -60,8 +58,9 @@ def test_scopes(spark):
     facts = fact_tables(file_facts(table(spark, code, "function (")))
     scopes = facts["scopes"].cache()
     assert scopes.select("path").distinct().count() == 1
-    by_path = {(r.ancestor, r.scope_id) for r in scopes.select(F.explode("scope_path").alias("ancestor"), "scope_id").collect()}
-    assert by_path == {(r.ancestor, r.scope_id) for r in scope_closure(scopes).collect()}
+    parents = {r.scope_id: r.parent_id for r in scopes.collect()}
+    up = lambda x: [x, *(up(parents[x]) if parents[x] is not None else [])]
+    assert {(r.ancestor, r.scope_id) for r in scope_closure(scopes).collect()} == {(a, x) for x in parents for a in up(x)}
     refs = resolved(facts)
     assert refs.count() <= resolved(facts, fixes=True).count()
     sources = taint_sources(facts, refs)

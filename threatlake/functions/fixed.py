@@ -77,6 +77,14 @@ RC4_PATTERNS = {
     "CHARCODE": r"charCodeAt|fromCharCode",
 }
 RC4_CONFIDENCE = {3: 0.5, 4: 0.7, 5: 0.85}
+# Confidence of a file's loader indicators by their number: (from, to, confidence).
+INDICATOR_CONFIDENCE = [(2, 2, 0.45), (3, 3, 0.65), (4, 5, 0.9), (6, None, 0.95)]
+
+# Names of calls that decrypt or hash, of the module that execs, and of the last names of calls that run code in a context.
+CRYPTO_CALLS = ["createDecipheriv", "createDecipher", "createHash", "createHmac", "decrypt"]
+EXEC_MODULE, EXEC_CALLS = "child_process", ["exec", "execSync"]
+CONTEXT_CALLS = ["runInNewContext", "runInContext"]
+KEY_ARGUMENT = {"createDecipheriv": 1, "createDecipher": 0}
 
 ENTROPY_LIMIT, LITERAL_BYTES, RUN_LENGTH, PIPE_RUN = 4.5, 64, 16, 4
 DEFAULT_EXTENSIONS = "js mjs cjs ts tsx jsx py rs go java rb php sh bash zsh yml yaml toml json xml md txt".split()

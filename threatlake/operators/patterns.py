@@ -82,7 +82,8 @@ def _decoders(content: Column) -> Column:
 
 
 def indicator_confidence(n: Column) -> Column:
-    return F.when(n == 2, 0.45).when(n == 3, 0.65).when(n.between(4, 5), 0.9).when(n > 5, 0.95)
+    steps = [F.when((n >= low) & (n <= high if high else F.lit(True)), F.lit(sure)) for low, high, sure in X.INDICATOR_CONFIDENCE]
+    return F.coalesce(*steps)
 
 
 _INDICATORS = [(kind, p) for kind, patterns in (("decoder_pattern", X.DECODER_PATTERNS), ("eval_pattern", X.EVAL_PATTERNS), ("encoding_pattern", X.ENCODING_PATTERNS)) for p in patterns]

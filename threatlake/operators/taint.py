@@ -4,7 +4,7 @@ Facts are a dict of DataFrames: scopes (scope_id, parent_id, scope_path),
 literals, calls, args, declarations, references.  Span containment is always a
 residual of an equi-join on the path, so no join is a cross product of files.
 Ancestry of scopes is array_contains on ``scope_path``; ``scope_closure`` gives
-the same relation by recursion.
+the same relation as rows.
 
 A reference resolves only to a declaration of the same scope that comes before
 it; with ``fixes`` also to one of an enclosing scope.
@@ -15,13 +15,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fixed import ENTROPY_LIMIT, LITERAL_BYTES
+from ..functions.fixed import CONTEXT_CALLS, CRYPTO_CALLS, ENTROPY_LIMIT, EXEC_CALLS, EXEC_MODULE, KEY_ARGUMENT, LITERAL_BYTES
 from ..functions.stego import text_entropy
-from .findings import finding
+from .findings import finding, lookup
 from .patterns import rc4_confidence, rc4_indicators
 
-CRYPTO_CALLS = ["createDecipheriv", "createDecipher", "createHash", "createHmac", "decrypt"]
-
 
 def resolved(facts: dict[str, DataFrame], fixes: bool = False) -> DataFrame:
     """(path, ref_seq, span_start, span_end, symbol_id): the first declaration seen that a reference names."""
@@ -76,7 +74,7 @@ def taint_sources(facts: dict[str, DataFrame], refs: DataFrame) -> DataFrame:
     header = calls.where(F.array_contains("callee_chain", "headers"))
     header = header.select("path", F.concat(F.lit("1:"), F.format_string("%09d", "call_seq")).alias("source_id"), F.lit("http_header").alias("kind"), F.col("callee").alias("method"), F.lit(None).cast("string").alias("key_value"), "span_start", "span_end", "scope_id")
     crypto = calls.where(F.col("callee").isin(CRYPTO_CALLS) | F.array_contains("callee_chain", "crypto"))
-    key_at = F.when(F.col("callee") == "createDecipheriv", 1).when(F.col("callee") == "createDecipher", 0)
+    key_at = lookup(KEY_ARGUMENT, F.col("callee"))
     args = facts["args"].select(F.col("path").alias("_p"), F.col("call_seq").alias("_c"), "arg_idx", "arg_start", "arg_end")
     keyed = crypto.join(args, (F.col("path") == F.col("_p")) & (F.col("call_seq") == F.col("_c")) & (F.col("arg_idx") == key_at)).select("path", "call_seq", "arg_start", "arg_end")
     keys = argument_literals(facts, refs, keyed).select("path", "call_seq", F.col("value").alias("key_value"))
@@ -91,8 +89,8 @@ def taint_sinks(facts: dict[str, DataFrame]) -> DataFrame:
     kind = (
         F.when(F.col("callee") == "eval", "eval")
         .when(F.col("callee") == "Function", "function_constructor")
-        .when((F.size(chain) == 2) & (chain[0] == "child_process") & chain[1].isin("exec", "execSync"), "child_process_exec")
-        .when(last.isin("runInNewContext", "runInContext"), "vm_run_in_context")
+        .when((F.size(chain) == 2) & (F.get(chain, 0) == EXEC_MODULE) & F.get(chain, 1).isin(EXEC_CALLS), "child_process_exec")
+        .when(last.isin(CONTEXT_CALLS), "vm_run_in_context")
     )
     return facts["calls"].withColumn("sink", kind).where("sink IS NOT NULL").select("path", "call_seq", "sink", "span_start", "span_end", "scope_id")
 
@@ -132,15 +130,8 @@ def taint_flows(facts: dict[str, DataFrame], fixes: bool = False) -> DataFrame:
 
 
 def scope_closure(scopes: DataFrame) -> DataFrame:
-    """(path, ancestor, scope_id), reflexive, by a recursive query; for tables within Spark's recursion limits."""
-    return scopes.sparkSession.sql(
-        """WITH RECURSIVE up(path, ancestor, scope_id) AS (
-             SELECT path, scope_id, scope_id FROM {s}
-             UNION ALL
-             SELECT up.path, s.parent_id, up.scope_id FROM up JOIN {s} s ON s.path = up.path AND s.scope_id = up.ancestor WHERE s.parent_id IS NOT NULL
-           ) SELECT * FROM up""",
-        s=scopes.select("path", "scope_id", "parent_id"),
-    )
+    """(path, ancestor, scope_id), reflexive: every scope on the way from the file's own scope, without recursion."""
+    return scopes.select("path", F.explode("scope_path").alias("ancestor"), "scope_id")
 
 
 def source_in_scope(facts: dict[str, DataFrame], sources: DataFrame, scopes: DataFrame) -> DataFrame:

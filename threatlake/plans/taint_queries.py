@@ -131,8 +131,8 @@ def gw008(spark, d):
 
 
 def closure(spark, d):
-    """The closure by scope paths, per scope; the recursive form is tested against it."""
-    return _planted_facts(spark, d)["scopes"].select("path", "scope_id", F.size("scope_path").cast("long").alias("n_ancestors"))
+    """How many scopes enclose each scope, itself included."""
+    return T.scope_closure(_planted_facts(spark, d)["scopes"]).groupBy("path", "scope_id").agg(F.count(F.lit(1)).alias("n_ancestors"))
 
 
 QUERIES = {
