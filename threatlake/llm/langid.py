@@ -220,17 +220,17 @@ def train(labelled: DataFrame, vocabulary: str = VOCABULARY, sample: int = SAMPL
 
 
 def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``keep`` columns and (lang_pred, score) per row of ``docs``."""
+    """``keep`` columns and (lang_pred, score, posterior) per row of ``docs``; ``posterior`` rests on all words."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    fields = [*keep, "lang_pred", "score"]
+    fields = [*keep, "lang_pred", "score", "posterior"]
     kinds = {f.name: f.dataType for f in docs.schema.fields}
-    schema = ", ".join([*(f"`{c}` {kinds[c].simpleString()}" for c in keep), "lang_pred string", "score double"])
+    schema = ", ".join([*(f"`{c}` {kinds[c].simpleString()}" for c in keep), "lang_pred string", "score double", "posterior double"])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         table, known, logs = Pieces(model.pieces), {}, np.zeros((0, len(model.langs)))
         for batch in batches:
-            langs, scores = [], []
+            langs, scores, sure = [], [], []
             for at in range(0, batch.num_rows, SLICE):
                 texts = batch.column(batch.num_columns - 1).slice(at, SLICE)
                 listed = [words_of(t.as_py()) if model.langs else [] for t in texts]
@@ -245,13 +245,16 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFr
                     if not words:
                         langs.append(UNDETERMINED)
                         scores.append(0.0)
+                        sure.append(0.0)
                         continue
                     evidence = logs[[known[w] for w in words]].sum(axis=0)
-                    best = int((model.share + evidence).argmax())
+                    total = model.share + evidence
+                    best = int(total.argmax())
                     langs.append(model.langs[best])
+                    sure.append(float(1 / np.exp(total - total[best]).sum()))
                     tempered = model.share + evidence * min(1, EVIDENCE / len(words))
                     scores.append(float(1 / np.exp(tempered - tempered[best]).sum()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=fields)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(sure, pa.float64())], names=fields)
 
     return docs.select(*keep, "text").mapInArrow(score, schema)
 
@@ -261,17 +264,17 @@ def identify(docs: DataFrame, vocabulary: str = VOCABULARY, sample: int = SAMPLE
     fold = crc_fold("doc_id", 4)
     model = train(docs.where(fold != 2), vocabulary, sample)
     marked = docs.select("doc_id", (fold == 2).alias("held_out"), "text")
-    return predict(marked, model, ("doc_id", "held_out"))
+    return predict(marked, model, ("doc_id", "held_out")).drop("posterior")
 
 
 def keep_identified(docs: DataFrame, least: float = 0.5, vocabulary: str = VOCABULARY, sample: int = SAMPLE) -> DataFrame:
-    """The documents whose language is told with a score of at least ``least``, columns unchanged."""
+    """The documents whose language has a posterior of at least ``least``, columns unchanged."""
 
     def kept(rows: DataFrame) -> DataFrame:
         model = train(rows.where(crc_fold("doc_id", 4) != 2), vocabulary, sample)
         others = tuple(c for c in rows.columns if c != "text")
         told = predict(rows.select(*others, F.col("text").alias("_kept_text"), "text"), model, (*others, "_kept_text"))
-        told = told.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least))
+        told = told.where((F.col("lang_pred") != UNDETERMINED) & (F.col("posterior") >= least))
         return told.withColumnRenamed("_kept_text", "text")
 
     return keeping_columns(docs, ("doc_id", "text", "lang"), kept)
