@@ -28,7 +28,8 @@ CAP = 3
 def source_targets(sizes: DataFrame, cap: int = CAP) -> DataFrame:
     """(source, source_size, target) from one row (source, source_size) per source.
 
-    The table has one row per source; its windows run over that table only.
+    The table has one row per source and its windows run in one task over that
+    table only: it is meant for up to some millions of sources.
     """
     ranked = sizes.withColumn("w", (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % 3 + 1)
     ranked = ranked.withColumn("most", F.lit(cap) * F.col("source_size")).withColumn("ratio", F.col("most") / F.col("w"))
