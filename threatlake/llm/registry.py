@@ -8,14 +8,18 @@ from . import (
     jaccard_join_queries,
     langid_queries,
     licenses_queries,
+    manifest_queries,
     mixing_queries,
+    neighbours_queries,
     quality_queries,
+    resampling_queries,
     sharding_queries,
     simhash_queries,
     warc_queries,
 )
 
-_MODULES = [sharding_queries, licenses_queries, jaccard_join_queries, langid_queries, mixing_queries, quality_queries, html_extract_queries, warc_queries, simhash_queries, decontaminate_queries]
+_MODULES = [sharding_queries, licenses_queries, jaccard_join_queries, langid_queries, mixing_queries, quality_queries, html_extract_queries, warc_queries, simhash_queries, decontaminate_queries,
+            resampling_queries, manifest_queries, neighbours_queries]
 
 
 def queries():
