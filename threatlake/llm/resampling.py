@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import prefix_sums, small_batches, written
+from .shared import Scratch, prefix_sums, small_batches, written
 
 #: Entries of the dictionary, and the bytes that an entry may have.
 DICTIONARY, ENTRY_BYTES = 1 << 15, 48
@@ -132,9 +132,24 @@ def _words(text: Column) -> Column:
 
 
 def frequent_words(texts: DataFrame, entries: int) -> tuple[bytes, ...]:
-    """The most frequent words that fit into an entry, ties by the word."""
+    """The most frequent words that fit into an entry.
+
+    Words are counted once and fall into classes of about equal counts; the
+    highest classes that together have at most ``entries`` words are taken, so
+    that no task sends more than belongs to the dictionary.
+    """
     counted = texts.select(F.explode(_words(F.col("text"))).alias("word")).where(F.octet_length("word") <= ENTRY_BYTES).groupBy("word").count()
-    return tuple(r.word.encode() for r in counted.orderBy(F.col("count").desc(), "word").limit(entries).collect())
+    with Scratch(texts.sparkSession) as scratch:
+        rows = scratch.written(counted.select("word", F.floor(8 * F.log2("count")).cast("int").alias("class")), "words")
+        taken, least = 0, None
+        for row in sorted(rows.groupBy("class").count().collect(), reverse=True):
+            taken += row["count"]
+            if taken > entries:
+                break
+            least = row["class"]
+        if least is None:
+            return ()
+        return tuple(r.word.encode() for r in sorted(rows.where(F.col("class") >= least).collect(), key=lambda r: (-r["class"], r.word)))
 
 
 def bucket_counts(texts: DataFrame, words, n: int, buckets: int) -> np.ndarray:
