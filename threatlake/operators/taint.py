@@ -1,10 +1,11 @@
-"""Taint flows as joins over fact tables; every relation is keyed by ``path``.
+"""Taint flows as joins over fact tables; every join is an equi-join on the file and an id within it.
 
 Facts are a dict of DataFrames: scopes (scope_id, parent_id, scope_path),
-literals, calls, args, declarations, references.  Span containment is always a
-residual of an equi-join on the path, so no join is a cross product of files.
-Ancestry of scopes is array_contains on ``scope_path``; ``scope_closure`` gives
-the same relation as rows.
+literals, calls, args, declarations, references.  What encloses what stands in
+their labels (``in_args``, ``in_inits``, ``assigned_to``, ``first_lit``), so that no
+join compares spans and none is keyed by the file alone: a single large file
+spreads over all partitions.  Scopes relate by exploding one side's
+``scope_path`` and joining on the scope; ``scope_closure`` gives all ancestors.
 
 A reference resolves only to a declaration of the same scope that comes before
 it; with ``fixes`` also to one of an enclosing scope.
@@ -21,70 +22,67 @@ from .findings import finding, lookup
 from .patterns import rc4_confidence, rc4_indicators
 
 
-def resolved(facts: dict[str, DataFrame], fixes: bool = False) -> DataFrame:
-    """(path, ref_seq, span_start, span_end, symbol_id): the first declaration seen that a reference names."""
-    r = facts["references"]
-    d = facts["declarations"].select(F.col("path").alias("_p"), F.col("name").alias("_n"), F.col("scope_id").alias("_s"), F.col("node_seq").alias("_q"), "symbol_id")
-    if fixes:
-        r = r.join(facts["scopes"].select("path", "scope_id", "scope_path"), ["path", "scope_id"])
-        same = F.array_contains("scope_path", F.col("_s"))
-    else:
-        same = F.col("scope_id") == F.col("_s")
-    joined = r.join(d, (F.col("path") == F.col("_p")) & (F.col("name") == F.col("_n")) & same & (F.col("_q") < F.col("node_seq")))
-    return joined.groupBy("path", "ref_seq", "span_start", "span_end").agg(F.min_by("symbol_id", "_q").alias("symbol_id"))
+def _scoped(df: DataFrame, facts: dict[str, DataFrame], name: str) -> DataFrame:
+    """``df`` with the scopes around its ``scope_id``, that one included."""
+    return df.join(facts["scopes"].select("path", "scope_id", F.col("scope_path").alias(name)), ["path", "scope_id"])
 
 
-def assigned(spans: DataFrame, facts: dict[str, DataFrame]) -> DataFrame:
-    """``spans`` (path, source_id, span_start, span_end, …) with ``assigned_to``: the first declaration whose initializer holds the span."""
-    d = facts["declarations"].where("init_start IS NOT NULL").select(F.col("path").alias("_p"), "init_start", "init_end", "node_seq", "symbol_id")
-    holds = (F.col("path") == F.col("_p")) & (F.col("init_start") <= F.col("span_start")) & (F.col("span_end") <= F.col("init_end"))
-    found = spans.join(d, holds).groupBy("path", "source_id").agg(F.min_by("symbol_id", "node_seq").alias("assigned_to"))
-    return spans.join(found, ["path", "source_id"], "left")
+def resolved(facts: dict[str, DataFrame], fixes: bool = False) -> DataFrame:
+    """(path, ref_seq, in_args, in_inits, symbol_id): the first declaration seen that a reference names.
+
+    Of a scope's declarations of one name only the first can be it, so each
+    reference meets one row per scope.
+    """
+    columns = ["path", "ref_seq", "in_args", "in_inits"]
+    r = facts["references"]
+    d = facts["declarations"].groupBy("path", "name", F.col("scope_id").alias("in_scope")).agg(F.min(F.struct("node_seq", "symbol_id")).alias("first"))
+    if not fixes:
+        return r.withColumnRenamed("scope_id", "in_scope").join(d, ["path", "name", "in_scope"]).where("first.node_seq < node_seq").select(*columns, "first.symbol_id")
+    up = _scoped(r, facts, "up").select(*columns, "name", "node_seq", F.explode("up").alias("in_scope"))
+    found = up.join(d, ["path", "name", "in_scope"]).where("first.node_seq < node_seq")
+    return found.groupBy(*columns).agg(F.min("first").alias("first")).select(*columns, "first.symbol_id")
 
 
-def symbol_calls(facts: dict[str, DataFrame], refs: DataFrame) -> DataFrame:
+def symbol_calls(refs: DataFrame) -> DataFrame:
     """Distinct (path, symbol_id, call_seq): the symbol is named within an argument of the call."""
-    a = facts["args"].select(F.col("path").alias("_p"), "call_seq", "arg_start", "arg_end")
-    inside = (F.col("path") == F.col("_p")) & (F.col("arg_start") <= F.col("span_start")) & (F.col("span_end") <= F.col("arg_end"))
-    return refs.join(a, inside).select("path", "symbol_id", "call_seq").distinct()
+    return refs.select("path", "symbol_id", F.explode("in_args.call_seq").alias("call_seq")).distinct()
 
 
 def argument_literals(facts: dict[str, DataFrame], refs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(path, call_seq, value) for the arguments ``wanted`` (path, call_seq, arg_start, arg_end).
+    """(path, call_seq, value) for the arguments ``wanted`` (path, call_seq, arg_idx, first_lit).
 
     The first literal inside the argument, else the first inside the initializer
     of a declaration that a reference in the argument names.
     """
-    lit = facts["literals"].select(F.col("path").alias("_p"), "lit_seq", "value", F.col("span_start").alias("_a"), F.col("span_end").alias("_b"))
-    inside = lambda p, a, b, x, y: (F.col("path") == F.col(p)) & (F.col(a) <= F.col(x)) & (F.col(y) <= F.col(b))
-    direct = wanted.join(lit, inside("_p", "arg_start", "arg_end", "_a", "_b")).groupBy("path", "call_seq").agg(F.min_by("value", "lit_seq").alias("direct"))
-    named = refs.select(F.col("path").alias("_rp"), F.col("span_start").alias("_x"), F.col("span_end").alias("_y"), "ref_seq", "symbol_id")
-    hops = wanted.join(named, inside("_rp", "arg_start", "arg_end", "_x", "_y")).select("path", "call_seq", "ref_seq", "symbol_id")
-    inits = facts["declarations"].where("init_start IS NOT NULL").select("path", "symbol_id", "init_start", "init_end")
-    hops = hops.join(inits, ["path", "symbol_id"]).join(lit, inside("_p", "init_start", "init_end", "_a", "_b"))
-    hop = hops.groupBy("path", "call_seq").agg(F.min_by("value", F.struct("ref_seq", "lit_seq")).alias("hop"))
-    return wanted.select("path", "call_seq").join(direct, ["path", "call_seq"], "left").join(hop, ["path", "call_seq"], "left").select("path", "call_seq", F.coalesce("direct", "hop").alias("value"))
+    named = refs.select("path", "ref_seq", "symbol_id", F.explode("in_args").alias("a")).select("path", "ref_seq", "symbol_id", "a.*")
+    hops = named.join(wanted.select("path", "call_seq", "arg_idx"), ["path", "call_seq", "arg_idx"])
+    hops = hops.join(facts["declarations"].where("first_lit IS NOT NULL").select("path", "symbol_id", "first_lit"), ["path", "symbol_id"])
+    hop = hops.groupBy("path", "call_seq").agg(F.min_by("first_lit", "ref_seq").alias("hop"))
+    meant = wanted.join(hop, ["path", "call_seq"], "left").select("path", "call_seq", F.coalesce("first_lit", "hop").alias("lit_seq"))
+    return meant.join(facts["literals"].select("path", "lit_seq", "value"), ["path", "lit_seq"], "left").select("path", "call_seq", "value")
 
 
 def taint_sources(facts: dict[str, DataFrame], refs: DataFrame) -> DataFrame:
     """High-entropy literals, header accesses and cryptographic calls in one table, with what each is assigned to."""
     literals, calls = facts["literals"], facts["calls"]
+    columns = ["span_start", "span_end", "scope_id", "place", "at_line", "assigned_to"]
+    none = lambda name: F.lit(None).cast("string").alias(name)
+    source_id = lambda prefix, seq: F.concat(F.lit(prefix), F.format_string("%09d", seq)).alias("source_id")
     dense = literals.where((F.octet_length("value") >= LITERAL_BYTES) & (text_entropy(F.col("value")) > ENTROPY_LIMIT))
-    dense = dense.select("path", F.concat(F.lit("0:"), F.format_string("%09d", "lit_seq")).alias("source_id"), F.lit("high_entropy").alias("kind"), F.lit(None).cast("string").alias("method"), F.lit(None).cast("string").alias("key_value"), "span_start", "span_end", "scope_id")
+    dense = dense.select("path", source_id("0:", "lit_seq"), F.lit("high_entropy").alias("kind"), none("method"), none("key_value"), *columns)
     header = calls.where(F.array_contains("callee_chain", "headers"))
-    header = header.select("path", F.concat(F.lit("1:"), F.format_string("%09d", "call_seq")).alias("source_id"), F.lit("http_header").alias("kind"), F.col("callee").alias("method"), F.lit(None).cast("string").alias("key_value"), "span_start", "span_end", "scope_id")
+    header = header.select("path", source_id("1:", "call_seq"), F.lit("http_header").alias("kind"), F.col("callee").alias("method"), none("key_value"), *columns)
     crypto = calls.where(F.col("callee").isin(CRYPTO_CALLS) | F.array_contains("callee_chain", "crypto"))
-    key_at = lookup(KEY_ARGUMENT, F.col("callee"))
-    args = facts["args"].select(F.col("path").alias("_p"), F.col("call_seq").alias("_c"), "arg_idx", "arg_start", "arg_end")
-    keyed = crypto.join(args, (F.col("path") == F.col("_p")) & (F.col("call_seq") == F.col("_c")) & (F.col("arg_idx") == key_at)).select("path", "call_seq", "arg_start", "arg_end")
-    keys = argument_literals(facts, refs, keyed).select("path", "call_seq", F.col("value").alias("key_value"))
+    keyed = crypto.select("path", "call_seq", lookup(KEY_ARGUMENT, F.col("callee")).cast("int").alias("arg_idx"))
+    keyed = keyed.join(facts["args"].select("path", "call_seq", "arg_idx", "first_lit"), ["path", "call_seq", "arg_idx"])
+    keys = argument_literals(facts, refs, keyed).withColumnRenamed("value", "key_value")
     crypto = crypto.join(keys, ["path", "call_seq"], "left")
-    crypto = crypto.select("path", F.concat(F.lit("2:"), F.format_string("%09d", "call_seq")).alias("source_id"), F.lit("crypto").alias("kind"), F.col("callee").alias("method"), "key_value", "span_start", "span_end", "scope_id")
-    return assigned(dense.unionByName(header).unionByName(crypto), facts)
+    crypto = crypto.select("path", source_id("2:", "call_seq"), F.lit("crypto").alias("kind"), F.col("callee").alias("method"), "key_value", *columns)
+    return dense.unionByName(header).unionByName(crypto)
 
 
 def taint_sinks(facts: dict[str, DataFrame]) -> DataFrame:
-    """(path, call_seq, sink, span_start, span_end, scope_id): calls that run code."""
+    """(path, call_seq, sink, scope_id, place, at_line): calls that run code."""
     chain, last = F.col("callee_chain"), F.coalesce(F.try_element_at("callee_chain", F.lit(-1)), F.col("callee"))
     kind = (
         F.when(F.col("callee") == "eval", "eval")
@@ -92,41 +90,44 @@ def taint_sinks(facts: dict[str, DataFrame]) -> DataFrame:
         .when((F.size(chain) == 2) & (F.get(chain, 0) == EXEC_MODULE) & F.get(chain, 1).isin(EXEC_CALLS), "child_process_exec")
         .when(last.isin(CONTEXT_CALLS), "vm_run_in_context")
     )
-    return facts["calls"].withColumn("sink", kind).where("sink IS NOT NULL").select("path", "call_seq", "sink", "span_start", "span_end", "scope_id")
+    return facts["calls"].withColumn("sink", kind).where("sink IS NOT NULL").select("path", "call_seq", "sink", "scope_id", "place", "at_line")
 
 
-def _scoped(df: DataFrame, facts: dict[str, DataFrame], name: str) -> DataFrame:
-    paths = facts["scopes"].select("path", "scope_id", F.col("scope_path").alias(name))
-    return df.join(paths, ["path", "scope_id"])
+def related_scopes(a: DataFrame, b: DataFrame, facts: dict[str, DataFrame]) -> DataFrame:
+    """All pairs of ``a`` (path, scope_id, …) and ``b`` (path, b_scope, …) of which one's scope is the other's or encloses it.
+
+    Either ``b`` stands in a scope around ``a``, or ``a`` in one strictly around
+    ``b``: two equi-joins on (path, scope) that share no pair.
+    """
+    above_a = _scoped(a, facts, "up").withColumn("b_scope", F.explode("up")).drop("up")
+    inner = above_a.join(b, ["path", "b_scope"])
+    above_b = _scoped(b.withColumnRenamed("b_scope", "scope_id"), facts, "up").withColumnRenamed("scope_id", "b_scope")
+    above_b = above_b.withColumn("scope_id", F.explode("up")).drop("up").where("scope_id <> b_scope")
+    return inner.unionByName(a.join(above_b, ["path", "scope_id"]))
 
 
 def taint_flows(facts: dict[str, DataFrame], fixes: bool = False) -> DataFrame:
-    """(path, source_id, kind, method, key_value, source_start, sink, sink_seq, flow): direct, transitive and same-scope flows.
+    """(path, source_id, kind, method, key_value, place, at_line, sink, sink_seq, flow): direct, transitive and same-scope flows.
 
     A transitive flow comes once per reference and declaration it passes, and
     does not suppress the same-scope flow of its pair; a direct one does.
     """
-    refs = resolved(facts, fixes)
-    sources, sinks = taint_sources(facts, refs), taint_sinks(facts)
-    s2c = symbol_calls(facts, refs)
-    sink = sinks.select(F.col("path").alias("_sp"), F.col("call_seq").alias("sink_seq"), "sink", F.col("scope_id").alias("sink_scope"))
-    reach = s2c.join(sink, (F.col("path") == F.col("_sp")) & (F.col("call_seq") == F.col("sink_seq"))).select(F.col("path").alias("_rp"), F.col("symbol_id").alias("_sym"), "sink_seq", "sink")
-    source = sources.select("path", "source_id", "kind", "method", "key_value", F.col("span_start").alias("source_start"), "scope_id", "assigned_to")
-    columns = ["path", "source_id", "kind", "method", "key_value", "source_start", "sink", "sink_seq"]
-    direct = source.join(reach, (F.col("path") == F.col("_rp")) & (F.col("assigned_to") == F.col("_sym"))).select(*columns).distinct()
-    done = direct.select(F.col("path").alias("_dp"), F.col("source_id").alias("_ds"), F.col("sink_seq").alias("_dk"))
-    not_direct = (F.col("path") == F.col("_dp")) & (F.col("source_id") == F.col("_ds")) & (F.col("sink_seq") == F.col("_dk"))
-    mention = refs.select(F.col("path").alias("_mp"), F.col("symbol_id").alias("_ms"), F.col("span_start").alias("_ma"), F.col("span_end").alias("_mb"))
-    via = facts["declarations"].where("init_start IS NOT NULL").select(F.col("path").alias("_vp"), F.col("symbol_id").alias("_vs"), "init_start", "init_end")
-    hop = source.join(mention, (F.col("path") == F.col("_mp")) & (F.col("assigned_to") == F.col("_ms")))
-    hop = hop.join(via, (F.col("path") == F.col("_vp")) & (F.col("init_start") <= F.col("_ma")) & (F.col("_mb") <= F.col("init_end")))
-    transitive = hop.join(reach, (F.col("path") == F.col("_rp")) & (F.col("_vs") == F.col("_sym"))).select(*columns).join(done, not_direct, "left_anti")
-    a, b = _scoped(source, facts, "source_path"), _scoped(sinks.select("path", F.col("call_seq").alias("sink_seq"), "sink", "scope_id"), facts, "sink_path")
-    b = b.select(F.col("path").alias("_bp"), "sink_seq", "sink", F.col("scope_id").alias("sink_scope"), "sink_path")
-    related = F.array_contains("source_path", F.col("sink_scope")) | F.array_contains("sink_path", F.col("scope_id"))
-    same = a.join(b, (F.col("path") == F.col("_bp")) & related).select(*columns).join(done, not_direct, "left_anti")
-    named = lambda df, flow: df.withColumn("flow", F.lit(flow))
-    return named(direct, "direct").unionByName(named(transitive, "transitive")).unionByName(named(same, "same_scope"))
+    # a reference outside all arguments and initialisers carries nothing on
+    refs = resolved({**facts, "references": facts["references"].where("size(in_args) > 0 OR size(in_inits) > 0")}, fixes)
+    source, sinks = taint_sources(facts, refs), taint_sinks(facts)
+    sink = sinks.select("path", F.col("call_seq").alias("sink_seq"), "sink", F.col("scope_id").alias("b_scope"))
+    named = refs.select("path", "symbol_id", F.explode("in_args.call_seq").alias("sink_seq"))
+    reach = named.join(sink.drop("b_scope"), ["path", "sink_seq"]).distinct()
+    source = source.select("path", "source_id", "kind", "method", "key_value", "place", "at_line", "scope_id", "assigned_to")
+    columns = ["path", "source_id", "kind", "method", "key_value", "place", "at_line", "sink", "sink_seq"]
+    direct = source.join(reach.withColumnRenamed("symbol_id", "assigned_to"), ["path", "assigned_to"]).select(*columns)
+    done = direct.select("path", "source_id", "sink_seq")
+    via = refs.select("path", F.col("symbol_id").alias("assigned_to"), F.explode("in_inits").alias("symbol_id"))
+    hop = via.join(reach, ["path", "symbol_id"]).drop("symbol_id")
+    transitive = source.join(hop, ["path", "assigned_to"]).select(*columns).join(done, ["path", "source_id", "sink_seq"], "left_anti")
+    same = related_scopes(source, sink, facts).select(*columns).join(done, ["path", "source_id", "sink_seq"], "left_anti")
+    told = lambda df, flow: df.select(*columns, F.lit(flow).alias("flow"))
+    return told(direct, "direct").unionByName(told(transitive, "transitive")).unionByName(told(same, "same_scope"))
 
 
 def scope_closure(scopes: DataFrame) -> DataFrame:
@@ -135,23 +136,17 @@ def scope_closure(scopes: DataFrame) -> DataFrame:
 
 
 def source_in_scope(facts: dict[str, DataFrame], sources: DataFrame, scopes: DataFrame) -> DataFrame:
-    """``scopes`` (path, scope_id) that hold a source in themselves or in an enclosing scope."""
-    own = sources.select(F.col("path").alias("_p"), F.col("scope_id").alias("_s")).distinct()
-    return _scoped(scopes, facts, "scope_path").join(own, (F.col("path") == F.col("_p")) & F.array_contains("scope_path", F.col("_s")), "left_semi").select("path", "scope_id")
-
-
-def _placed(rows: DataFrame, files: DataFrame, fixes: bool) -> DataFrame:
-    """``rows`` with their file's content and the place of their source; "line" is the source's character number, with ``fixes`` its line."""
-    content = files.select(F.col("path").alias("_f"), "content")
-    prefix = F.expr("cast(substring(cast(content AS binary), 1, source_start) AS string)")
-    line = F.regexp_count(prefix, F.lit("\n")) + 1 if fixes else F.length(prefix) + 1
-    return rows.join(content, F.col("path") == F.col("_f")).withColumn("line", line.cast("bigint")).withColumn("column", F.lit(1).cast("bigint"))
+    """The distinct ``scopes`` (path, scope_id) that hold a source in themselves or in an enclosing scope."""
+    own = sources.select("path", F.col("scope_id").alias("around")).distinct()
+    around = _scoped(scopes.select("path", "scope_id"), facts, "up").select("path", "scope_id", F.explode("up").alias("around"))
+    return around.join(own, ["path", "around"], "left_semi").select("path", "scope_id").distinct()
 
 
 def semantic_findings(files: DataFrame, facts: dict[str, DataFrame], fixes: bool = False) -> DataFrame:
     """The four flow detectors over files with facts.
 
     Flows are computed once; every flow makes a finding for each detector whose condition it meets.
+    The "line" of a finding is its source's character number, with ``fixes`` its line.
     """
     header = facts["calls"].where(F.array_contains("callee_chain", "headers")).select(F.col("path").alias("_h")).distinct()
     flows = taint_flows(facts, fixes).where("kind <> 'http_header'").join(header, F.col("path") == F.col("_h"), "left")
@@ -167,14 +162,14 @@ def semantic_findings(files: DataFrame, facts: dict[str, DataFrame], fixes: bool
         hit(crypto & F.col("key_value").isNotNull(), "GW006", 8, "hardcoded_key_decryption", grade("high", "medium"), F.concat(F.lit("Decryption by "), F.col("method"), F.lit(" with key '"), key, F.lit("' flows to "), sink)),
         hit(crypto & F.col("_h").isNotNull(), "GW008", 10, "header_c2", grade("critical", "high"), F.concat(F.lit("Header access and "), F.col("method"), F.lit(" flow to "), sink)),
     )
-    found = flows.select("path", "source_start", F.explode(F.array_compact(hits)).alias("h")).select("path", "source_start", "h.*").withColumn("sure", F.lit(None).cast("double"))
-    first = taint_sinks(facts).groupBy("path").agg(F.min_by(F.struct("span_start", "sink"), "call_seq").alias("first"))
+    found = flows.select("path", "place", "at_line", F.explode(F.array_compact(hits)).alias("h")).select("path", "place", "at_line", "h.*").withColumn("sure", F.lit(None).cast("double"))
+    first = taint_sinks(facts).groupBy("path").agg(F.min_by(F.struct("place", "at_line", "sink"), "call_seq").alias("first"))
     kinds = files.select(F.col("path").alias("_k"), rc4_indicators(F.col("content")).alias("kinds")).where("size(kinds) >= 3")
     rc4 = first.join(kinds, F.col("path") == F.col("_k")).select(
-        "path", F.col("first.span_start").alias("source_start"), F.lit("GW007").alias("rule"), F.lit(9).cast("bigint").alias("seq"), F.lit("rc4_pattern").alias("category"), F.lit("info").alias("severity"),
+        "path", "first.place", "first.at_line", F.lit("GW007").alias("rule"), F.lit(9).cast("bigint").alias("seq"), F.lit("rc4_pattern").alias("category"), F.lit("info").alias("severity"),
         F.concat(F.lit("Hand-made stream cipher near "), F.col("first.sink"), F.lit(": "), F.array_join("kinds", ", ")).alias("text"), rc4_confidence(F.size("kinds")).alias("sure"),
     )
-    rows = _placed(found.unionByName(rc4), files, fixes)
+    rows = found.unionByName(rc4).withColumns({"line": F.col("at_line" if fixes else "place").cast("bigint"), "column": F.lit(1).cast("bigint")})
     return finding(
         rows, "flows", 0, category=F.col("category"), severity=F.col("severity"), description=F.col("text"), remediation="Review what is decoded and run.", character=F.lit(None).cast("string"), confidence=F.col("sure"),
         detector=F.col("rule"), emit_seq=F.col("seq"),

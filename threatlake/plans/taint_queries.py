@@ -43,6 +43,14 @@ def _planted_facts(spark, d):
     half = lambda c: F.floor(c / 2).cast("int")
     up = F.array(F.lit(0), half(half(F.col("scope_id"))), half(F.col("scope_id")), F.col("scope_id"))
     made["scopes"] = made["scopes"].withColumn("scope_path", F.array_distinct(up))
+    # what encloses what, as an extractor labels it; the oracle compares the spans
+    placed = lambda seq: {"place": F.col("span_start") + 1, "at_line": F.lit(1), "assigned_to": F.col(seq)}
+    made["literals"] = made["literals"].withColumns(placed("lit_seq"))
+    made["calls"] = made["calls"].withColumns(placed("call_seq"))
+    made["args"] = made["args"].withColumn("first_lit", F.when(F.col("arg_idx") == 1, F.col("call_seq")))
+    made["declarations"] = made["declarations"].withColumn("first_lit", F.col("symbol_id"))
+    within = F.struct(half(F.col("ref_seq")).alias("call_seq"), (F.col("ref_seq") % 2).cast("int").alias("arg_idx"))
+    made["references"] = made["references"].withColumns({"in_args": F.array(within), "in_inits": F.array(half(F.col("ref_seq")))})
     return made
 
 

@@ -3,14 +3,19 @@
 A small tokenizer and one pass over the tokens with a stack of brackets; no
 syntax tree is built.  Spans are byte offsets.  A file whose brackets or tokens
 do not fit gets ``ok`` false and no facts, and is listed by ``rejects``.  Markup
-within code (JSX) is read as operators and words.  Everything that relates facts is
-done with DataFrame joins in ``threatlake.operators.taint``.
+within code (JSX) is read as operators and words.
+
+Spans nest, so one sweep over a file labels every fact with what encloses it:
+references with the arguments and initialisers around them, literals and calls
+with the declaration they initialise, arguments and initialisers with their first
+literal.  ``threatlake.operators.taint`` joins on these labels, never on spans.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -119,8 +124,49 @@ def tokens_of(text: str) -> list[tuple[str, str, int, int]] | None:
     return None if templates else out
 
 
+def enclosing(intervals: Sequence[tuple[int, int]], spans: Sequence[tuple[int, int]]) -> list[list[int]]:
+    """For every span the numbers of the intervals that hold it whole, outermost first; one sweep with a stack of open intervals."""
+    opening = sorted(range(len(intervals)), key=lambda k: (intervals[k][0], -intervals[k][1]))
+    found: list[list[int]] = [[] for _ in spans]
+    stack: list[int] = []
+    at = 0
+    for k in sorted(range(len(spans)), key=lambda k: spans[k][0]):
+        begin, end = spans[k]
+        while at < len(opening) and intervals[opening[at]][0] <= begin:
+            while stack and intervals[stack[-1]][1] <= intervals[opening[at]][0]:
+                stack.pop()
+            stack.append(opening[at])
+            at += 1
+        while stack and intervals[stack[-1]][1] <= begin:
+            stack.pop()
+        found[k] = [i for i in stack if intervals[i][1] >= end]
+    return found
+
+
+def _labels(literals: list, calls: list, declarations: list, references: list) -> dict[str, list]:
+    """What encloses what: the lists stand in the order of the facts."""
+    inits = [(a, b, k) for k, (_, _, a, b, _, _) in enumerate(declarations) if a is not None]
+    args = [(a, b, k, j) for k, call in enumerate(calls) for j, (a, b) in enumerate(call[5])]
+    begins = [v[1] for v in literals]
+
+    def first_literal(a: int, b: int) -> int | None:
+        k = bisect_left(begins, a)
+        return k if k < len(literals) and literals[k][2] <= b else None
+
+    init_spans, refs = [x[:2] for x in inits], [r[1:3] for r in references]
+    earliest = lambda held: min((inits[i][2] for i in held), key=lambda symbol: declarations[symbol][5], default=None)
+    return {
+        "literal_of": [earliest(held) for held in enclosing(init_spans, [v[1:3] for v in literals])],
+        "call_of": [earliest(held) for held in enclosing(init_spans, [c[2:4] for c in calls])],
+        "in_inits": [[inits[i][2] for i in held] for held in enclosing(init_spans, refs)],
+        "in_args": [[args[i][2:] for i in held] for held in enclosing([x[:2] for x in args], refs)],
+        "arg_literal": [[first_literal(a, b) for a, b in call[5]] for call in calls],
+        "init_literal": [None if a is None else first_literal(a, b) for _, _, a, b, _, _ in declarations],
+    }
+
+
 def facts_of(text: str) -> dict | None:
-    """The five fact lists of one file, or None."""
+    """The five fact lists of one file with their labels and places, or None."""
     tokens = tokens_of(text)
     if tokens is None:
         return None
@@ -153,6 +199,9 @@ def facts_of(text: str) -> dict | None:
     starts: dict[int, int] = {}
     context: list[str] = []
     arrow_ends: list[tuple[int, int]] = []
+    # where expressions after arrows end, as far as it is known; and the characters at which literals and calls begin
+    ends: dict[int, int] = {}
+    places: dict[str, list[int]] = {"literals": [], "calls": []}
 
     def enter(end: int) -> None:
         scopes.append((len(scopes), current[-1]))
@@ -160,10 +209,37 @@ def facts_of(text: str) -> dict | None:
         current.append(len(scopes) - 1)
         closers.setdefault(end, []).append(len(scopes) - 1)
 
+    def leave(scope: int) -> None:
+        """Takes the scope from the open ones; it is nearly always the last."""
+        for k in range(len(current) - 1, -1, -1):
+            if current[k] == scope:
+                del current[k]
+                return
+
     def expression_end(k: int) -> int:
-        """The last token of the expression that starts at token ``k``."""
+        """The last token of the expression that starts at token ``k``; arrows within it end where it does."""
+        if k in ends:
+            return ends[k]
+        arrows: list[int] = []
+        end = scan_expression(k, arrows)
+        ends.update((a + 1, end) for a in arrows)
+        return end
+
+    def scan_expression(k: int, arrows: list[int]) -> int:
         first = k
+        if word(k) == "<" and tokens[k][0] == "punct":  # parameters of a generic arrow
+            angles = 0
+            while k < len(tokens) and (angles > 0 or k == first):
+                angles += {"<": 1, ">": -1, ">>": -2, ">>>": -3}.get(word(k), 0) if tokens[k][0] == "punct" else 0
+                k = match[k] + 1 if tokens[k][0] in ("punct", "tpl") and word(k) in _OPENERS else k + 1
+                if k < len(tokens) and tokens[k][0] == "punct" and word(k) in (")", "]", "}", ";"):
+                    k = first  # no parameters after all
+                    break
         while k < len(tokens):
+            if word(k) == "=>" and tokens[k][0] == "punct":
+                if k + 1 in ends:
+                    return ends[k + 1]
+                arrows.append(k)
             t = word(k)
             if tokens[k][0] in ("punct", "tpl") and t in _OPENERS:
                 k = match[k]
@@ -188,10 +264,11 @@ def facts_of(text: str) -> dict | None:
 
     for k, (kind, t, begin, end) in enumerate(tokens):
         while arrow_ends and k > arrow_ends[-1][0]:
-            current.remove(arrow_ends.pop()[1])
+            leave(arrow_ends.pop()[1])
         span = (at(begin), at(end))
         if kind == "str":
             literals.append((_unescaped(t[1:-1]), *span, current[-1]))
+            places["literals"].append(begin)
             starts[k] = k
         elif kind == "num":
             starts[k] = k
@@ -259,14 +336,14 @@ def facts_of(text: str) -> dict | None:
                                     args.append((at(tokens[first][2]), at(tokens[j - 1][3])))
                                 j += 1
                             calls.append((chain[-1] if chain else word(callee), chain, at(tokens[starts.get(callee, callee)][2]), at(tokens[close][3]), current[-1], args))
+                            places["calls"].append(tokens[starts.get(callee, callee)][2])
                     starts[close] = starts.get(callee, callee) if called and not defined else k
                 elif t == "[":
                     starts[close] = starts[k - 1] if k - 1 in starts and not line_between(k) else k
         elif t in (")", "]", "}"):
             context.pop()
             for scope in reversed(closers.pop(k, [])):
-                if scope in current:
-                    current.remove(scope)
+                leave(scope)
         elif t == "=>":
             if word(k + 1) == "{":
                 if not (word(k - 1) == ")" and ("params", match[k - 1]) in closers):
@@ -276,7 +353,10 @@ def facts_of(text: str) -> dict | None:
                 arrow_ends.append((expression_end(k + 1), current[-1]))
             else:
                 arrow_ends.append((expression_end(k + 1), closers[("params", match[k - 1])][0]))
-    return {"scopes": scopes, "paths": scope_paths, "literals": literals, "calls": calls, "declarations": declarations, "references": references}
+    breaks = [m.start() for m in re.finditer("\n", text)]
+    placed = {name: [(x + 1, bisect_left(breaks, x) + 1) for x in begins] for name, begins in places.items()}
+    labels = _labels(literals, calls, declarations, references)
+    return {"scopes": scopes, "paths": scope_paths, "literals": literals, "calls": calls, "declarations": declarations, "references": references, "labels": labels, "places": placed}
 
 
 def _open_paren(k, close, tokens, word, is_name, context, match, params, enter, closers) -> None:
@@ -328,14 +408,39 @@ def _chain(callee, tokens, word, is_name, match) -> list[str] | None:
     return names[::-1]
 
 
+_SPAN = "span_start: int, span_end: int, scope_id: int"
+#: ``place`` is the fact's character number and ``at_line`` its line; ``assigned_to`` is the declaration it initialises.
+_PLACED = f"{_SPAN}, place: int, at_line: int, assigned_to: int"
 _SCHEMA = (
-    "path string, ok boolean, scopes array<struct<scope_id: int, parent_id: int, scope_path: array<int>>>, literals array<struct<lit_seq: int, value: string, span_start: int, span_end: int, scope_id: int>>, "
-    "calls array<struct<call_seq: int, callee: string, callee_chain: array<string>, span_start: int, span_end: int, scope_id: int, args: array<struct<arg_start: int, arg_end: int>>>>, "
-    "declarations array<struct<symbol_id: int, name: string, kind: string, init_start: int, init_end: int, scope_id: int, node_seq: int>>, "
-    "references array<struct<ref_seq: int, name: string, span_start: int, span_end: int, scope_id: int, node_seq: int>>"
+    f"path string, ok boolean, scopes array<struct<scope_id: int, parent_id: int, scope_path: array<int>>>, literals array<struct<lit_seq: int, value: string, {_PLACED}>>, "
+    f"calls array<struct<call_seq: int, callee: string, callee_chain: array<string>, {_PLACED}, args: array<struct<arg_start: int, arg_end: int, first_lit: int>>>>, "
+    "declarations array<struct<symbol_id: int, name: string, kind: string, init_start: int, init_end: int, scope_id: int, node_seq: int, first_lit: int>>, "
+    f"references array<struct<ref_seq: int, name: string, {_SPAN}, node_seq: int, in_args: array<struct<call_seq: int, arg_idx: int>>, in_inits: array<int>>>"
 )
 
 
+def _row(path: str, f: dict | None) -> tuple:
+    """The file's row in ``_SCHEMA``."""
+    if f is None:
+        return path, False, [], [], [], [], []
+    label, place = f["labels"], f["places"]
+    placed = lambda a, b, s, at, to: {"span_start": a, "span_end": b, "scope_id": s, "place": at[0], "at_line": at[1], "assigned_to": to}
+    return (
+        path, True,
+        [{"scope_id": i, "parent_id": p, "scope_path": s} for (i, p), s in zip(f["scopes"], f["paths"])],
+        [{"lit_seq": i, "value": v, **placed(a, b, s, at, to)} for i, ((v, a, b, s), at, to) in enumerate(zip(f["literals"], place["literals"], label["literal_of"]))],
+        [
+            {"call_seq": i, "callee": c, "callee_chain": h, **placed(a, b, s, at, to), "args": [{"arg_start": x, "arg_end": y, "first_lit": v} for (x, y), v in zip(g, lits)]}
+            for i, ((c, h, a, b, s, g), at, to, lits) in enumerate(zip(f["calls"], place["calls"], label["call_of"], label["arg_literal"]))
+        ],
+        [{"symbol_id": i, "name": n, "kind": d, "init_start": a, "init_end": b, "scope_id": s, "node_seq": q, "first_lit": v} for i, ((n, d, a, b, s, q), v) in enumerate(zip(f["declarations"], label["init_literal"]))],
+        [
+            {"ref_seq": i, "name": n, "span_start": a, "span_end": b, "scope_id": s, "node_seq": q, "in_args": [{"call_seq": c, "arg_idx": j} for c, j in inside], "in_inits": inits}
+            for i, ((n, a, b, s, q), inside, inits) in enumerate(zip(f["references"], label["in_args"], label["in_inits"]))
+        ],
+    )
+
+
 def file_facts(files: DataFrame) -> DataFrame:
     """One row per JavaScript or TypeScript file with its nested facts; others are left out before Python sees them."""
     wanted = files.where(F.regexp_extract("path", r"\.([^./]+)$", 1).isin(JS_EXTENSIONS)).select("path", "content")
@@ -350,17 +455,7 @@ def file_facts(files: DataFrame) -> DataFrame:
                     f = facts_of(content)
                 except (IndexError, KeyError, RecursionError):
                     f = None
-                if f is None:
-                    rows.append((path, False, [], [], [], [], []))
-                    continue
-                rows.append((
-                    path, True,
-                    [{"scope_id": i, "parent_id": p, "scope_path": s} for (i, p), s in zip(f["scopes"], f["paths"])],
-                    [{"lit_seq": i, "value": v, "span_start": a, "span_end": b, "scope_id": s} for i, (v, a, b, s) in enumerate(f["literals"])],
-                    [{"call_seq": i, "callee": c, "callee_chain": h, "span_start": a, "span_end": b, "scope_id": s, "args": [{"arg_start": x, "arg_end": y} for x, y in g]} for i, (c, h, a, b, s, g) in enumerate(f["calls"])],
-                    [{"symbol_id": i, "name": n, "kind": d, "init_start": a, "init_end": b, "scope_id": s, "node_seq": q} for i, (n, d, a, b, s, q) in enumerate(f["declarations"])],
-                    [{"ref_seq": i, "name": n, "span_start": a, "span_end": b, "scope_id": s, "node_seq": q} for i, (n, a, b, s, q) in enumerate(f["references"])],
-                ))
+                rows.append(_row(path, f))
             yield pd.DataFrame(rows, columns=["path", "ok", "scopes", "literals", "calls", "declarations", "references"])
 
     return wanted.mapInPandas(extract, _SCHEMA)
@@ -376,5 +471,5 @@ def fact_tables(facts: DataFrame) -> dict[str, DataFrame]:
     ok = facts.where("ok")
     inline = lambda name: ok.select("path", F.inline(name))
     calls = inline("calls")
-    args = calls.select("path", "call_seq", F.posexplode("args").alias("arg_idx", "a")).select("path", "call_seq", "arg_idx", "a.arg_start", "a.arg_end")
+    args = calls.select("path", "call_seq", F.posexplode("args").alias("arg_idx", "a")).select("path", "call_seq", "arg_idx", "a.*")
     return {"scopes": inline("scopes"), "literals": inline("literals"), "calls": calls.drop("args"), "args": args, "declarations": inline("declarations"), "references": inline("references")}
