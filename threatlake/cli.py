@@ -1,8 +1,9 @@
-"""Command lines: python -m threatlake.cli PATH..., and python -m threatlake.cli corpus run|rescan|report|stats."""
+"""Command lines: python -m threatlake.cli PATH..., and python -m threatlake.cli corpus run|rescan|report|stats|close|vacuum."""
 
 from __future__ import annotations
 
 import argparse
+import json
 import os
 import sys
 
@@ -22,16 +23,23 @@ def _model(wanted: bool):
 
 
 def corpus_main(argv: list[str]) -> int:
-    """Batch runs over package archives: run, rescan, report, stats."""
+    """Batch runs over package archives: run, rescan, report, stats; close ends a dead run, vacuum deletes what was not committed."""
     from .runs import Corpus
     from .sources.files import archive_members
+    from .sources.packages import candidates, tier1
 
     parser = argparse.ArgumentParser(prog="threatlake corpus")
-    parser.add_argument("action", choices=["run", "rescan", "report", "stats"])
+    parser.add_argument("action", choices=["run", "rescan", "report", "stats", "close", "vacuum"])
     parser.add_argument("root")
     parser.add_argument("--archives", help="folder of gzipped tar archives named package-version.tgz")
     parser.add_argument("--run", help="id of the run to scan again or to report on")
+    parser.add_argument("--metadata", help="JSON lines with the registry's metadata and downloads_weekly of each package; only those of the tier are scanned")
+    parser.add_argument("--tier", type=int, choices=[1], default=1)
+    parser.add_argument("--days-back", type=int, default=30, help="how many days ago a package may have been published")
+    parser.add_argument("--download-threshold", type=int, default=1000, help="weekly downloads from which a package is too popular")
     parser.add_argument("--max-packages", type=int)
+    parser.add_argument("--batches", type=int, default=1, help="parts of the packages that are scanned and committed one after another")
+    parser.add_argument("--vault", action="store_true", help="keep the files of flagged packages")
     parser.add_argument("--resume", action="store_true", help="leave out packages that were scanned before")
     parser.add_argument("--llm", action="store_true")
     parser.add_argument("--save", action="store_true")
@@ -45,15 +53,46 @@ def corpus_main(argv: list[str]) -> int:
     if args.action == "report":
         print(corpus.report(args.run, args.save))
         return 0
+    if args.action == "close":
+        corpus.close(args.run)
+        return 0
+    if args.action == "vacuum":
+        print("\n".join(corpus.vacuum()))
+        return 0
+    key, params, metadata = ["package", "version"], {}, None
+    model = _model(args.llm)
+    if args.action == "rescan" and not args.archives:
+        run_id = corpus.rescan(args.run, model=model)
+        print("\n".join(corpus.summary(run_id)))
+        return 0
     archives = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.tgz").load(args.archives)
-    name = F.regexp_extract("archive", r"([^/]+)\.tgz$", 1)
-    files = archive_members(archives).select(F.regexp_extract(name, r"^(.*?)(?:-(\d[^/]*))?$", 1).alias("package"), F.regexp_extract(name, r"-(\d[^/]*)$", 1).alias("version"), "path", "content")
+
+    def named(rows, path):
+        base = F.regexp_extract(path, r"([^/]+)\.tgz$", 1)
+        return rows.withColumns({"package": F.regexp_extract(base, r"^(.*?)(?:-(\d[^/]*))?$", 1), "version": F.regexp_extract(base, r"-(\d[^/]*)$", 1)})
+
+    archives = named(archives, "path")
+    if args.metadata:
+        told = spark.read.text(args.metadata).select(F.get_json_object("value", "$.metadata").alias("json"), F.get_json_object("value", "$.downloads_weekly").cast("long").alias("downloads_weekly"))
+        chosen = tier1(candidates(told), F.current_timestamp() - F.make_interval(days=F.lit(args.days_back)), args.download_threshold, order="name", most=args.max_packages)
+        metadata = chosen.withColumnRenamed("name", "package").select(*key, "tarball_url", "published_at", "author", "downloads_weekly", "has_install_scripts")
+        archives = archives.join(metadata.select(*key), key, "left_semi")
+        params = {"days_back": args.days_back, "download_threshold": args.download_threshold, "tier": args.tier}
     if args.resume:
-        files = corpus.unscanned(files)
-    if args.max_packages:
-        files = files.join(files.select("package", "version").distinct().orderBy("package", "version").limit(args.max_packages), ["package", "version"], "left_semi")
-    model = _model(args.llm)
-    run_id = corpus.rescan(args.run, files, model=model) if args.action == "rescan" else corpus.run(files, model=model)
+        archives = corpus.unscanned(archives)
+    if args.max_packages and not args.metadata:
+        archives = archives.join(archives.select(*key).distinct().orderBy(*key).limit(args.max_packages), key, "left_semi")
+    files = lambda some: named(archive_members(some), "archive").select(*key, "path", "content", "sha256")
+    if args.action == "rescan":
+        run_id = corpus.rescan(args.run, files(archives), model=model)
+    else:
+        # a batch unpacks its own archives only
+        with corpus.open_run(json.dumps(params)) as run:
+            for k in range(args.batches):
+                run.add(files(archives.where(F.pmod(F.xxhash64(*key), F.lit(args.batches)) == k)), metadata, model)
+        run_id = run.id
+        if args.vault:
+            corpus.vault(run_id, files(archives).drop("sha256"))
     print("\n".join(corpus.summary(run_id)))
     return 0
 
