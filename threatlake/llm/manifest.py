@@ -140,6 +140,7 @@ def manifest(docs: DataFrame, changed: Column | None = None, width: int = WIDTH)
     sources = build(leaves.select("tree", "pos", F.col("leaf").alias("digest")), "sources", width)
     tops = sources.tops.withColumn("_one", F.lit(1).cast("long"))
     order = prefix_sums(tops, [], ["tree"], ["_one"], "source-ranks").select("tree", F.col("digest").alias("subroot"), "depth", F.col("before__one").alias("rank"))
+    order = written(order, "source-order")
     above = build(order.select(F.lit(0).alias("tree"), F.col("rank").alias("pos"), F.col("subroot").alias("digest")), "above", width)
     root = above.tops.first()
     return Manifest(leaves, sources, above, order, root.digest if root else None)
@@ -152,7 +153,8 @@ def proofs(m: Manifest, requests: DataFrame | None = None, width: int = WIDTH) -
     """
     empty = F.array().cast("array<struct<left:string,right:string>>")
     top = descend(m.above, m.above.tops.withColumn("path", empty), 0, width).select(F.col("pos").alias("rank"), "path")
-    tops = m.order.join(top, "rank").select("tree", F.col("subroot").alias("digest"), "depth", "path", "subroot")
+    # one row per source, read again at every level: written, so that no level computes it anew
+    tops = written(m.order.join(top, "rank").select("tree", F.col("subroot").alias("digest"), "depth", "path", "subroot"), "source-paths")
     runs = _opened(descend(m.sources, tops, 1, width, requests), m.sources.records[0]) if m.sources.records else None
     whole = ["tree", "pos", "path", "subroot"]
     lone = tops.where("depth = 0").select("tree", F.lit(0).cast("long").alias("pos"), "path", "subroot", F.lit(None).cast("array<string>").alias("children"))
