@@ -85,7 +85,7 @@ def test_siblings_of_one_file_do_not_meet(spark):
     fact = "0 AS span_start, 1 AS span_end, 1 AS place, 1 AS at_line, cast(NULL AS int) AS assigned_to"
     facts = {
         "scopes": scopes,
-        "literals": ids.selectExpr("path", "seq AS lit_seq", f"'{BLOB}' AS value", "seq + 1 AS scope_id", *fact.split(", ")),
+        "literals": ids.selectExpr("path", "seq AS lit_seq", f"'{BLOB}' AS value", "5.5D AS entropy", "seq + 1 AS scope_id", *fact.split(", ")),
         # every tenth sink stands with a source, the others in functions of their own
         "calls": ids.selectExpr("path", "seq AS call_seq", "'eval' AS callee", "cast(array() AS array<string>) AS callee_chain", f"if(seq % 10 = 0, seq + 1, {n} + seq + 1) AS scope_id", *fact.split(", ")),
         "args": spark.createDataFrame([], "path string, call_seq int, arg_idx int, first_lit int"),

@@ -16,8 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fixed import CONTEXT_CALLS, CRYPTO_CALLS, ENTROPY_LIMIT, EXEC_CALLS, EXEC_MODULE, KEY_ARGUMENT, LITERAL_BYTES
-from ..functions.stego import text_entropy
+from ..functions.fixed import CONTEXT_CALLS, CRYPTO_CALLS, ENTROPY_LIMIT, EXEC_CALLS, EXEC_MODULE, KEY_ARGUMENT
 from .findings import finding, lookup
 from .patterns import rc4_confidence, rc4_indicators
 
@@ -68,7 +67,7 @@ def taint_sources(facts: dict[str, DataFrame], refs: DataFrame) -> DataFrame:
     columns = ["span_start", "span_end", "scope_id", "place", "at_line", "assigned_to"]
     none = lambda name: F.lit(None).cast("string").alias(name)
     source_id = lambda prefix, seq: F.concat(F.lit(prefix), F.format_string("%09d", seq)).alias("source_id")
-    dense = literals.where((F.octet_length("value") >= LITERAL_BYTES) & (text_entropy(F.col("value")) > ENTROPY_LIMIT))
+    dense = literals.where(F.col("entropy") > ENTROPY_LIMIT)
     dense = dense.select("path", source_id("0:", "lit_seq"), F.lit("high_entropy").alias("kind"), none("method"), none("key_value"), *columns)
     header = calls.where(F.array_contains("callee_chain", "headers"))
     header = header.select("path", source_id("1:", "call_seq"), F.lit("http_header").alias("kind"), F.col("callee").alias("method"), none("key_value"), *columns)
@@ -96,14 +95,17 @@ def taint_sinks(facts: dict[str, DataFrame]) -> DataFrame:
 def related_scopes(a: DataFrame, b: DataFrame, facts: dict[str, DataFrame]) -> DataFrame:
     """All pairs of ``a`` (path, scope_id, …) and ``b`` (path, b_scope, …) of which one's scope is the other's or encloses it.
 
-    Either ``b`` stands in a scope around ``a``, or ``a`` in one strictly around
-    ``b``: two equi-joins on (path, scope) that share no pair.
+    One equi-join on (path, scope, way): a row of ``a`` waits at its own scope for
+    those that stand in or below it, and goes to each scope strictly around it
+    for those that stand there.  Rows of sibling scopes never meet.
     """
-    above_a = _scoped(a, facts, "up").withColumn("b_scope", F.explode("up")).drop("up")
-    inner = above_a.join(b, ["path", "b_scope"])
-    above_b = _scoped(b.withColumnRenamed("b_scope", "scope_id"), facts, "up").withColumnRenamed("scope_id", "b_scope")
-    above_b = above_b.withColumn("scope_id", F.explode("up")).drop("up").where("scope_id <> b_scope")
-    return inner.unionByName(a.join(above_b, ["path", "scope_id"]))
+    at = lambda scope, way: F.struct(scope.alias("meet"), F.lit(way).alias("way"))
+    around = lambda own, way: F.transform(F.filter("up", lambda x: x != F.col(own)), lambda x: at(x, way))
+    left = _scoped(a, facts, "up").withColumn("_m", F.explode(F.concat(F.array(at(F.col("scope_id"), "below")), around("scope_id", "above"))))
+    right = _scoped(b.withColumnRenamed("b_scope", "scope_id"), facts, "up").withColumnRenamed("scope_id", "b_scope")
+    right = right.withColumn("_m", F.explode(F.concat(F.array(at(F.col("b_scope"), "below"), at(F.col("b_scope"), "above")), around("b_scope", "below"))))
+    left, right = (df.select("*", "_m.*").drop("up", "_m") for df in (left, right))
+    return left.join(right, ["path", "meet", "way"]).drop("meet", "way")
 
 
 def taint_flows(facts: dict[str, DataFrame], fixes: bool = False) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from ..operators import taint as T
-from ..sources.jsfacts import fact_tables, file_facts
+from ..sources.jsfacts import fact_tables, file_facts, literal_entropy
 from .planted import BLOB
 
 # One text for Spark and DuckDB: a line item gives a scope, a declaration, a call with two arguments, two references and a literal.
@@ -30,9 +30,10 @@ FACTS = {
 
 def _planted_facts(spark, d):
     items = spark.read.parquet(f"{d}/lineitem.parquet")
-    # a line number may come twice in an order: the least row stays, so that facts are unique by their key
-    least = F.min(F.struct("l_partkey", "l_suppkey", "l_quantity")).alias("l")
-    items = items.groupBy("l_orderkey", "l_linenumber").agg(least).select("l_orderkey", "l_linenumber", "l.*")
+    # a line number may come twice in an order: the least row stays, so that facts are unique by their key; packed into one number, it is found without a sort
+    least = F.min(F.shiftleft(F.col("l_partkey").cast("long"), 28) + F.shiftleft(F.col("l_suppkey").cast("long"), 6) + F.col("l_quantity").cast("long")).alias("l")
+    field = lambda low, bits, name: F.shiftright("l", low).bitwiseAND(F.lit((1 << bits) - 1).cast("long")).alias(name)
+    items = items.groupBy("l_orderkey", "l_linenumber").agg(least).select("l_orderkey", "l_linenumber", field(28, 35, "l_partkey"), field(6, 22, "l_suppkey"), field(0, 6, "l_quantity"))
     made = {}
     for name, sql in FACTS.items():
         items.createOrReplaceTempView("planted_lineitem")
@@ -45,7 +46,7 @@ def _planted_facts(spark, d):
     made["scopes"] = made["scopes"].withColumn("scope_path", F.array_distinct(up))
     # what encloses what, as an extractor labels it; the oracle compares the spans
     placed = lambda seq: {"place": F.col("span_start") + 1, "at_line": F.lit(1), "assigned_to": F.col(seq)}
-    made["literals"] = made["literals"].withColumns(placed("lit_seq"))
+    made["literals"] = made["literals"].withColumns({**placed("lit_seq"), "entropy": F.when(F.col("value") == BLOB, F.lit(literal_entropy(BLOB)))})
     made["calls"] = made["calls"].withColumns(placed("call_seq"))
     made["args"] = made["args"].withColumn("first_lit", F.when(F.col("arg_idx") == 1, F.col("call_seq")))
     made["declarations"] = made["declarations"].withColumn("first_lit", F.col("symbol_id"))

@@ -12,7 +12,7 @@ FINDING_COLUMNS = [part.split()[0] for part in FINDINGS.replace(PAYLOAD, "payloa
 
 SCOPES = "path string, scope_id int, parent_id int, scope_path array<int>"
 PLACED = "span_start int, span_end int, scope_id int, place int, at_line int, assigned_to int"
-STRING_LITERALS = f"path string, lit_seq int, value string, {PLACED}"
+STRING_LITERALS = f"path string, lit_seq int, value string, entropy double, {PLACED}"
 CALL_SITES = f"path string, call_seq int, callee string, callee_chain array<string>, {PLACED}"
 CALL_ARGS = "path string, call_seq int, arg_idx int, arg_start int, arg_end int, first_lit int"
 DECLARATIONS = "path string, symbol_id int, name string, kind string, init_start int, init_end int, scope_id int, node_seq int, first_lit int"

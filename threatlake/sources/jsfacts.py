@@ -13,13 +13,17 @@ literal.  ``threatlake.operators.taint`` joins on these labels, never on spans.
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.fixed import LITERAL_BYTES
+
 JS_EXTENSIONS = ["js", "mjs", "cjs", "jsx", "ts", "mts", "cts", "tsx"]
 
 _TOKEN = re.compile(
@@ -408,11 +412,19 @@ def _chain(callee, tokens, word, is_name, match) -> list[str] | None:
     return names[::-1]
 
 
+def literal_entropy(value: str) -> float | None:
+    """Shannon entropy of a literal's UTF-8 bytes; None for literals too short to hide anything."""
+    data = value.encode("utf-8", "surrogatepass")
+    if len(data) < LITERAL_BYTES:
+        return None
+    return math.log2(len(data)) - sum(n * math.log2(n) for n in Counter(data).values()) / len(data)
+
+
 _SPAN = "span_start: int, span_end: int, scope_id: int"
 #: ``place`` is the fact's character number and ``at_line`` its line; ``assigned_to`` is the declaration it initialises.
 _PLACED = f"{_SPAN}, place: int, at_line: int, assigned_to: int"
 _SCHEMA = (
-    f"path string, ok boolean, scopes array<struct<scope_id: int, parent_id: int, scope_path: array<int>>>, literals array<struct<lit_seq: int, value: string, {_PLACED}>>, "
+    f"path string, ok boolean, scopes array<struct<scope_id: int, parent_id: int, scope_path: array<int>>>, literals array<struct<lit_seq: int, value: string, entropy: double, {_PLACED}>>, "
     f"calls array<struct<call_seq: int, callee: string, callee_chain: array<string>, {_PLACED}, args: array<struct<arg_start: int, arg_end: int, first_lit: int>>>>, "
     "declarations array<struct<symbol_id: int, name: string, kind: string, init_start: int, init_end: int, scope_id: int, node_seq: int, first_lit: int>>, "
     f"references array<struct<ref_seq: int, name: string, {_SPAN}, node_seq: int, in_args: array<struct<call_seq: int, arg_idx: int>>, in_inits: array<int>>>"
@@ -428,7 +440,7 @@ def _row(path: str, f: dict | None) -> tuple:
     return (
         path, True,
         [{"scope_id": i, "parent_id": p, "scope_path": s} for (i, p), s in zip(f["scopes"], f["paths"])],
-        [{"lit_seq": i, "value": v, **placed(a, b, s, at, to)} for i, ((v, a, b, s), at, to) in enumerate(zip(f["literals"], place["literals"], label["literal_of"]))],
+        [{"lit_seq": i, "value": v, "entropy": literal_entropy(v), **placed(a, b, s, at, to)} for i, ((v, a, b, s), at, to) in enumerate(zip(f["literals"], place["literals"], label["literal_of"]))],
         [
             {"call_seq": i, "callee": c, "callee_chain": h, **placed(a, b, s, at, to), "args": [{"arg_start": x, "arg_end": y, "first_lit": v} for (x, y), v in zip(g, lits)]}
             for i, ((c, h, a, b, s, g), at, to, lits) in enumerate(zip(f["calls"], place["calls"], label["call_of"], label["arg_literal"]))
