@@ -8,28 +8,69 @@ no detector shuffles, and ``content_findings`` runs any of them in one pass.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed as X
 from ..functions.stego import CARRIER, carrier_count, decoded_payload, text_entropy
-from ..functions.text import byte_column, let, line_array, matches, place_of, short_line
+from ..functions.text import byte_column, let, line_array, matches, short_line
 from .findings import finding_columns, lookup
 
 
+#: Characters of context to each side of a run, and how many runs are gathered at a time.
+_BESIDE, _CHUNK = 100, 64
+_RUN = "struct<start: int, line: int, column: int, before: string, run: string>"
+
+
+def _gathered(pieces: Column, start: Column, kind: str, step) -> Column:
+    """The items of type ``kind`` that ``step(item before, piece)`` makes one after another, the first from ``start``.
+
+    A step of ``aggregate`` copies its whole state, so no state grows with the
+    pieces: a first pass keeps only the item before each chunk, a second one
+    gathers the items of every chunk on its own.
+    """
+    several = f"array<{kind}>"
+    chunks = F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / _CHUNK).cast("int"))
+    part = lambda c: F.slice(pieces, c * _CHUNK + 1, F.lit(_CHUNK))
+    past = lambda before, c: F.aggregate(part(c), before.cast(kind), lambda s, x: step(s, x).cast(kind))
+    begins = F.aggregate(chunks, F.array(start).cast(several), lambda s, c: F.concat(s, F.array(past(F.element_at(s, -1), c)).cast(several)))
+    grown = lambda s, x: F.concat(s, F.array(step(F.element_at(s, -1), x)).cast(several))
+    items = lambda before, c: F.slice(F.aggregate(part(c), F.array(before).cast(several), grown), 2, _CHUNK)
+    return let(begins, lambda b: F.flatten(F.transform(chunks, lambda c: items(F.get(b, c), c))))
+
+
 def run_array(content: Column, least: int = X.RUN_LENGTH, lead: str = "") -> Column:
-    """array<struct<start, run>>: runs of at least ``least`` carriers after ``lead``; ``start`` counts code points from 0.
+    """array<struct<start, line, column, before, run, after>>: runs of at least ``least`` carriers after ``lead``.
 
-    Places come from the lengths of what stands between matches, in one pass over the parts.
+    ``start`` counts code points from 0; ``line`` and ``column`` are the run's place,
+    ``before`` and ``after`` what stands beside it.  The content is cut into runs
+    and the gaps between them once; one pass forward adds up places, one
+    backward gathers what follows, so the time grows with the content and the
+    number of runs, not with their product.
     """
     pattern = f"{lead}[{CARRIER}]{{{least},}}"
     parts = F.struct(F.regexp_extract_all(content, F.lit(f"({pattern})"), F.lit(1)).alias("runs"), F.split(content, pattern, -1).alias("gaps"))
-    before = lambda p, k: F.length(F.get(p["gaps"], k)) + F.when(k > 0, F.length(F.get(p["runs"], k - 1))).otherwise(F.lit(0))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
-    add = lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["all"], F.array(s["at"] + n)).alias("all"))
-    starts = lambda p: F.aggregate(F.transform(p["runs"], lambda _, k: before(p, k)), start, add)["all"]
-    made = let(parts, lambda p: F.zip_with(starts(p), p["runs"], lambda at, run: F.struct(at.alias("start"), run.alias("run"))))
-    return F.when(content.rlike(pattern), made).otherwise(F.array().cast("array<struct<start: int, run: string>>"))
+    cut = lambda p: F.transform(p["runs"], lambda run, k: F.struct(run.alias("run"), F.get(p["gaps"], k).alias("gap"), F.get(p["gaps"], k + 1).alias("next")))
+    last = lambda text: F.right(text, F.lit(_BESIDE))
+    first = lambda text: F.left(text, F.lit(_BESIDE))
+
+    def forward(r: Column, x: Column) -> Column:
+        gap, n = x["gap"], F.length(x["gap"])
+        column = F.when(gap.contains("\n"), F.length(F.substring_index(gap, "\n", -1)) + 1).otherwise(r["column"] + F.length(r["run"]) + n)
+        breaks = n - F.length(F.replace(gap, F.lit("\n"), F.lit("")))
+        before = last(F.concat(last(F.concat(r["before"], r["run"])), last(gap)))
+        return F.struct((r["start"] + F.length(r["run"]) + n).alias("start"), (r["line"] + breaks).alias("line"), column.alias("column"), before.alias("before"), x["run"].alias("run"))
+
+    def backward(s: Column, x: Column) -> Column:
+        return F.struct(first(F.concat(first(x["next"]), first(F.concat(s["run"], s["after"])))).alias("after"), x["run"].alias("run"))
+
+    begin = F.struct(F.lit(0).alias("start"), F.lit(1).alias("line"), F.lit(1).alias("column"), F.lit("").alias("before"), F.lit("").alias("run"))
+    end = F.struct(F.lit("").alias("after"), F.lit("").alias("run"))
+    joined = lambda r, after: F.struct(*(r[c].alias(c) for c in ("start", "line", "column", "before", "run")), after["after"].alias("after"))
+    made = let(parts, lambda p: let(cut(p), lambda pieces: F.zip_with(_gathered(pieces, begin, _RUN, forward), F.reverse(_gathered(F.reverse(pieces), end, "struct<after: string, run: string>", backward)), joined)))
+    return F.when(content.rlike(pattern), made).otherwise(F.array().cast(f"array<{_RUN[:-1]}, after: string>>"))
 
 
 def carrier_runs(files: DataFrame, least: int = X.RUN_LENGTH, lead: str = "") -> DataFrame:
@@ -38,26 +79,20 @@ def carrier_runs(files: DataFrame, least: int = X.RUN_LENGTH, lead: str = "") ->
     return rows.select("path", "content", "run_no", F.col("_r.start").alias("start"), F.col("_r.run").alias("run"), carrier_count(F.col("_r.run")).cast("long").alias("n"))
 
 
-def _around(content: Column, start: Column, end: Column, width: int = 100) -> Column:
-    dots = lambda when: F.when(when, "...").otherwise("")
-    first = F.greatest(start - width, F.lit(0))
-    return F.concat(
-        dots(start > width), F.substring(content, first + 1, start - first), F.substring(content, end + 1, F.lit(width)), dots(end + width < F.length(content))
-    )
-
-
 def _payloads(content: Column, least: int, lead: str, category: str, text) -> Column:
     """Findings of the runs; ``text`` makes the description of a run's length."""
+    dots = lambda when: F.when(when, "...").otherwise("")
 
-    def one(r: Column) -> Column:
-        line, column = place_of(F.left(content, r["start"]))
+    def one(r: Column, size: Column) -> Column:
         end = r["start"] + F.length(r["run"])
+        context = F.concat(dots(r["start"] > _BESIDE), r["before"], r["after"], dots(end + _BESIDE < size))
         return F.struct(*finding_columns(
-            "stego", 3, line=line, column=column, category=category, severity="critical", description=text(carrier_count(r["run"]).cast("string")),
-            remediation="Look at the decoded payload and remove the hidden characters.", cwe_id="CWE-506", context=_around(content, r["start"], end), decoded_payload=decoded_payload(r["run"]),
+            "stego", 3, line=r["line"].cast("long"), column=r["column"].cast("long"), category=category, severity="critical", description=text(carrier_count(r["run"]).cast("string")),
+            remediation="Look at the decoded payload and remove the hidden characters.", cwe_id="CWE-506", context=context, decoded_payload=decoded_payload(r["run"]),
         ))
 
-    return F.transform(run_array(content, least, lead), one)
+    found = F.struct(run_array(content, least, lead).alias("runs"), F.length(content).alias("size"))
+    return let(found, lambda f: F.transform(f["runs"], lambda r: one(r, f["size"])))
 
 
 def _stego(content: Column) -> Column:
@@ -68,7 +103,7 @@ def _pipe(content: Column) -> Column:
     return _payloads(content, X.PIPE_RUN, r"\|", "pipe_delimiter_stego", lambda n: F.concat(F.lit("Hidden payload of "), n, F.lit(" variation selectors after a pipe")))
 
 
-def _decoders(content: Column) -> Column:
+def _decoders_in(rows: Column) -> Column:
     def one(row: Column) -> Column:
         x = row["text"]
         column = F.coalesce(*(byte_column(x, p) for p in X.SELECTOR_CONSTANTS))
@@ -78,7 +113,7 @@ def _decoders(content: Column) -> Column:
         )
         return F.when(x.contains("codePointAt") & matches(x, X.SELECTOR_CONSTANTS), F.struct(*made))
 
-    return F.when(content.contains("codePointAt"), F.array_compact(F.transform(line_array(content), one)))
+    return F.array_compact(F.transform(rows, one))
 
 
 def indicator_confidence(n: Column) -> Column:
@@ -89,9 +124,11 @@ def indicator_confidence(n: Column) -> Column:
 _INDICATORS = [(kind, p) for kind, patterns in (("decoder_pattern", X.DECODER_PATTERNS), ("eval_pattern", X.EVAL_PATTERNS), ("encoding_pattern", X.ENCODING_PATTERNS)) for p in patterns]
 
 
-def indicator_array(content: Column) -> Column:
-    """array<struct<line, text, kind, pattern_no, column>>: the first match of every pattern per line."""
-    every = [p for _, p in _INDICATORS]
+_EVERY_INDICATOR = [p for _, p in _INDICATORS]
+
+
+def indicator_array(rows: Column) -> Column:
+    """array<struct<line, text, kind, pattern_no, column>> of lines: the first match of every pattern per line."""
 
     def one(row: Column) -> Column:
         x = row["text"]
@@ -99,18 +136,19 @@ def indicator_array(content: Column) -> Column:
             F.when(x.rlike(f"(?U){p}"), F.struct(row["line"].alias("line"), x.alias("text"), F.lit(kind).alias("kind"), F.lit(k).alias("pattern_no"), byte_column(x, p).alias("column")))
             for k, (kind, p) in enumerate(_INDICATORS)
         )
-        return F.when(matches(x, every), F.array_compact(F.array(*hits)))
+        return F.when(matches(x, _EVERY_INDICATOR), F.array_compact(F.array(*hits)))
 
-    return F.when(matches(content, every), F.flatten(F.array_compact(F.transform(line_array(content), one))))
+    return F.flatten(F.array_compact(F.transform(rows, one)))
 
 
 def indicators(files: DataFrame) -> DataFrame:
     """(path, line, text, column, kind, pattern_no, n); ``n`` counts the indicators of the file."""
-    rows = files.select("path", indicator_array(F.col("content")).alias("_all")).where("size(_all) > 0")
+    content = F.col("content")
+    rows = files.where(matches(content, _EVERY_INDICATOR)).select("path", indicator_array(line_array(content)).alias("_all")).where("size(_all) > 0")
     return rows.select("path", F.explode("_all").alias("_h"), F.size("_all").cast("long").alias("n")).select("path", "_h.*", "n")
 
 
-def _indicator_findings(content: Column) -> Column:
+def _indicators_in(rows: Column) -> Column:
     """One finding per indicator in files that have at least two."""
 
     def made(listed: Column) -> Column:
@@ -123,7 +161,7 @@ def _indicator_findings(content: Column) -> Column:
         ))
         return F.when(F.size(listed) >= 2, F.transform(listed, one))
 
-    return let(indicator_array(content), made)
+    return let(indicator_array(rows), made)
 
 
 def line_literal(text: Column) -> Column:
@@ -133,17 +171,19 @@ def line_literal(text: Column) -> Column:
     return F.when(quoted != "", quoted).when(template != "", template)
 
 
-def _encrypted(content: Column, fixes: bool = False) -> Column:
+_BLOB = f"{X.BASE64_RUN}|{X.QUOTED_LITERAL}|{X.TEMPLATE_LITERAL}"
+
+
+def _encrypted_in(rows: Column, fixes: bool = False) -> Column:
     """Files with a blob of high entropy and a line that runs code.
 
     Hex runs can never pass 4.5 bits, so they only give the place: the first line
     with a hex run, else with a base64 run, else with a literal of high entropy.
     ``fixes`` takes the first line with a blob of high entropy.
     """
-    blob = f"{X.BASE64_RUN}|{X.QUOTED_LITERAL}|{X.TEMPLATE_LITERAL}"
     dense = lambda x: F.exists(F.regexp_extract_all(x, F.lit(f"({X.BASE64_RUN})"), F.lit(1)), lambda run: text_entropy(run) > X.ENTROPY_LIMIT)
     literal = lambda x: F.coalesce(text_entropy(line_literal(x)) > X.ENTROPY_LIMIT, F.lit(False))
-    told = lambda row: F.when(row["text"].rlike(blob), facts_of(row["line"], row["text"]))
+    told = lambda row: F.when(row["text"].rlike(_BLOB), facts_of(row["line"], row["text"]))
     facts_of = lambda line, x: F.struct(line.alias("line"), dense(x).alias("base64"), literal(x).alias("literal"), x.rlike(X.HEX_RUN).alias("hex_run"), x.rlike(X.BASE64_RUN).alias("base64_run"))
 
     def made(facts: Column) -> Column:
@@ -156,8 +196,8 @@ def _encrypted(content: Column, fixes: bool = False) -> Column:
         )
         return F.when(F.exists(facts, full), F.array(F.struct(*one)))
 
-    runs = F.exists(line_array(content), lambda row: matches(row["text"], X.EXEC_PATTERNS))
-    return F.when(matches(content, X.EXEC_PATTERNS) & content.rlike(blob) & runs, let(F.array_compact(F.transform(line_array(content), told)), made))
+    runs = F.exists(rows, lambda row: matches(row["text"], X.EXEC_PATTERNS))
+    return F.when(runs, let(F.array_compact(F.transform(rows, told)), made))
 
 
 def xor_proximity(content: Column) -> Column:
@@ -182,14 +222,32 @@ def _channels(content: Column) -> Column:
     return F.when(hit, F.array(F.struct(*one)))
 
 
-#: What is looked for in whole contents, by name; each gives an array of findings, or null.
-CONTENT_PARTS = {"stego_runs": _stego, "pipe_stego": _pipe, "decoder_functions": _decoders, "indicators": _indicator_findings, "encrypted": _encrypted, "channels": _channels}
+#: What is looked for in whole contents and in their lines, by name; each gives an array of findings, or null.
+CONTENT_PARTS = {"stego_runs": _stego, "pipe_stego": _pipe, "channels": _channels}
+LINE_PARTS = {"decoder_functions": _decoders_in, "indicators": _indicators_in, "encrypted": _encrypted_in}
+
+
+def _worth_cutting(content: Column, part: str) -> Column:
+    """Whether the content can hold what the part looks for in lines."""
+    if part == "decoder_functions":
+        return content.contains("codePointAt")
+    return matches(content, _EVERY_INDICATOR) if part == "indicators" else matches(content, X.EXEC_PATTERNS) & content.rlike(_BLOB)
+
+
+def _in_lines(content: Column, parts: list[str], fixes: bool) -> Column:
+    """Findings of the parts that look at lines; a content that may hold any is cut into lines once for all of them."""
+    worth = F.struct(*(_worth_cutting(content, p).alias(p) for p in parts))
+    found = lambda p, rows: _encrypted_in(rows, fixes) if p == "encrypted" else LINE_PARTS[p](rows)
+    every = lambda w, rows: F.flatten(F.array_compact(F.array(*(F.when(w[p], found(p, rows)) for p in parts))))
+    return let(worth, lambda w: F.when(functools.reduce(Column.__or__, (w[p] for p in parts)), let(line_array(content), lambda rows: every(w, rows))))
 
 
-def content_findings(files: DataFrame, parts: tuple[str, ...] = tuple(CONTENT_PARTS), fixes: bool = False) -> DataFrame:
+def content_findings(files: DataFrame, parts: tuple[str, ...] = (*CONTENT_PARTS, *LINE_PARTS), fixes: bool = False) -> DataFrame:
     """Findings of the chosen parts in one pass over the files."""
     content = F.col("content")
-    made = [_encrypted(content, fixes) if p == "encrypted" else CONTENT_PARTS[p](content) for p in parts]
+    made = [CONTENT_PARTS[p](content) for p in parts if p in CONTENT_PARTS]
+    if lined := [p for p in parts if p in LINE_PARTS]:
+        made.append(_in_lines(content, lined, fixes))
     return files.select("path", "content").select(F.explode(F.flatten(F.array_compact(F.array(*made)))).alias("_f")).select("_f.*")
 
 

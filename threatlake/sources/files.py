@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gzip
 import io
 import tarfile
+import zlib
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,40 +46,72 @@ def files_from_table(table: DataFrame, path: str, content: str) -> DataFrame:
     return table.select(F.expr(path).alias("path"), F.expr(content).alias("content")).where("content IS NOT NULL")
 
 
-def archive_members(archives: DataFrame) -> DataFrame:
+#: Bytes that all members of an archive may have unpacked.
+UNPACKED_BYTES = 1 << 30
+#: Bytes of members that a Python worker hands on at once.
+_BATCH_BYTES = 8 << 20
+
+
+def archive_members(archives: DataFrame, most_bytes: int = UNPACKED_BYTES) -> DataFrame:
     """(archive, sha256, path, content) of the text members of gzipped tar archives (path, content).
 
     Members that would leave the archive's folder, links and undecodable bytes
     are passed over; ``damaged_archives`` lists what could not be unpacked.
     """
-    out = _unpacked(archives)
+    out = unpacked(archives, most_bytes)
     text = F.col("content").cast("string")
-    return out.where("path IS NOT NULL").where(F.is_valid_utf8(text)).select("archive", "sha256", "path", text.alias("content"))
+    return out.where("reason IS NULL").where(F.is_valid_utf8(text)).select("archive", "sha256", "path", text.alias("content"))
+
 
+def damaged_archives(archives: DataFrame, most_bytes: int = UNPACKED_BYTES) -> DataFrame:
+    """(archive, sha256, reason) of the archives that could not be read to their end."""
+    return unpacked(archives, most_bytes).where("reason IS NOT NULL").select("archive", "sha256", "reason")
 
-def damaged_archives(archives: DataFrame) -> DataFrame:
-    """(archive, sha256) of the archives that could not be read to their end."""
-    return _unpacked(archives).where("path IS NULL").select("archive", "sha256")
 
+def unpacked(archives: DataFrame, most_bytes: int = UNPACKED_BYTES) -> DataFrame:
+    """(archive, sha256, path, content, reason) of all members; an archive that could not be read to its end has one more row, with the reason.
+
+    The members before the damage are kept.  Members are handed on as they are
+    read, so a task holds one of them and one batch; an archive that unpacks to
+    more than ``most_bytes`` ends there, with that as its reason.
+    """
 
-def _unpacked(archives: DataFrame) -> DataFrame:
-    """(archive, sha256, path, content) of all members; a null path tells of a damaged archive."""
+    def members(data: bytes) -> Iterator[tuple[str | None, bytes | None, str | None]]:
+        left = most_bytes
+        try:
+            unzipped = gzip.GzipFile(fileobj=io.BytesIO(data))
+            with tarfile.open(fileobj=unzipped, mode="r|") as tar:
+                for member in tar:
+                    left -= member.size
+                    if left < 0:
+                        yield None, None, f"unpacks to more than {most_bytes} bytes"
+                        return
+                    parts = member.name.split("/")
+                    if member.isfile() and ".." not in parts and not member.name.startswith("/"):
+                        content = tar.extractfile(member).read()
+                        if len(content) < member.size:
+                            raise EOFError("ends within a member")
+                        yield "/".join(parts[1:]) or member.name, content, None
+            # the checksum stands at the end
+            while left > 0 and (rest := len(unzipped.read(1 << 20))):
+                left -= rest
+        except (tarfile.TarError, zlib.error, EOFError, OSError, ValueError, OverflowError) as damage:
+            yield None, None, f"{type(damage).__name__}: {damage}"
 
     def unpack(batches: Iterator) -> Iterator:
         import pandas as pd
 
+        columns = ["archive", "sha256", "path", "content", "reason"]
         for batch in batches:
-            rows = []
+            rows, size = [], 0
             for archive, sha, data in zip(batch["archive"], batch["sha256"], batch["content"]):
-                try:
-                    with tarfile.open(fileobj=io.BytesIO(data), mode="r:gz") as tar:
-                        for member in tar:
-                            parts = member.name.split("/")
-                            if member.isfile() and ".." not in parts and not member.name.startswith("/"):
-                                rows.append((archive, sha, "/".join(parts[1:]) or member.name, tar.extractfile(member).read()))
-                except (tarfile.TarError, EOFError, OSError):
-                    rows.append((archive, sha, None, None))
-            yield pd.DataFrame(rows, columns=["archive", "sha256", "path", "content"])
-
-    listed = archives.select(F.col("path").alias("archive"), F.sha2("content", 256).alias("sha256"), "content")
-    return listed.mapInPandas(unpack, "archive string, sha256 string, path string, content binary")
+                for path, content, reason in members(data):
+                    rows.append((archive, sha, path, content, reason))
+                    size += len(content or b"")
+                    if size > _BATCH_BYTES:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows, size = [], 0
+            yield pd.DataFrame(rows, columns=columns)
+
+    listed = archives.where("content IS NOT NULL").select(F.col("path").alias("archive"), F.sha2("content", 256).alias("sha256"), "content")
+    return listed.mapInPandas(unpack, "archive string, sha256 string, path string, content binary, reason string")
