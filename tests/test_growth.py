@@ -11,7 +11,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from threatlake.functions.stego import byte_entropy, encode_text
+from threatlake.functions.stego import byte_entropy, encode_text, entropies
 from threatlake.operators import patterns as P
 from threatlake.sources.files import archive_members, damaged_archives, unpacked
 
@@ -60,7 +60,9 @@ def test_pipe_runs_take_time_in_proportion(spark):
 def test_entropy(spark):
     rng = random.Random(4)
     data = [bytes(rng.randrange(k) for _ in range(n)) for k, n in ((256, 0), (256, 1), (1, 50), (2, 999), (256, 5000), (200, 64))] + ["üñ漢\n".encode() * 30]
-    rows = spark.createDataFrame([(k, x) for k, x in enumerate(data)], "k int, b binary").select("k", byte_entropy(F.col("b")).alias("e")).collect()
+    table = spark.createDataFrame([(k, x) for k, x in enumerate(data)], "k int, b binary")
+    rows = table.select("k", byte_entropy(F.col("b")).alias("e")).collect() + entropies(table, ["k"], F.col("b")).withColumnRenamed("entropy", "e").collect()
+    assert len(rows) == 2 * len(data)
     for r in rows:
         n = len(data[r.k])
         want = -sum(c / n * math.log2(c / n) for c in collections.Counter(data[r.k]).values()) if n else 0.0

@@ -120,6 +120,8 @@ def main(argv: list[str] | None = None) -> int:
     color = sys.stdout.isatty() and not args.no_color and "NO_COLOR" not in os.environ
     for line in engine.report_paths(spark, args.paths, args.format, args.severity, listed(args.extensions), listed(args.exclude), color):
         if isinstance(line, int):
+            if engine.unread_count:
+                print(f"{engine.unread_count} programs could not be read; flows in them are unknown", file=sys.stderr)
             return line
         if not args.quiet:
             print(line)

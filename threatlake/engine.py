@@ -14,7 +14,7 @@ from .operators.findings import at_least, engine_order
 from .operators.review import verdicts
 from .schemas import FILES, FINDINGS
 from .sources.files import files_from_paths
-from .sources.jsfacts import fact_tables, file_facts
+from .sources.jsfacts import fact_tables, file_facts, rejects
 
 Detector = Callable[[DataFrame], DataFrame]
 SemanticDetector = Callable[[DataFrame, dict], DataFrame]
@@ -63,11 +63,15 @@ class ThreatEngine:
     With ``cache`` the files are kept on disk by the first that reads them, so
     that a slow source is read once.
     Extracted facts are always kept.  ``release`` lets go of what is kept.
+    ``unread`` lists, for the last scan, the programs from which no facts could be
+    read: their flows are unknown, not absent.
     """
 
     def __init__(self, layers: tuple[str, ...] = ("l1", "l2"), fixes: bool = False, cache: bool = False):
         self.layers, self.fixes, self.model, self.cache = layers, fixes, None, cache
         self.cached: list[DataFrame] = []
+        self.unread: DataFrame | None = None
+        self.unread_count = 0
         self.detectors: dict[str, Detector] = {}
         self.semantic: dict[str, SemanticDetector] = {}
 
@@ -108,10 +112,12 @@ class ThreatEngine:
         if self.cache:
             files = files.persist(StorageLevel.DISK_ONLY)
             self.cached.append(files)
+        self.unread = None
         parts = fused(files, self.detectors, self.fixes) if "l1" in self.layers else []
         if "l2" in self.layers and self.semantic:
             extracted = file_facts(files).persist(StorageLevel.DISK_ONLY)  # many joins read the facts; they are extracted once
             self.cached.append(extracted)
+            self.unread = rejects(extracted)
             facts = fact_tables(extracted)
             parts += [d(files, facts) for d in self.semantic.values()]
         if not parts:
@@ -138,6 +144,7 @@ class ThreatEngine:
                 yield from sarif_lines(engine_order(found), self.fixes)
             else:
                 yield from pretty(found, verdicts(files, found, self.model) if self.model else None, color)
+            self.unread_count = self.unread.count() if self.unread is not None else 0
             yield exit_code(found, files)
         finally:
             self.release()

@@ -5,7 +5,7 @@ A byte b is carried by U+FE00 + b below 16 and by U+E0100 + b - 16 from 16 on.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import let
@@ -52,6 +52,19 @@ def text_entropy(text: Column) -> Column:
     return byte_entropy(text.cast("binary"))
 
 
+def entropies(rows: DataFrame, key: list[str], data: Column) -> DataFrame:
+    """(*key, entropy) per key: the entropy of its bytes, counted by tasks before the shuffle.
+
+    At most 256 counts of a row reach the shuffle, whatever its size; ``byte_entropy``
+    is the same within a row.
+    """
+    bytes_of = rows.select(*key, F.explode(F.split(F.decode(data, "ISO-8859-1"), "")).alias("_b"))
+    counted = bytes_of.groupBy(*key, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    k = F.when(F.col("_b") != "", F.col("_n")).otherwise(0).cast("double")  # empty data give one empty byte
+    summed = counted.groupBy(*key).agg(F.sum(k).alias("_k"), F.sum(F.when(k > 1, k * F.log2(k)).otherwise(0.0)).alias("_w"))
+    return summed.select(*key, F.when(F.col("_k") > 0, F.log2("_k") - F.col("_w") / F.col("_k")).otherwise(F.lit(0.0)).alias("entropy"))
+
+
 def payload_class(n_bytes: Column, entropy: Column, utf8: Column) -> Column:
     return (
         F.when(n_bytes < 16, "too_small")

@@ -1,7 +1,8 @@
 """Review of flagged files by a language model: prompts, answers, verdicts.
 
 The model is an injected callable (prompt -> answer text); only files with
-findings reach it, and a failing call leaves the file without a verdict.
+findings reach it, and a failing call leaves the file without a verdict but
+with the reason.
 """
 
 from __future__ import annotations
@@ -65,18 +66,28 @@ def parsed_verdict(response: Column) -> Column:
     return F.from_json(unfenced(F.get_json_object(response, "$.choices[0].message.content")), VERDICT)
 
 
-def verdicts(files: DataFrame, findings: DataFrame, model: Callable[[str], str]) -> DataFrame:
-    """(path, verdict) for the files with findings."""
+def reviews(files: DataFrame, findings: DataFrame, model: Callable[[str], str]) -> DataFrame:
+    """(path, verdict, reason) for the files with findings; one of the two is null: a file without verdict has the reason."""
 
     def ask(batches: Iterator) -> Iterator:
+        import pandas as pd
+
         for batch in batches:
-            answers = []
-            for prompt in batch["prompt"]:
+            rows = []
+            for path, prompt in zip(batch["path"], batch["prompt"]):
                 try:
-                    answers.append(model(prompt))
-                except (OSError, ValueError):
-                    answers.append(None)
-            yield batch[["path"]].assign(response=answers)
+                    rows.append((path, model(prompt), None))
+                except (OSError, ValueError) as error:
+                    rows.append((path, None, f"{type(error).__name__}: {error}"))
+            yield pd.DataFrame(rows, columns=["path", "response", "failure"])
+
+    asked = prompts(files, findings).mapInPandas(ask, "path string, response string, failure string")
+    answer = parsed_verdict(F.col("response"))
+    read = asked.select("path", F.when(answer["is_malicious"].isNotNull(), answer).alias("verdict"), "failure")
+    reason = F.when(F.col("verdict").isNull(), F.coalesce("failure", F.lit("the answer holds no verdict")))
+    return read.select("path", "verdict", reason.alias("reason"))
 
-    asked = prompts(files, findings).mapInPandas(ask, "path string, response string")
-    return asked.select("path", parsed_verdict(F.col("response")).alias("verdict")).where("verdict IS NOT NULL")
+
+def verdicts(files: DataFrame, findings: DataFrame, model: Callable[[str], str]) -> DataFrame:
+    """(path, verdict) for the files with findings that were reviewed."""
+    return reviews(files, findings, model).where("verdict IS NOT NULL").select("path", "verdict")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fixed as X
-from ..functions.stego import payload_class, text_entropy
+from ..functions.stego import entropies, payload_class, text_entropy
 from ..functions.text import lines
 from ..operators import patterns as P
 from .planted import LINES_SQL, PLANTED_SQL, files, planted, with_views
@@ -77,7 +77,8 @@ channels AS (
 
 def document_entropy(spark, d):
     docs = spark.read.parquet(f"{d}/documents.parquet")
-    return docs.select("doc_id", F.round(text_entropy(F.coalesce("text", F.lit(""))), 6).alias("entropy"))
+    found = entropies(docs, ["doc_id"], F.coalesce("text", F.lit("")).cast("binary"))
+    return found.select("doc_id", (F.round("entropy", 6) + 0.0).alias("entropy"))
 
 
 def byte_histogram(spark, d):
