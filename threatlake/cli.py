@@ -106,6 +106,7 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("-f", "--format", choices=["pretty", "json", "sarif"], default="pretty")
     parser.add_argument("-s", "--severity", choices=["info", "low", "medium", "high", "critical"], default="low")
     parser.add_argument("-q", "--quiet", action="store_true")
+    parser.add_argument("-o", "--output", help="new folder for a JSON or SARIF report that executors write as part files")
     parser.add_argument("--no-color", action="store_true")
     parser.add_argument("--extensions")
     parser.add_argument("--exclude")
@@ -117,6 +118,8 @@ def main(argv: list[str] | None = None) -> int:
     engine = ThreatEngine.default(tuple(args.layers.split(",")))
     if model := _model(args.llm):
         engine.with_review(model)
+    if args.output:
+        return engine.write_report_paths(spark, args.paths, args.output, "sarif" if args.format == "sarif" else "json", args.severity, listed(args.extensions), listed(args.exclude))
     color = sys.stdout.isatty() and not args.no_color and "NO_COLOR" not in os.environ
     for line in engine.report_paths(spark, args.paths, args.format, args.severity, listed(args.extensions), listed(args.exclude), color):
         if isinstance(line, int):

@@ -9,7 +9,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from .operators import patterns, taint, unicode_chars
-from .operators.export import exit_code, json_lines, pretty, sarif_lines
+from .operators.export import exit_code, json_lines, pretty, sarif_lines, write_report
 from .operators.findings import at_least, engine_order
 from .operators.review import verdicts
 from .schemas import FILES, FINDINGS
@@ -149,6 +149,17 @@ class ThreatEngine:
         finally:
             self.release()
 
+    def write_report_paths(self, spark: SparkSession, paths: list[str], folder: str, output: str = "json", severity: str = "low", extensions: list[str] | None = None, excludes: list[str] | None = None) -> int:
+        """Writes the report as a folder of part files, for any number of findings; returns the exit code."""
+        files = files_from_paths(spark, paths, extensions, excludes)
+        found = at_least(self.scan(files), severity).persist(StorageLevel.DISK_ONLY)
+        self.cached.append(found)
+        try:
+            write_report(found, folder, output, files.count(), 0, self.fixes)
+            return exit_code(found, files)
+        finally:
+            self.release()
+
     def scan_paths(self, spark: SparkSession, paths: list[str], output: str = "pretty", severity: str = "low", extensions: list[str] | None = None, excludes: list[str] | None = None) -> tuple[str, int]:
         """(text, exit code) of a scan small enough for its report to be held."""
         *lines, code = self.report_paths(spark, paths, output, severity, extensions, excludes)

@@ -8,7 +8,7 @@ import textwrap
 from collections import Counter
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .. import __version__
@@ -28,12 +28,20 @@ def json_rows(findings: DataFrame) -> DataFrame:
 
 def json_lines(findings: DataFrame, files_scanned: int, duration_ms: int) -> Iterator[str]:
     """The lines of one JSON document: a head, a line per finding, the summary; findings pass through one partition at a time."""
-    yield f'{{"version":"{__version__}","findings":['
+    yield _json_head()
     n = 0
     for row in json_rows(findings).toLocalIterator():
         yield ("," if n else "") + row["json"]
         n += 1
-    yield f'],"summary":{{"files_scanned":{files_scanned},"findings_count":{n},"duration_ms":{duration_ms}}}}}'
+    yield _json_tail(files_scanned, n, duration_ms)
+
+
+def _json_head() -> str:
+    return f'{{"version":"{__version__}","findings":['
+
+
+def _json_tail(files_scanned: int, n: int, duration_ms: int) -> str:
+    return f'],"summary":{{"files_scanned":{files_scanned},"findings_count":{n},"duration_ms":{duration_ms}}}}}'
 
 
 def json_summary(findings: DataFrame, files: DataFrame) -> DataFrame:
@@ -69,14 +77,58 @@ def sarif_results(findings: DataFrame) -> DataFrame:
 
 def sarif_lines(findings: DataFrame, fixes: bool = False) -> Iterator[str]:
     """The lines of a SARIF 2.1.0 log; rules GW001 to GW004 are defined, with ``fixes`` all."""
-    known = sorted((rule, category) for category, rule in RULE_IDS.items() if fixes or rule <= "GW004")
-    driver = {"name": "threatlake", "version": __version__, "rules": [{"id": rule, "name": category} for rule, category in known]}
-    yield f'{{"$schema":"https://json.schemastore.org/sarif-2.1.0.json","version":"2.1.0","runs":[{{"tool":{json.dumps({"driver": driver})},"results":['
+    yield _sarif_head(fixes)
     first = True
     for row in sarif_results(findings).toLocalIterator():
         yield ("" if first else ",") + row["json"]
         first = False
-    yield "]}]}"
+    yield _SARIF_TAIL
+
+
+_SARIF_TAIL = "]}]}"
+
+
+def _sarif_head(fixes: bool) -> str:
+    known = sorted((rule, category) for category, rule in RULE_IDS.items() if fixes or rule <= "GW004")
+    driver = {"name": "threatlake", "version": __version__, "rules": [{"id": rule, "name": category} for rule, category in known]}
+    return f'{{"$schema":"https://json.schemastore.org/sarif-2.1.0.json","version":"2.1.0","runs":[{{"tool":{json.dumps({"driver": driver})},"results":['
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One small file in any store that Spark writes to."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+#: Names that stand before and after those of Spark's part files.
+HEAD, TAIL = "a-head.json", "z-tail.json"
+
+
+def write_report(findings: DataFrame, folder: str, kind: str = "json", files_scanned: int = 0, duration_ms: int = 0, fixes: bool = False) -> int:
+    """Writes a JSON document or SARIF log as a new folder whose files, in the order of their names, are the document; returns how many findings it has.
+
+    Executors write the findings, sorted by range, with a comma before each but
+    the first of all; no finding passes through the driver.  The head is written
+    next and the tail last: a folder without its tail is not complete.
+    """
+    order = [c for c in ("path", "line", "column", "emit_seq", "code_point") if c in findings.columns]
+    made = (sarif_results if kind == "sarif" else json_rows)(findings.orderBy(*order))
+    # the smallest key is in the first partition, so the first row there is the first of all
+    comma = F.when(F.monotonically_increasing_id() == 0, "").otherwise(",")
+    seen = Observation()
+    rows = made.select(F.concat(comma, F.col("json")).alias("value")).observe(seen, F.count(F.lit(1)).alias("n"), F.count_if(~F.startswith("value", F.lit(","))).alias("firsts"))
+    rows.write.text(folder)
+    n, firsts = (int(seen.get.get(k) or 0) for k in ("n", "firsts"))
+    if firsts != min(n, 1):
+        raise RuntimeError(f"{firsts} of {n} findings are the first one; the report in {folder} is not complete")
+    spark = findings.sparkSession
+    write_text(spark, f"{folder}/{HEAD}", (_sarif_head(fixes) if kind == "sarif" else _json_head()) + "\n")
+    write_text(spark, f"{folder}/{TAIL}", _SARIF_TAIL if kind == "sarif" else _json_tail(files_scanned, n, duration_ms))
+    return n
 
 
 #: The order of the console: info prints as low.

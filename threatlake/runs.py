@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from . import __version__
 from .engine import ThreatEngine
 from .operators import corpus as C
+from .operators.export import write_text
 from .operators.findings import rule_id
 from .schemas import COMMITS, CORPUS_FINDINGS, CORPUS_VERDICTS, PACKAGES, SCAN_RUNS
 
@@ -272,13 +273,7 @@ class Corpus:
         found = self.findings(run_id).withColumnsRenamed({"file_path": "path"}).withColumn("code_point", F.lit(0))
         text = C.report(rollup, found, f"Scan report {run_id[:8]}")
         if save:
-            jvm = self.spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(f"{self.root}/reports/run-{run_id[:8]}.md")
-            out = target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
-            try:
-                out.write(bytearray(text.encode()))
-            finally:
-                out.close()
+            write_text(self.spark, f"{self.root}/reports/run-{run_id[:8]}.md", text)
         return text
 
     def vault(self, run_id: str, files: DataFrame) -> None:
