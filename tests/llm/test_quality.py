@@ -1,9 +1,12 @@
 import itertools
 import random
+import time
 
 import numpy as np
+import pytest
 
-from threatlake.llm.quality import FEATURES, _expectations, fit, fit_lines, line_features, line_labels, marginals, score_quality
+from threatlake.llm import quality
+from threatlake.llm.quality import Chains, FEATURES, _expectations, fit, fit_lines, line_features, line_labels, marginals, score_quality
 
 from .conftest import DE, EN, text_of
 
@@ -66,14 +69,14 @@ def test_lines_of_bad_documents_may_be_good():
     assert whole(good) > 0.9 and whole(bad) < 0.1 and 0.2 < mixed < 0.8
 
 
-def test_expectations_against_enumeration():
+@pytest.mark.parametrize("block", [1, 2, 3, 4, 256])
+def test_expectations_against_enumeration(block):
     rng = np.random.default_rng(3)
-    lengths = np.array([4, 2, 1])
-    offsets = np.array([0, 4, 6])
-    node, pairs = rng.normal(size=7), rng.normal(size=(2, 2))
-    places = [offsets[: int((lengths > t).sum())] + t for t in range(4)]
-    p, expected = _expectations(node, pairs, places, lengths, offsets, np.logaddexp)
-    good, counts = np.zeros(7), np.zeros(4)
+    lengths = np.array([9, 7, 4, 2, 1])
+    offsets = np.array([0, 9, 16, 20, 22])
+    node, pairs = rng.normal(size=23), rng.normal(size=(2, 2))
+    p, expected = _expectations(node, pairs, Chains(lengths, block), np.logaddexp)
+    good, counts = np.zeros(23), np.zeros(4)
     for a, n in zip(offsets, lengths):
         total, g, c = 0.0, np.zeros(n), np.zeros(4)
         for labels in itertools.product((0, 1), repeat=int(n)):
@@ -90,3 +93,20 @@ def test_without_labels(corpus, nothing, spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert {r.score for r in score_quality(corpus, none).collect()} == {0.5}
     assert score_quality(nothing, none).count() == 0
+
+
+def test_a_very_long_document_trains_in_time(monkeypatch):
+    rng = np.random.default_rng(8)
+    short = [rng.normal(size=(int(n), FEATURES)) for n in rng.integers(1, 30, 50)]
+    labels = [np.full(len(x), k % 2) for k, x in enumerate(short)]
+    long = rng.normal(size=(100_000, FEATURES))
+    began = time.time()
+    fit_lines([*short, long], [*labels, np.ones(len(long), dtype=int)], steps=15)
+    assert time.time() - began < 20
+    some = [*short, long[:2000]]
+    marks = [*labels, (np.arange(2000) // 50 % 2)]
+    fields = []
+    for block in (1 << 30, 16):
+        monkeypatch.setattr(quality, "BLOCK", block)
+        fields.append(fit_lines(some, marks, 20))
+    assert np.allclose(fields[0].weights, fields[1].weights, atol=1e-6) and np.allclose(fields[0].pairs, fields[1].pairs, atol=1e-6)

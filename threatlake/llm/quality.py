@@ -32,6 +32,8 @@ from .shared import crc_fold
 from .shingles import mixed, word_hashes
 
 SAMPLE, STEPS, RIDGE, THRESHOLD = 4000, 150, 1e-3, 0.3
+#: Lines of a block; longer documents are several blocks, whose sums are joined at their borders.
+BLOCK = 256
 
 
 def _class(test) -> np.ndarray:
@@ -176,6 +178,67 @@ def fit(sequences: list[np.ndarray], labels: list[int], steps: int = STEPS) -> F
     return fit_lines(sequences, line_labels(sequences, labels, first), steps)
 
 
+class Chains:
+    """The lines of all documents, cut into blocks of at most ``BLOCK`` lines.
+
+    Blocks stand by falling length, so line t of all blocks that have one is one
+    array of places.  ``joints`` leads from each block to the next of its document.
+    """
+
+    def __init__(self, lengths: np.ndarray, block: int):
+        self.lengths = lengths
+        self.offsets = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
+        parts = -(-lengths // block)
+        doc = np.repeat(np.arange(len(lengths)), parts)
+        index = np.arange(len(doc)) - np.repeat(np.cumsum(parts) - parts, parts)
+        begin = self.offsets[doc] + index * block
+        size = np.minimum(block, self.offsets[doc] + lengths[doc] - begin)
+        order = np.argsort(-size, kind="stable")
+        self.doc, self.index, self.begin, self.size = (x[order] for x in (doc, index, begin, size))
+        self.last = self.begin + self.size - 1
+        self.places = self._places(np.arange(len(order)))
+        several = np.flatnonzero(parts[self.doc] > 1)
+        self.several, self.several_places = several, self._places(several)
+        self.inner = self.index > 0
+        # blocks of one turn have the same place within their documents
+        by_index = [several[self.index[several] == j] for j in range(int(parts.max()))] if len(several) else []
+        at = np.empty(len(order), dtype=np.int64)
+        at[order] = np.arange(len(order))
+        self.joints = [(at[order[b] - 1], b) for b in by_index[1:]]
+
+    def _places(self, blocks: np.ndarray) -> list[np.ndarray]:
+        begin, size = self.begin[blocks], self.size[blocks]
+        return [begin[: int((size > t).sum())] + t for t in range(int(size.max()))] if len(blocks) else []
+
+    def borders(self, node: np.ndarray, pairs: np.ndarray, alpha: list[np.ndarray], beta: list[np.ndarray], add) -> None:
+        """Sets the sums at the last lines of blocks of longer documents: products of the blocks' transfer matrices, from both ends."""
+        if not len(self.several):
+            return
+        begin, inner = self.begin[self.several], self.inner[self.several]
+        # sums over the labels of a block's lines by the label before the block and its last line's
+        sums = [[np.where(inner, pairs[s, 0], 0.0), np.where(inner, pairs[s, 1], 0.0) + node[begin]] for s in (0, 1)]
+        for here in self.several_places[1:]:
+            n = len(here)
+            for x in sums:
+                a0, a1 = x[0][:n], x[1][:n]
+                x[0][:n], x[1][:n] = add(a0 + pairs[0, 0], a1 + pairs[1, 0]), add(a0 + pairs[0, 1], a1 + pairs[1, 1]) + node[here]
+        transfer = np.zeros((2, 2, len(self.begin)))
+        for s in (0, 1):
+            for t in (0, 1):
+                transfer[s, t, self.several] = sums[s][t]
+        firsts = self.several[~inner]
+        for t in (0, 1):
+            alpha[t][self.last[firsts]] = transfer[0, t, firsts]
+        for before, here in self.joints:
+            e0, e1 = alpha[0][self.last[before]], alpha[1][self.last[before]]
+            for t in (0, 1):
+                alpha[t][self.last[here]] = add(e0 + transfer[0, t, here], e1 + transfer[1, t, here])
+        for before, here in reversed(self.joints):
+            b0, b1 = beta[0][self.last[here]], beta[1][self.last[here]]
+            for s in (0, 1):
+                beta[s][self.last[before]] = add(transfer[s, 0, here] + b0, transfer[s, 1, here] + b1)
+
+
 def fit_lines(sequences: list[np.ndarray], labels: list[np.ndarray], steps: int = STEPS, chained: bool = True) -> Field:
     """Maximum likelihood of line labels with a ridge, by Adam on all sequences at once; pairs stay 0 unless ``chained``."""
     order = sorted(range(len(sequences)), key=lambda k: -len(sequences[k]))
@@ -186,12 +249,9 @@ def fit_lines(sequences: list[np.ndarray], labels: list[np.ndarray], steps: int
     centre[0], scale[0] = 0, 1
     scale[scale < 1e-6] = 1
     flat = (flat - centre) / scale
-    longest, docs = int(lengths[0]) if chained else 0, len(lengths)
-    offsets = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    # the documents that reach line t come first, so line t of all is one slice of places
-    places = [offsets[: int((lengths > t).sum())] + t for t in range(longest)]
+    docs, chains = len(lengths), Chains(lengths, BLOCK)
     inner = np.ones(len(flat), dtype=bool)
-    inner[offsets] = False
+    inner[chains.offsets] = False
     after = np.flatnonzero(inner)
     seen = np.bincount(2 * label[after - 1] + label[after], minlength=4).astype(float)
     theta = np.zeros(flat.shape[1] + 4)
@@ -201,7 +261,7 @@ def fit_lines(sequences: list[np.ndarray], labels: list[np.ndarray], steps: int
         w, pairs = theta[:-4], theta[-4:].reshape(2, 2)
         node = flat @ w
         if chained:
-            p, expected = _expectations(node, pairs, places, lengths, offsets, add)
+            p, expected = _expectations(node, pairs, chains, add)
         else:
             p, expected = 1 / (1 + np.exp(-np.clip(node, -60, 60))), seen
         gradient = np.concatenate([(label - p) @ flat, seen - expected]) / docs - RIDGE * theta
@@ -211,26 +271,36 @@ def fit_lines(sequences: list[np.ndarray], labels: list[np.ndarray], steps: int
     return Field(centre, scale, theta[:-4], theta[-4:].reshape(2, 2))
 
 
-def _expectations(node, pairs, places, lengths, offsets, add) -> tuple[np.ndarray, np.ndarray]:
+def _expectations(node, pairs, chains: Chains, add) -> tuple[np.ndarray, np.ndarray]:
     """P(good) of every line and the expected number of each pair of neighbouring labels, by forward-backward sums over all sequences."""
     alpha0, alpha1 = np.zeros(len(node)), np.zeros(len(node))
     beta0, beta1 = np.zeros(len(node)), np.zeros(len(node))
-    alpha1[places[0]] = node[places[0]]
-    for here in places[1:]:
+    chains.borders(node, pairs, [alpha0, alpha1], [beta0, beta1], add)
+    first, places = chains.places[0], chains.places
+    alpha1[first[~chains.inner]], alpha0[first[~chains.inner]] = node[first[~chains.inner]], 0
+    joined = first[chains.inner]
+    for here in [joined, *places[1:]]:
         a0, a1 = alpha0[here - 1], alpha1[here - 1]
         alpha0[here] = add(a0 + pairs[0, 0], a1 + pairs[1, 0])
         alpha1[here] = add(a0 + pairs[0, 1], a1 + pairs[1, 1]) + node[here]
-    last = offsets + lengths - 1
+    last = chains.offsets + chains.lengths - 1
     logz = add(alpha0[last], alpha1[last])
+    of_block = logz[chains.doc]
     expected = np.zeros(4)
+
+    def count(here: np.ndarray, z: np.ndarray) -> None:
+        right = (beta0[here], beta1[here] + node[here])
+        for a, left in ((0, alpha0[here - 1]), (1, alpha1[here - 1])):
+            for b in (0, 1):
+                expected[2 * a + b] += np.exp(left + pairs[a, b] + right[b] - z).sum()
+
     for here in reversed(places[1:]):
         n0, n1 = beta0[here], beta1[here] + node[here]
         beta0[here - 1] = add(pairs[0, 0] + n0, pairs[0, 1] + n1)
         beta1[here - 1] = add(pairs[1, 0] + n0, pairs[1, 1] + n1)
-        for a, left in ((0, alpha0[here - 1]), (1, alpha1[here - 1])):
-            for b, right in ((0, n0), (1, n1)):
-                expected[2 * a + b] += np.exp(left + pairs[a, b] + right - logz[: len(here)]).sum()
-    return np.exp(alpha1 + beta1 - np.repeat(logz, lengths)), expected
+        count(here, of_block[: len(here)])
+    count(joined, of_block[chains.inner])
+    return np.exp(alpha1 + beta1 - np.repeat(logz, chains.lengths)), expected
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
