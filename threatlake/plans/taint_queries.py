@@ -122,6 +122,25 @@ def page_script_facts(spark, d):
     return t["calls"].groupBy("callee").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("path").alias("n_files"))
 
 
+# Programs made of the documents' whole texts: all words as one member chain that is called, or all letters as one key.
+def callee_chains(spark, d):
+    """The chain of names of a call."""
+    words = F.transform(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("([a-z]+)"), F.lit(1)), lambda w: F.concat(F.lit("_"), w, F.lit(".")))
+    content = F.concat(F.lit("_."), F.array_join(words, ""), F.lit('end("'), F.coalesce("lang", F.lit("")), F.lit('");'))
+    files = spark.read.parquet(f"{d}/documents.parquet").select(F.expr(BASE[1]), content.alias("content"))
+    calls = fact_tables(file_facts(files))["calls"]
+    return calls.select("path", "callee", F.size("callee_chain").cast("long").alias("n_names"), F.md5(F.array_join("callee_chain", ".").cast("binary")).alias("digest"), F.col("span_end").cast("long").alias("span_end"))
+
+
+def key_previews(spark, d):
+    """What a finding shows of a hard-coded key: the first 32 characters of one of more than 32 bytes."""
+    key = F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z0-9 ]+", "")
+    content = F.concat(F.lit('const k = "'), key, F.lit('";\nconst d = crypto.createDecipheriv("alg", k, iv);\neval(d);'))
+    files = spark.read.parquet(f"{d}/documents.parquet").select(F.expr(BASE[1]), content.alias("content"))
+    found = T.semantic_findings(files, fact_tables(file_facts(files).persist(StorageLevel.DISK_ONLY)), fixes=True)
+    return found.where("category = 'hardcoded_key_decryption'").select("path", "line", "severity", "description")
+
+
 _FLOW = ["path", "source_id", "kind", "sink", "sink_seq"]
 
 
@@ -155,6 +174,8 @@ QUERIES = {
     "semantic_detectors": semantic_detectors,
     "js_facts_extract": js_facts_extract,
     "page_script_facts": page_script_facts,
+    "callee_chains": callee_chains,
+    "key_previews": key_previews,
 }
 
 _ITEMS = "items AS MATERIALIZED (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity) = 1)"
@@ -180,6 +201,11 @@ SELECT path, category, severity, CAST(1 AS BIGINT) AS n, confidence, CAST(len(co
     "js_facts_extract": """WITH expected(k, n_scopes, n_literals, n_calls, n_declarations) AS (VALUES (0, 1, 4, 3, 3), (1, 2, 1, 1, 1), (2, 1, 2, 3, 2), (3, 2, 0, 2, 1), (4, 2, 1, 1, 1))
 SELECT concat('src/', doc_id, '.js') AS path, true AS ok, CAST(n_scopes AS BIGINT) AS n_scopes, CAST(n_literals AS BIGINT) AS n_literals, CAST(n_calls AS BIGINT) AS n_calls, CAST(n_declarations AS BIGINT) AS n_declarations
 FROM documents JOIN expected ON doc_id % 5 = k""",
+    "callee_chains": """WITH chained AS (SELECT concat('src/', doc_id, '.js') AS path, coalesce(lang, '') AS lang, regexp_extract_all(lower(coalesce(text, '')), '[a-z]+') AS w FROM documents),
+made AS (SELECT path, lang, len(w) AS n, '_.' || coalesce(array_to_string(list_transform(w, lambda x: '_' || x || '.'), ''), '') || 'end' AS chain FROM chained)
+SELECT path, 'end' AS callee, CAST(n + 2 AS BIGINT) AS n_names, md5(chain) AS digest, CAST(strlen(chain) + strlen(lang) + 4 AS BIGINT) AS span_end FROM made""",
+    "key_previews": """WITH keys AS (SELECT concat('src/', doc_id, '.js') AS path, regexp_replace(coalesce(text, ''), '[^A-Za-z0-9 ]+', '', 'g') AS k FROM documents)
+SELECT path, CAST(2 AS BIGINT) AS line, 'high' AS severity, 'Decryption by createDecipheriv with key ''' || CASE WHEN strlen(k) > 32 THEN left(k, 32) || '...' ELSE k END || ''' flows to eval' AS description FROM keys""",
     "page_script_facts": r"""WITH scripts AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<script[^>]*>(.*?)</script>', 1)) AS content FROM pages),
 calls AS (SELECT page_id, unnest(regexp_extract_all(content, '([A-Za-z]+)\(', 1)) AS callee FROM scripts)
 SELECT callee, count(*) AS n, count(DISTINCT page_id) AS n_files FROM calls GROUP BY callee""",
