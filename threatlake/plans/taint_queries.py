@@ -114,7 +114,7 @@ def _programs(spark, d):
 
 def semantic_detectors(spark, d):
     files = _programs(spark, d)
-    found = T.semantic_findings(files, fact_tables(file_facts(files).persist(StorageLevel.DISK_ONLY)))
+    found = T.semantic_findings(files, fact_tables(file_facts(files, T.VALUE_CHARS).persist(StorageLevel.DISK_ONLY)))
     return found.groupBy("path", "category", "severity").agg(F.count(F.lit(1)).alias("n"), F.max("confidence").alias("confidence"), F.min("line").alias("place"), F.max("description").alias("description"))
 
 
@@ -147,7 +147,7 @@ def key_previews(spark, d):
     key = F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z0-9 ]+", "")
     content = F.concat(F.lit('const k = "'), key, F.lit('";\nconst d = crypto.createDecipheriv("alg", k, iv);\neval(d);'))
     files = spark.read.parquet(f"{d}/documents.parquet").select(F.expr(BASE[1]), content.alias("content"))
-    found = T.semantic_findings(files, fact_tables(file_facts(files).persist(StorageLevel.DISK_ONLY)), fixes=True)
+    found = T.semantic_findings(files, fact_tables(file_facts(files, T.VALUE_CHARS).persist(StorageLevel.DISK_ONLY)), fixes=True)
     return found.where("category = 'hardcoded_key_decryption'").select("path", "line", "severity", "description")
 
 
